@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontamination, embedding, html_extract, pii, quality, secrets, simhash
+from tidemark.llm import bpe, decontamination, embedding, html_extract, pii, quality, secrets, simhash, substrings
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
@@ -55,5 +59,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_decontamination, op5_embedding_dedup, op6_quality, op7_secrets, op8_simhash, op9_html, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_decontamination, op4_substring_dedup, op5_embedding_dedup, op6_quality, op7_secrets, op8_simhash, op9_html, op10_bpe)}
 ORACLES: dict[str, str] = {}
