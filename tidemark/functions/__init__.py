@@ -1 +1 @@
-
+"""Column functions: gated rolling windows, option pricing."""

@@ -1 +1 @@
-
+"""Structured Streaming versions of bar building and rolling state."""
