@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,24 @@ def first_value(col: str, w: WindowSpec | None = None) -> Column:
 def bar_number(w: WindowSpec | None = None) -> Column:
     """0-based number of the bar within its symbol."""
     return F.row_number().over(w or by_symbol()) - 1
+
+
+def rolling_z(df: DataFrame, cols: dict[str, str], n: int, w: WindowSpec | None = None) -> DataFrame:
+    """Adds z-scores (output name -> input column) over the last `n` bars, the current one included; null until all are
+    known and where they do not vary.
+
+    A sliding frame is summed anew for every row, so long windows are taken as differences of running sums: the cost
+    no longer grows with the window.
+    """
+    w = w or by_symbol()
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    inputs, kept = list(dict.fromkeys(cols.values())), df.columns
+    for k, f in (("s", lambda c: F.sum(c)), ("q", lambda c: F.sum(F.col(c) * F.col(c))), ("k", lambda c: F.count(c))):
+        df = df.withColumns({f"_{k}_{c}": f(c).over(so_far) for c in inputs})
+    df = df.withColumns({f"_{k}0_{c}": F.coalesce(F.lag(f"_{k}_{c}", n).over(w), F.lit(0)) for c in inputs for k in "sqk"})
+    out = {}
+    for name, c in cols.items():
+        s, q, k = (F.coalesce(F.col(f"_{x}_{c}"), F.lit(0)) - F.col(f"_{x}0_{c}") for x in "sqk")
+        var = (q - s * s / n) / (n - 1)
+        out[name] = F.when((k == n) & (var > 1e-18), (F.col(c) - s / n) / F.sqrt(var))
+    return df.withColumns(out).select(*kept, *out)

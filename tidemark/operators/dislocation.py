@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.rolling import by_symbol, rolling
+from tidemark.functions.rolling import by_symbol, rolling, rolling_z
 
 BETAS = (5, 10, 20, 60, 120)
 SUMS = (1, 5, 10, 20)
@@ -35,12 +35,7 @@ def zcube(df: DataFrame, lookback: int = 252, betas: tuple[int, ...] = BETAS, su
     df = with_betas(df, betas)
     df = df.withColumns({f"resid_b{w}": F.col("ra") - F.col(f"beta_{w}") * F.col("rb") for w in betas})
     df = df.withColumns({f"cum_b{w}_n{n}": rolling(F.sum, n, f"resid_b{w}") for w in betas for n in sums})
-    z = {}
-    for w in betas:
-        for n in sums:
-            c = f"cum_b{w}_n{n}"
-            z[f"z_b{w}_n{n}"] = F.try_divide(F.col(c) - rolling(F.avg, lookback, c), F.nullif(rolling(F.stddev_samp, lookback, c), F.lit(0.0)))
-    return df.withColumns(z)
+    return rolling_z(df, {f"z_b{w}_n{n}": f"cum_b{w}_n{n}" for w in betas for n in sums}, lookback)
 
 
 def verdict(z: Column) -> Column:
