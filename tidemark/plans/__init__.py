@@ -1,4 +1,4 @@
 """Registered queries and their DuckDB equivalents."""
 
-from tidemark.plans import indicators, probability  # noqa: F401
+from tidemark.plans import indicators, probability, trading  # noqa: F401
 from tidemark.plans.registry import ORACLES, QUERIES  # noqa: F401
