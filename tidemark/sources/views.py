@@ -55,10 +55,20 @@ def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).join(bench_bars(spark, sf_dir), "bar_date").select("symbol", "bar_date", "close", "bench")
 
 
+def _contract():
+    kind = F.when(F.col("l_returnflag") == "R", "p").otherwise("c").alias("kind")
+    return kind, (7 * (F.col("l_suppkey") % 20) + 3).cast("int").alias("dte"), F.round(100 * (0.4 + 0.05 * (F.col("l_partkey") % 25)), 2).alias("strike")
+
+
+def option_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, dte, strike, bar_date, close): daily closes of every contract."""
+    price = F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0.0))
+    return read(spark, sf_dir, "lineitem").groupBy(*_contract(), F.to_date("l_shipdate").alias("bar_date")).agg(_r6(F.avg(price)).alias("close"))
+
+
 def chain(spark: SparkSession, sf_dir: str, spot: float = 100.0) -> DataFrame:
     """One row per option contract (kind, dte, strike) with moneyness, quotes, volume, open interest and vendor iv."""
-    kind = F.when(F.col("l_returnflag") == "R", "p").otherwise("c").alias("kind")
-    k = read(spark, sf_dir, "lineitem").groupBy(kind, (7 * (F.col("l_suppkey") % 20) + 3).cast("int").alias("dte"), F.round(100 * (0.4 + 0.05 * (F.col("l_partkey") % 25)), 2).alias("strike")).agg(
+    k = read(spark, sf_dir, "lineitem").groupBy(*_contract()).agg(
         F.count("*").alias("n"), _r6(F.avg("l_discount")).alias("ad"), _r6(F.avg("l_tax")).alias("at")
     )
     m = F.col("strike") / spot
