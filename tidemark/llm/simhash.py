@@ -55,15 +55,45 @@ def fingerprint(text: str, shingle: int = 4, by_length: bool = False) -> int:
     return int(np.packbits(votes * 2 > n).view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, by_length: bool = False) -> DataFrame:
-    """(id bigint, fp bigint) for every row; null text counts as empty."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, by_length: bool = False, sketched: int = 0) -> DataFrame:
+    """(id bigint, fp bigint) for every row; null text counts as empty. With `sketched`, the SKETCH of its shingles of
+    that many words too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle, by_length) for t in batch.column(1).to_pylist()], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["id", "fp"])
+            texts = batch.column(1).to_pylist()
+            fp = np.array([fingerprint(t, shingle, by_length) for t in texts], dtype="<u8").view("<i8")
+            more = []
+            if sketched:
+                each = [sketch(t, sketched) for t in texts]
+                bits = np.array([b for _, b in each], dtype=np.int64).reshape(-1, SKETCH_BITS // 64)
+                more = [pa.array([n for n, _ in each], pa.int64()), *(pa.array(bits[:, k]) for k in range(SKETCH_BITS // 64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *more], ["id", "fp", *(SKETCH if sketched else ())])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "id bigint, fp bigint")
+    fields = "id bigint, fp bigint" + "".join(f", {c} bigint" for c in SKETCH if sketched)
+    return df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, fields)
+
+
+#: Bits of a sketch, in longs, after the size of the set.
+SKETCH_BITS = 384
+SKETCH = ("n", *(f"s{k}" for k in range(SKETCH_BITS // 64)))
+
+
+def sketch(text: str, shingle: int) -> tuple[int, np.ndarray]:
+    """(size of the set of word shingles, SKETCH_BITS bits of which each shingle sets one).
+
+    A bit that only one of two texts has stands for a shingle that the other lacks, so the bits that differ bound the
+    symmetric difference of the sets from below: a filter that never drops a pair that is similar enough.
+    """
+    words = text.encode("utf-8", "replace").lower().split()
+    joined = b" ".join(words)
+    begins = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)])
+    n = max(1, len(words) - shingle + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    h = {digest(joined[a:b], 7) for a, b in zip(begins[:n].tolist(), (begins[min(shingle, len(words)) :] - 1).tolist(), strict=False)} if n else set()
+    bits = np.zeros(SKETCH_BITS, dtype=bool)
+    bits[[x % SKETCH_BITS for x in h]] = True
+    return len(h), np.packbits(bits).view("<i8")
 
 
 def _syndromes() -> np.ndarray:
@@ -74,10 +104,24 @@ def _syndromes() -> np.ndarray:
     return out
 
 
+def _edges(radius: int) -> list[int]:
+    """Where blocks begin and end: so many that some block of two fingerprints within the radius differs by one bit at most."""
+    n_blocks = radius // 2 + 1
+    return [round(i * 64 / n_blocks) for i in range(n_blocks + 1)]
+
+
+def _first_block(apart: np.ndarray, radius: int) -> np.ndarray:
+    """Number of the first block in which fingerprints differ by one bit at most, from their differing bits."""
+    out = np.full(len(apart), -1)
+    edges = _edges(radius)
+    for k, (lo, hi) in reversed(list(enumerate(zip(edges, edges[1:], strict=False)))):
+        out[np.bitwise_count(apart >> np.uint64(lo) & np.uint64((1 << hi - lo) - 1)) <= 1] = k
+    return out
+
+
 def anchors(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, block, anchor, probe): each fingerprint's home (probe 0) and the anchors it probes (1), in every block."""
-    n_blocks = radius // 2 + 1
-    edges = [round(i * 64 / n_blocks) for i in range(n_blocks + 1)]
+    edges = _edges(radius)
     syndrome = _syndromes()
     pairs = np.array([[1 << i - 1 | 1 << (i ^ s) - 1 for i in range(1, 16) if i < (i ^ s)] if s else [0] * 7 for s in range(16)], dtype=np.int64)
     rows, blocks, at, probe = [], [], [], []
@@ -125,43 +169,52 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[more], nodes[label[more]]
 
 
-def _compare(radius: int, with_group: bool):
-    """Links per anchor. With groups given, only links between different groups count, and all of those are kept."""
+def _compare(radius: int, with_group: bool, similarity: float | None):
+    """Links per anchor. With groups given, only links between different groups count, and all of those are kept; with
+    a similarity, only links whose sketches do not rule it out."""
+    extra = SKETCH if similarity is not None else ()
+    names = ("fp", "id", "grp", *extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, home_fp, home_id, home_group = None, [], [], []
+        key, homes = None, []
         for batch in batches:
             if not len(batch):
                 continue
-            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("block", "anchor", "cell", "probe", "fp", "id", "grp")}
+            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("block", "anchor", "cell", "probe", *names)}
             keys = np.stack([col["block"].astype(np.int64), col["anchor"], col["cell"].astype(np.int64)], axis=1)
             cuts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1, [len(keys)]])
             found_a, found_b = [], []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if key is None or key != tuple(keys[lo]):
-                    key, home_fp, home_id, home_group = tuple(keys[lo]), [], [], []
+                    key, homes = tuple(keys[lo]), []
                 split = lo + int(np.searchsorted(col["probe"][lo:hi], 1))
                 if split > lo:
-                    home_fp.append(col["fp"][lo:split]), home_id.append(col["id"][lo:split]), home_group.append(col["grp"][lo:split])
-                if split == hi or not home_fp:
+                    homes.append({n: col[n][lo:split] for n in names})
+                if split == hi or not homes:
                     continue
-                h, hid, hg = (np.concatenate(x) for x in (home_fp, home_id, home_group))
-                home_fp, home_id, home_group = [h], [hid], [hg]
+                h = homes[0] if len(homes) == 1 else {n: np.concatenate([x[n] for x in homes]) for n in names}
+                homes = [h]
                 links_a, links_b = [], []
-                for at in range(split, hi, max(1, 2_000_000 // len(h))):
-                    upto = min(hi, at + max(1, 2_000_000 // len(h)))
-                    p, pid, pg = (col[n][at:upto] for n in ("fp", "id", "grp"))
-                    near = np.bitwise_count((h[:, None] ^ p[None, :]).view(np.uint64)) <= radius
-                    near &= hid[:, None] > pid[None, :]
+                width = max(1, 2_000_000 // len(h["id"]))
+                for at in range(split, hi, width):
+                    p = {n: col[n][at : min(hi, at + width)] for n in names}
+                    near = np.bitwise_count((h["fp"][:, None] ^ p["fp"][None, :]).view(np.uint64)) <= radius
+                    near &= h["id"][:, None] > p["id"][None, :]
                     if with_group:
-                        near &= hg[:, None] != pg[None, :]
+                        near &= h["grp"][:, None] != p["grp"][None, :]
                     i, j = np.nonzero(near)
+                    if len(i):  # a pair may meet in several blocks; it counts in the first where it must meet
+                        mine = _first_block((h["fp"][i] ^ p["fp"][j]).view(np.uint64), radius) == key[0]
+                        i, j = i[mine], j[mine]
+                    if similarity is not None and len(i):
+                        apart = sum(np.bitwise_count((h[c][i] ^ p[c][j]).view(np.uint64)).astype(np.int64) for c in SKETCH[1:])
+                        ok = apart <= (h["n"][i] + p["n"][j]) * (1 - similarity) / (1 + similarity) + 1e-9
+                        i, j = i[ok], j[ok]
                     if len(i):
-                        if with_group:
-                            links_a.append(hid[i]), links_b.append(pid[j])
-                        else:
-                            a, b = forest(hid[i], pid[j]) if len(i) > 1 else (hid[i], pid[j])
-                            links_a.append(a), links_b.append(b)
+                        a, b = h["id"][i], p["id"][j]
+                        if not with_group and len(i) > 1:
+                            a, b = forest(a, b)
+                        links_a.append(a), links_b.append(b)
                 if links_a:
                     a, b = np.concatenate(links_a), np.concatenate(links_b)
                     if not with_group and len(links_a) > 1:
@@ -173,22 +226,25 @@ def _compare(radius: int, with_group: bool):
     return run
 
 
-def links_within(distinct: DataFrame, radius: int, group_col: str | None = None) -> DataFrame:
+def links_within(distinct: DataFrame, radius: int, group_col: str | None = None, similarity: float | None = None) -> DataFrame:
     """Links (a, b) of ids whose fingerprints differ in at most `radius` bits, a > b.
 
-    `distinct` has (id, fp) with each fingerprint once. Without `group_col` the links are a spanning forest of each
-    anchor's links, enough for components; with it, every link between rows of different groups.
+    `distinct` has (id, fp), and with a similarity the SKETCH columns, which rule out links that cannot reach it.
+    Without `group_col` the links are a spanning forest of each anchor's links, enough for components; with it, every
+    link between rows of different groups.
     """
+    extra = SKETCH if similarity is not None else ()
+    carried = ("id", "fp", "grp", *extra)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
                 row, block, anchor, probe = anchors(part.column(1).to_numpy().view("<u8"), radius)
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(2).take(take), pa.array(block), pa.array(anchor), pa.array(probe)], ["id", "fp", "grp", "block", "anchor", "probe"])
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns), pa.array(block), pa.array(anchor), pa.array(probe)], [*carried, "block", "anchor", "probe"])
 
-    rows = distinct.select("id", "fp", (F.col(group_col) if group_col else F.lit(0)).cast("long").alias("grp"))
-    dealt = rows.mapInArrow(deal, "id bigint, fp bigint, grp bigint, block int, anchor bigint, probe int")
+    rows = distinct.select("id", "fp", (F.col(group_col) if group_col else F.lit(0)).cast("long").alias("grp"), *extra)
+    dealt = rows.mapInArrow(deal, f"{', '.join(f'{c} bigint' for c in carried)}, block int, anchor bigint, probe int")
     hot = cut(dealt.where("probe = 0").groupBy("block", "anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_HOMES).select("block", "anchor", F.ceil(F.col("n") / GROUP_HOMES).cast("int").alias("side")))
     n_hot = hot.count()
     if n_hot:
@@ -200,7 +256,7 @@ def links_within(distinct: DataFrame, radius: int, group_col: str | None = None)
     else:
         dealt = dealt.withColumn("cell", F.lit(0))
     dealt = dealt.repartition("block", "anchor", "cell").sortWithinPartitions("block", "anchor", "cell", "probe")
-    return dealt.mapInArrow(_compare(radius, group_col is not None), "a bigint, b bigint")
+    return dealt.mapInArrow(_compare(radius, group_col is not None, similarity), "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -225,7 +281,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def shingle_set(text_col: str, k: int = 5):
     """Distinct XXH64 of a text's word k-shingles, as a column (fewer words: the whole sequence; none: empty)."""
-    words = F.filter(F.split(F.lower(text_or_empty(text_col)), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    lowered = F.translate(text_or_empty(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(lowered, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     n = F.size("w")
     return words, F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
         F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice("w", i, k)))))
@@ -237,8 +294,9 @@ def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Candidates are texts whose length-weighted word fingerprints differ in at most `radius` bits; a link stands if the
     Jaccard similarity of the sets of `shingle`-word shingles is `similarity` or more. Equal texts are gathered first.
-    Two passes keep large groups cheap and lose no link: the first confirms each anchor's spanning forest, the second
-    confirms every candidate between groups that the first left apart.
+    Sketches of the shingle sets rule out most other candidates, and never one that is similar enough. Two passes keep
+    large groups cheap and lose no candidate: the first confirms each anchor's spanning forest, the second confirms
+    every candidate between groups that the first left apart.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where("id is not null")
     keyed = table(rows.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("key")))
@@ -246,7 +304,7 @@ def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = table(keyed.join(reps, "key").select("id", "rep").distinct())
     first = rows.join(members.select("rep").distinct(), rows["id"] == F.col("rep"), "left_semi").dropDuplicates(["id"])
     first = table(first)
-    fps = table(fingerprints(first, "id", "text", by_length=True))
+    fps = table(fingerprints(first, "id", "text", by_length=True, sketched=shingle))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.where("a is not null and b is not null").distinct())
@@ -257,14 +315,10 @@ def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         both = F.size(F.array_intersect("sa", "sb"))
         return cut(pairs.join(left, "a").join(right, "b").where((both > 0) & (both >= similarity * (F.size("sa") + F.size("sb") - both))).select("a", "b"))
 
-    one = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    same = fps.join(one, "fp").where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    links = confirmed(same.unionByName(links_within(one.select(F.col("rep").alias("id"), "fp"), radius)))
+    links = confirmed(links_within(fps, radius, None, similarity))
     found = components(links)
-    grouped = cut(fps.join(found, fps["id"] == found["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("grp")))
-    # one representative of each (fingerprint, group) stands for the copies that are already linked
-    apart = grouped.groupBy("fp", "grp").agg(F.min("id").alias("id"))
-    links = links.unionByName(confirmed(links_within(apart, radius, "grp")))
+    grouped = cut(fps.join(found, fps["id"] == found["node"], "left").select(*fps.columns, F.coalesce("component", "id").alias("grp")))
+    links = links.unionByName(confirmed(links_within(grouped, radius, "grp", similarity)))
     found = components(links.unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
     ids = keyed.select("id").distinct()
     return ids.join(found, ids["id"] == found["node"], "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))
