@@ -27,7 +27,7 @@ GRAM = 32
 CHUNK = 2048
 BUCKETS = 64
 #: Text keys that are broadcast to pick out texts before their shuffle; beyond it the texts are shuffled first.
-BROADCAST_KEYS = 2_000_000
+BROADCAST_KEYS = 500_000
 #: Bytes that are hashed at a time.
 SEGMENT = 4 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
