@@ -29,7 +29,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shingles(text: Column, k: int = SHINGLE) -> Column:
-    """64-bit hashes of a text's k-word shingles in order; A-Z lower-cased, words end at ASCII space; fewer words: none."""
+    """64-bit hashes of a text's k-word shingles in order; lower-cased, words end at ASCII space; fewer words: none."""
     words = F.filter(F.split(F.lower(text), r"[ \t-\r]+"), lambda w: w != "")
 
     def hashes(w: Column) -> Column:
