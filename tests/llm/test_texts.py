@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tidemark.llm import decontamination, html_extract, quality, substrings
+from tidemark.llm import bwt, decontamination, html_extract, quality, substrings
 from tidemark.llm.queries import QUERIES
 
 
@@ -26,8 +26,20 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("chunk", [4, 2048])
-def test_repeats_against_brute_force(spark, chunk):
+@pytest.mark.parametrize("depth", [1, 2, 7, 20])
+def test_merged_transforms_against_substrings(depth):
+    rng = random.Random(depth)
+    for n in (1, 2, 3, 40):
+        texts = [bytes(rng.choices(b"ab\x00\xff", k=rng.randrange(0, 60))) for _ in range(n)]
+        texts += texts[:2]
+        found = bwt.classes(texts, depth)
+        begin = np.cumsum([0] + [len(t) + 1 for t in texts])
+        places = [(t[i : i + depth], int(found[b + i])) for t, b in zip(texts, begin, strict=False) for i in range(len(t) - depth + 1)]
+        assert len(set(places)) == len({s for s, _ in places}) == len({c for _, c in places})
+
+
+@pytest.mark.parametrize(("chunk", "merge"), [(4, False), (2048, False), (4, True), (2048, True)])
+def test_repeats_against_brute_force(spark, chunk, merge):
     rng = random.Random(5)
     shared = ["".join(rng.choices("abcde ", k=n)) for n in (150, 180, 199, 200, 201, 230, 400, 900)]
     texts = []
@@ -36,7 +48,7 @@ def test_repeats_against_brute_force(spark, chunk):
         texts.append("Ha " * rng.randrange(1, 300) + t if rng.random() < 0.1 else t)
     texts += [None, "", texts[0], texts[1], texts[1]]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in substrings.remove_repeats(df, with_text=True, chunk=chunk).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in substrings.remove_repeats(df, with_text=True, chunk=chunk, merge=merge).collect()}
     assert got == dict(enumerate(brute_repeats([(t or "").encode() for t in texts])))
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 

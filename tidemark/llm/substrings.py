@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import bwt
 from tidemark.llm.common import table, text_or_empty
 
 LENGTH = 200
@@ -142,7 +143,15 @@ def _windows(contexts: list[bytes], offset: np.ndarray) -> tuple[np.ndarray, np.
     return of, offset[of] + inside, h[np.repeat(np.cumsum(size) - size, n) + inside]
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(contexts: list[bytes]) -> np.ndarray:
+    """Class of every window of the contexts, in the order of _windows, from merged Burrows-Wheeler transforms."""
+    size = np.array([len(c) for c in contexts])
+    n = size - LENGTH + 1
+    begin = np.repeat(np.cumsum(size + 1) - size - 1, n)
+    return bwt.classes(contexts, LENGTH)[begin + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+
+
+def _compare(batches: Iterator[pa.RecordBatch], merge: bool) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by (anchor, salt) -> intervals that repeat; for chunked anchors also their windows, packed by hash."""
     names = ["key", "lo", "hi", "anchor", "bucket", "h", "owner", "start", "open"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
@@ -152,9 +161,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = pa.compute.dictionary_encode(key)
         text = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         of, start, h = _windows(t["context"].to_pylist(), t["lo"].to_numpy())
+        same = _merged(t["context"].to_pylist()) if merge else h
         who = text[of] << 40 | start
-        order = np.lexsort((who, h))
-        hs, ws = h[order], who[order]
+        order = np.lexsort((who, same))
+        hs, ws = same[order], who[order]
         head = np.concatenate([[True], hs[1:] != hs[:-1]])
         run = np.cumsum(head) - 1
         first, last = ws[head], ws[np.concatenate([np.nonzero(head)[0][1:] - 1, [len(ws) - 1]])]
@@ -173,7 +183,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             mine = np.nonzero(anchor[of[order]] == a)[0]
             mine = mine[np.concatenate([[True], hs[mine][1:] != hs[mine][:-1]])]  # one of each window
             n_buckets = min(BUCKETS, int(chunks[anchor == a][0]))
-            bucket = (hs[mine] % np.uint64(n_buckets)).astype(np.int64)
+            bucket = (h[order[mine]] % np.uint64(n_buckets)).astype(np.int64)
             for b in np.unique(bucket):
                 w = order[mine[bucket == b]]
                 row = [[None], [None], [None], [a], [int(b)], [h[w].view(np.int64)], [key.take(pa.array(of[w])).to_pylist()], [start[w]], [~found[w]]]
@@ -215,13 +225,15 @@ def _across(group: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("key", pa.string()), ("lo", pa.int64()), ("hi", pa.int64())]))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, chunk: int = CHUNK) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, chunk: int = CHUNK, merge: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row: each byte of a 200-byte string that also starts
     anywhere else, in the same document or another, is removed.
 
     Null text counts as empty. Texts below 200 bytes keep all; texts that occur twice or more, and have 200 bytes,
-    keep nothing. `chunk` is how many contexts of one anchor are compared at once. Repeated rows and ids give repeated results. Extra columns are left out. With `with_text`, `kept`
-    has the remaining bytes.
+    keep nothing. `chunk` is how many contexts of one anchor are compared at once. Repeated rows and ids give repeated
+    results. Extra columns are left out. With `with_text`, `kept` has the remaining bytes. With `merge`, equal windows
+    of a group are found by merging Burrows-Wheeler transforms of its contexts instead of by hash, free of collisions
+    but far slower; windows of different chunks of one anchor still meet by hash.
     """
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("raw")).withColumn("key", F.sha2("raw", 256))
@@ -264,7 +276,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = texts(wanted).select("key", "raw", "copies", "xs").mapInArrow(contexts, "anchor bigint, chunks bigint, salt bigint, key string, copies bigint, lo bigint, context binary")
     compared = table(
         dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-        .mapInArrow(_compare, "key string, lo bigint, hi bigint, anchor bigint, bucket int, h array<bigint>, owner array<string>, start array<bigint>, open array<boolean>")
+        .mapInArrow(lambda batches: _compare(batches, merge), "key string, lo bigint, hi bigint, anchor bigint, bucket int, h array<bigint>, owner array<string>, start array<bigint>, open array<boolean>")
     )
     across = compared.where("anchor is not null").groupBy("anchor", "bucket").applyInArrow(_across, "key string, lo bigint, hi bigint")
     inside = found.where("copies = 1").select("key", F.explode(F.arrays_zip("lo", "hi")).alias("x")).select("key", "x.lo", "x.hi")
