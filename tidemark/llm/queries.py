@@ -27,7 +27,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), merge=True)
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
