@@ -63,6 +63,23 @@ def test_checksums_context_and_masks(spark):
     assert [r["text"] for r in pii.mask(df).orderBy("doc_id").collect()] == ["Account <iban>.", texts[1], "ssn: <ssn>", texts[3], "card <card> of <email>"]
 
 
+def test_ibans_among_capitals_digits_and_codes(spark):
+    de, gb, no = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"
+    texts = [
+        "DE89370400440532013000 Please pay", f"{de} BIC COBADEFF", f"{de} 12 EUR", f"to {gb} {de} OR {no} NOW 2024", f"AB12 {de} X", f"AT12 3456 {de}", f"REF DE12 3456 {gb} A1", "é🙂 " * 30 + f"{no} A",
+        "XX" + str(98 - int("0123456789012345" + "3333" + "00") % 97).zfill(2) + "0123456789012345 EUR", f"{gb}9 Z", f"x{gb}", "DE88 3704 0044 0532 0130 00 BIC", "AB12 " * 3000, None, f"\x01 {gb} \x01",
+    ]
+    want = [["DE89370400440532013000"], [de], [de], [gb, de, no], [de], [de], [gb], [no], [texts[8][:20]], [], [], [], None, [], [gb]]
+    df = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).cache()
+    for r in df.collect():
+        found = [x for x in r["pii"] if x["kind"] == "iban"]
+        if want[r["doc_id"]] is not None:
+            assert [x["v"] for x in found] == want[r["doc_id"]], r["text"]
+        assert all(r["text"][x["s"] : x["e"]] == x["v"] and r["text"][max(0, x["s"] - 40) : x["s"]].replace("\x01", "\x02") == x["c"] for x in found)
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}
+    assert masked[0] == "<iban> Please pay" and masked[1] == "<iban> BIC COBADEFF" and masked[3] == "to <iban> <iban> OR <iban> NOW 2024"
+
+
 def test_ownership_tells_copies_from_owners(spark):
     rows = [(i, "token=copied99", f"s{i}", f"s{i}") for i in range(4)] + [(10, "token=mine1234 and token=mine1234", "s1", "s1"), (11, None, None, None), (12, "token=copied99", None, None)]
     got = {r["doc_id"]: r for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string, source string, own string"), owner="own").collect()}

@@ -6,18 +6,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_or_empty
-from tidemark.llm.spans import count_of, matches, spans, written
+from tidemark.llm.spans import CONTEXT, MARK, count_of, matches, spans, written
 
 BASE = ("email", "ip", "card", "phone")
-# Possessive loops and look-behinds only keep long runs linear; what they match is what the plain patterns match.
+# Possessive loops and look-behinds only keep long runs linear; what they match is what the plain patterns match. The one
+# for iban matches nothing wide: it captures what may follow a start, and `ibans` looks for the end.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+[A-Za-z0-9]?))",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
+#: Characters of an IBAN by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    n: codes.split() for n, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
 OCTETS = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 #: Score of a confirmed span, and of one with a context word close before it.
 SCORES = {"email": (0.9, 0.95), "ip": (0.6, 0.9), "card": (0.8, 0.98), "phone": (0.7, 0.95), "iban": (0.9, 0.99), "ssn": (0.3, 0.85)}
@@ -44,6 +53,42 @@ def mod97(v: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(step(a, c))) == 1
 
 
+def ibans(text: Column) -> Column:
+    """IBANs of a text as array<struct<s, e, v, c>>, like `matches`, every start tried and overlapping ones left out.
+
+    An IBAN ends where a word ends: for a country of the registry at its length, for others at the longest end that
+    passes mod-97, so capitals, digits and codes that follow do not hide it.
+    """
+    pattern = PATTERNS["iban"]
+    marked = F.regexp_replace(F.translate(text, MARK, "\x02"), F.lit(pattern), F.lit(f"{MARK}$1{MARK}"))
+    none = F.array().cast("array<struct<s:int,e:int,v:string,c:string>>")
+    length = F.create_map(*[F.lit(x) for n, codes in IBAN_LENGTHS.items() for code in codes for x in (code, n)])
+
+    def ending(window: Column) -> Column:
+        words = F.split(window, " ")
+        ends = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+
+        def fits(v: Column) -> Column:
+            plain = F.replace(v, F.lit(" "), F.lit(""))
+            n = F.length(plain)
+            return n.between(15, 34) & (F.upper(plain) == plain) & F.coalesce(F.try_element_at(length, F.left(plain, F.lit(2))) == n, F.lit(True)) & mod97(v)
+
+        return F.coalesce(F.try_element_at(F.filter(ends, fits), F.lit(1)), F.lit(""))
+
+    def step(a: Column, x: Column) -> Column:
+        v = F.when(a["inside"] & (a["pos"] >= a["end"]), ending(x)).otherwise(F.lit(""))
+        hit = F.struct(a["pos"].alias("s"), (a["pos"] + F.length(v)).alias("e"), v.alias("v"), a["before"].alias("c"))
+        found = F.length(v) > 0
+        return F.struct(
+            (a["pos"] + F.when(a["inside"], F.lit(0)).otherwise(F.length(x))).alias("pos"), (~a["inside"]).alias("inside"), F.when(found, hit["e"]).otherwise(a["end"]).alias("end"),
+            F.when(a["inside"], a["before"]).otherwise(F.right(F.concat(a["before"], x), F.lit(CONTEXT))).alias("before"), F.when(found, F.array_append(a["out"], hit)).otherwise(a["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.lit(0).alias("end"), F.lit("").alias("before"), none.alias("out"))
+    found = F.aggregate(F.split(marked, MARK, -1), start, step, lambda a: a["out"])
+    return F.coalesce(F.when(F.regexp_like(text, F.lit(pattern)), found), none)
+
+
 def confirmed(kind: str, v: Column) -> Column:
     if kind == "ip":
         return F.regexp_like(v, F.lit(OCTETS))
@@ -51,7 +96,7 @@ def confirmed(kind: str, v: Column) -> Column:
         return F.length(_digits(v)).between(14, 19) & F.call_function("luhn_check", _digits(v))
     if kind == "phone":
         return F.length(_digits(v)).between(10, 15)
-    return mod97(v) if kind == "iban" else F.lit(True)
+    return F.lit(True)
 
 
 def score(kind: str, context: Column) -> Column:
@@ -70,7 +115,7 @@ def find(df: DataFrame, text_col: str = "text") -> DataFrame:
     def kept(k: str):
         return lambda x: confirmed(k, x["v"]) & (F.lit(k in BASE) | (score(k, x["c"]) >= THRESHOLD))
 
-    kinds = [(k, F.filter(matches(text, p), kept(k))) for k, p in PATTERNS.items()]
+    kinds = [(k, F.filter(ibans(text) if k == "iban" else matches(text, p), kept(k))) for k, p in PATTERNS.items()]
     found = F.transform(spans(kinds), lambda x: x.withField("score", F.coalesce(*[F.when(x["kind"] == k, score(k, x["c"])) for k in PATTERNS])))
     return df.drop("pii").withColumn("pii", found)
 
