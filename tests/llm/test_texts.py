@@ -116,6 +116,32 @@ def test_quality_without_labels(spark):
     assert quality.score(df.limit(0), model).count() == 0
 
 
+def test_quality_of_very_long_texts(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    rows = docs.join(labels, "doc_id").where(quality.held_out("doc_id")).orderBy("doc_id").select("text", "quality").collect()
+    for y in (0, 1):
+        joined = "\n".join(r["text"] for r in rows if r["quality"] == y and r["text"])
+        for size in (100_000, 700_000, 3_000_000):
+            assert int(model.score((joined * (size // len(joined) + 1))[:size]) >= 0.3) == y
+
+
+def test_quality_is_trained_on_whole_texts(spark, monkeypatch):
+    rng = random.Random(6)
+    words = {y: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(150)] for y in (0, 1, "both")}
+    text = lambda y, n: " ".join(rng.choices(words[y], k=n))
+    rows = [(i, text("both", 2_600) + " " + text(i % 2, 2_600), i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    for bound in (quality.FIT_CHUNKS_PER_CLASS, 100):
+        monkeypatch.setattr(quality, "FIT_CHUNKS_PER_CLASS", bound)
+        model = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
+        right = [int(model.score(text("both", 2_600) + " " + text(i % 2, 2_600)) >= 0.5) == i % 2 for i in range(40)]
+        assert sum(right) >= 38
+    assert quality._shares([("a", 1), ("b", 400 * quality.CHUNK), ("c", 30 * quality.CHUNK)]) == {"a": 1, "c": 30, "b": 69}
+
+
 def test_pages_against_their_articles(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in QUERIES["op9_html"](spark, sf).collect():

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, text_or_empty
 
-#: Bounds of the fit: labelled rows of each class that are gathered, and characters of each. Scoring has no bound.
+#: Bounds of the fit: labelled rows of each class that are used, and chunks of a class that train its dictionary, dealt
+#: evenly over the rows and over each whole text. Scoring has no bound.
 FIT_ROWS_PER_CLASS = 3000
-FIT_CHARS = 20_000
+FIT_CHUNKS_PER_CLASS = 8192
 DICTIONARY_BYTES = 64 * 1024
 CHUNK = 4096
 LEVEL = 3
@@ -49,15 +50,16 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
 
 
 def _features(text: str, good: bytes, bad: bytes) -> tuple[float, float, float]:
-    """Normalised size difference, log compression ratio and log length of a whole text.
+    """Normalised size difference, log compression ratio and log length, up to a chunk, of a whole text.
 
-    The text is compressed in chunks, each against the fresh dictionary, so that a long text is judged like a short one.
+    The text is compressed in chunks, each against the fresh dictionary, so that a long text is judged like a short one;
+    beyond a chunk the length changes nothing.
     """
     raw = text.encode("utf-8", "replace")
     g, b = _compressor(good), _compressor(bad)
     chunks = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
     n_good, n_bad = sum(len(g.compress(c)) for c in chunks), sum(len(b.compress(c)) for c in chunks)
-    return (n_bad - n_good) / max(n_good, n_bad), float(np.log(min(n_good, n_bad) / len(raw))), float(np.log(len(raw)))
+    return (n_bad - n_good) / max(n_good, n_bad), float(np.log(min(n_good, n_bad) / len(raw))), float(np.log(min(len(raw), CHUNK)))
 
 
 def _expand(x: np.ndarray) -> np.ndarray:
@@ -83,38 +85,74 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0 if isinstance(id_col, str) else F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
+def _shares(sizes: list[tuple]) -> dict:
+    """Chunks to take of each text, from (id, bytes): all, or the same number of each as far as the bound and they go."""
+    chunks = {i: -(-n // CHUNK) for i, n in sizes}
+    share, left = {}, FIT_CHUNKS_PER_CLASS
+    for at, i in enumerate(sorted(chunks, key=lambda i: (chunks[i], i))):
+        share[i] = min(chunks[i], max(1, left // (len(chunks) - at)))
+        left -= share[i]
+    return share
+
+
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = FIT_ROWS_PER_CLASS) -> Model:
     """Train on labelled rows that are not held out.
 
-    At most `rows_per_class` rows of each class, the first by hash of id, with at most FIT_CHARS characters each, come
-    to the driver: even ones build the dictionaries, odd ones calibrate. Rows with null id, label or text are passed
-    over; an id labelled twice takes its lower label. With fewer than eight rows of a class the score is the base rate.
+    At most `rows_per_class` rows of each class, the first by hash of id, are used whole: even ones build the
+    dictionaries, odd ones calibrate. To the driver come the sizes, at most FIT_CHUNKS_PER_CLASS chunks of a class (all,
+    or as many of each text as fit, evenly over it) and three features of each odd row, computed in tasks. Rows with null
+    id, label or text are passed over; an id labelled twice takes its lower label. With fewer than eight rows of a class
+    the score is the base rate.
     """
     label = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
     rows = df.where(~held_out(id_col) & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = table(rows.select("id").distinct().join(label, "id"))
     first = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows_per_class) for y in (0, 1)]
     # two classes of `rows_per_class` ids at most: a broadcast of bounded size
-    chosen = rows.join(F.broadcast(first[0].unionByName(first[1])), "id").dropDuplicates(["id"])
-    texts: dict[int, list[str]] = {0: [], 1: []}
-    for r in sorted(chosen.select("id", "y", F.substring("text", 1, FIT_CHARS).alias("t")).collect(), key=lambda r: r["id"]):
-        texts[r["y"]].append(r["t"])
+    # a row that repeats an id with other text: the least text counts
+    chosen = table(rows.join(F.broadcast(first[0].unionByName(first[1])), "id").groupBy("id", "y").agg(F.min("text").alias("text")))
+    texts: dict[int, list] = {0: [], 1: []}
+    for r in sorted(chosen.select("id", "y", F.octet_length("text").alias("n")).collect(), key=lambda r: r["id"]):
+        texts[r["y"]].append((r["id"], r["n"]))
     n = len(texts[0]) + len(texts[1])
     if min(map(len, texts.values())) < 8:
         rate = (len(texts[1]) + 1) / (n + 2)
         return Model(b"", b"", (float(np.log(rate / (1 - rate))), *[0.0] * 9), (0.0,) * 3, (1.0,) * 3)
+    share = {i: (y, k) for y, sample in texts.items() for i, k in _shares(sample[::2]).items()}
+    odd = {i for sample in texts.values() for i, _ in sample[1::2]}
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, i in enumerate(batch.column("id").to_pylist()):
+                if i in share:
+                    raw = batch.column("text")[row].as_py().encode("utf-8", "replace")
+                    n_chunks, k = -(-len(raw) // CHUNK), share[i][1]
+                    at = [(2 * j + 1) * n_chunks // (2 * k) * CHUNK for j in range(k)]
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, 1).take(pa.array([0] * k, pa.int32())), pa.array(at, pa.int64()), pa.array([raw[b : b + CHUNK] for b in at], pa.binary())], ["id", "at", "piece"])
+
+    id_type = chosen.schema["id"].dataType.simpleString()
+    gathered: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sorted(chosen.select("id", "text").mapInArrow(pieces, f"id {id_type}, at bigint, piece binary").collect(), key=lambda r: (r["id"], r["at"])):
+        gathered[share[r["id"]][0]].append(bytes(r["piece"]))
     dictionaries = {}
-    for y, sample in texts.items():
-        parts = [c for t in sample[::2] for raw in [t.encode("utf-8", "replace")] for c in (raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK))]
+    for y, parts in gathered.items():
         room = max(1024, min(DICTIONARY_BYTES, sum(map(len, parts)) // 4))
         try:
             dictionaries[y] = zstandard.train_dictionary(room, parts).as_bytes()
         except zstandard.ZstdError:  # too little text to train on: the text itself serves
             dictionaries[y] = b"".join(parts)[-room:]
-    pairs = [(t, y) for y, sample in texts.items() for t in sample[1::2]]
-    x = np.array([_features(t, dictionaries[1], dictionaries[0]) for t, _ in pairs])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [row for row, i in enumerate(batch.column("id").to_pylist()) if i in odd]
+            x = np.array([_features(batch.column("text")[row].as_py(), dictionaries[1], dictionaries[0]) for row in at]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int32())) for c in ("id", "y")), *(pa.array(x[:, k]) for k in range(3))], ["id", "y", "x0", "x1", "x2"])
+
+    y_type = chosen.schema["y"].dataType.simpleString()
+    pairs = sorted(chosen.select("id", "y", "text").mapInArrow(measured, f"id {id_type}, y {y_type}, x0 double, x1 double, x2 double").collect(), key=lambda r: (r["y"], r["id"]))
+    x = np.array([(r["x0"], r["x1"], r["x2"]) for r in pairs])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    w = _logistic(_expand((x - mean) / scale), np.array([y for _, y in pairs], dtype=float))
+    w = _logistic(_expand((x - mean) / scale), np.array([r["y"] for r in pairs], dtype=float))
     return Model(dictionaries[1], dictionaries[0], tuple(w), tuple(mean), tuple(scale))
 
 
