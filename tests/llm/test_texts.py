@@ -58,14 +58,32 @@ def shingles(t):
     return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
 
 
-def test_contamination_against_every_window(spark):
+def similar_windows(docs, items):
+    """Best similarity of each document and item over every window, if it is 0.8 or more."""
+    want = {}
+    for i, t, *_ in docs:
+        hs = shingles(t)
+        for k, item in items:
+            own = collections.Counter(shingles(item))
+            m = sum(own.values())
+            for s in range(len(hs) if m else 0):
+                win = collections.Counter(hs[s : s + m])
+                common = sum((win & own).values())
+                if common / (sum(win.values()) + m - common) >= 0.8:
+                    want[i, k] = max(want.get((i, k), 0), common / (sum(win.values()) + m - common))
+    return want
+
+
+@pytest.fixture(scope="module")
+def leaks():
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(1, 8)))
-    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 60)))) for i in range(20)] + [(50, None), (51, "too few words"), (52, "la la la la la la la la la")]
+    items = [(i, " ".join(word() for _ in range(rng.choice([rng.randrange(5, 60), rng.randrange(130, 400) if i % 5 == 0 else 30])))) for i in range(20)]
+    items += [(50, None), (51, "too few words"), (52, "la la la la la la la la la")]
     docs = []
-    for i in range(120):
+    for i in range(160):
         words = [word() for _ in range(rng.randrange(0, 150))]
-        if rng.random() < 0.6:
+        if rng.random() < 0.7:
             leak = rng.choice(items[:20])[1].split()
             for _ in range(rng.choice([0, 0, 1, 2])):
                 leak[rng.randrange(len(leak))] = word()
@@ -75,28 +93,52 @@ def test_contamination_against_every_window(spark):
             words[at:at] = leak * rng.choice([1, 1, 2])
         docs.append((i, " \n".join(words).upper() if i % 3 else " ".join(words), 1))
     docs += [(500, None, 1), (501, "", 1), (502, "LA la la la la la la la la la la la", 1), docs[0]]
+    return docs, items
+
+
+def test_contamination_against_every_window(spark, leaks):
+    docs, items = leaks
     d, b = spark.createDataFrame(docs, "doc_id long, text string, key int"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contaminated(d, b).collect()}
-    want = {}
-    for i, t, _ in docs:
-        hs = shingles(t)
-        for k, item in items:
-            own = collections.Counter(shingles(item))
-            m = sum(own.values())
-            for s in range(len(hs) if m else 0):
-                win = collections.Counter(hs[s : s + m])
-                common = sum((win & own).values())
-                if common / (sum(win.values()) + m - common) >= 0.8:
-                    want[i, k] = max(want.get((i, k), 0), common / (sum(win.values()) + m - common))
-    assert got == pytest.approx(want) and len(want) > 20
+    want = similar_windows(docs, items)
+    missed = set(want) - set(got)
+    assert len(want) > 40 and len(missed) <= 0.05 * len(want)  # fingerprints further apart than the radius
+    assert got == pytest.approx({pair: j for pair, j in want.items() if pair not in missed})
     assert decontamination.contaminated(d.limit(0), b).count() == 0 == decontamination.contaminated(d, b.limit(0)).count()
+    assert decontamination.contaminated(d, b.limit(0)).columns == decontamination.contaminated(d, b).columns
 
 
-def test_simhash_column_against_loop(spark):
-    rng = random.Random(2)
-    rows = [(i, [rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.randrange(1, 70))]) for i in range(40)]
-    for r in spark.createDataFrame(rows, "id int, h array<bigint>").select("h", decontamination.simhash(decontamination.F.col("h")).alias("fp")).collect():
-        assert r["fp"] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in r["h"]) > len(r["h"]))
+def test_fingerprints_decide_the_candidates(spark, leaks, monkeypatch):
+    docs, items = leaks
+    d, b = spark.createDataFrame(docs, "doc_id long, text string, key int"), spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontamination, "simhash", lambda h: 0x0F0F0F0F0F0F0F0F)
+    assert decontamination.contaminated(d, b).count() < 5
+    monkeypatch.undo()
+    one_pass = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()}
+    monkeypatch.setattr(decontamination, "PASS_PIECES", 5)  # several passes over the documents
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", -1)  # joins by shuffle
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()} == one_pass
+
+
+def test_sliding_fingerprints_against_loop(monkeypatch):
+    monkeypatch.setattr(decontamination, "SEGMENT", 64)
+    rng = np.random.default_rng(2)
+    hashes = rng.integers(0, 1 << 64, 900, dtype=np.uint64)
+    plain = lambda h: sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
+    ends = np.array([0, 3, 200, 200, 900])
+    for size in (1, 7, 40, 127):
+        assert decontamination.simhash(hashes[:size].view(np.int64)) == plain(hashes[:size])
+        at = rng.choice(range(200, 900 - size))
+        fp = plain(hashes[at : at + size]) ^ (1 << 5 | 1 << 30 | 1 << 63)
+        index = decontamination.Index(np.array([fp, ~fp & (1 << 64) - 1], np.uint64), np.array([size, size]))
+        starts = range(0, 900, 1)
+        windows = {s: plain(hashes[s : min(s + size, next(e for e in ends if e > s))]) for s in starts}
+        got = set(zip(*map(np.ndarray.tolist, decontamination.search(index, hashes, ends)), strict=True))
+        step = max(1, size // decontamination.STEPS)
+        for s, f in windows.items():
+            left = next(e for e in ends if e > s) - s
+            looked = s % 64 % step == 0 if left >= size else left * 4 >= size * 3
+            assert ((s, 0) in got) == (looked and (f ^ fp).bit_count() <= decontamination.RADIUS)
 
 
 def test_quality_on_held_out_rows(spark, sf):

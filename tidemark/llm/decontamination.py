@@ -1,26 +1,42 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle check.
 
-DataFrame functions only. A window can only reach the similarity if it shares shingles with the item, so windows are
-opened where a document has a shingle of the item; that leaves out none that could pass.
+Every document is covered by windows of every item size. Their SimHashes slide: a document's shingles become running
+sums of bit counters, eight counters to a word, and a window's counters are the difference of two sums. The index knows
+the items by blocks of their fingerprints; a window is looked up by its size and its own blocks, without an item in
+mind. What the index finds within the radius is checked exactly.
+
+The windows' fingerprints and lookups are numpy inside Arrow batches; shingles, joins and the exact check are DataFrame
+functions. The README says by how much the form without Python missed the limits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, text_or_empty
+from tidemark.llm.common import cut, table, text_or_empty
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Eight blocks of eight bits, each matched within two bits: every fingerprint within 23 bits is found. At similarity
-#: 0.8 fingerprints differ in ten bits on average, so 23 lies more than four standard deviations off.
-BLOCKS, BLOCK_RADIUS = 8, 2
+#: Four blocks of sixteen bits, each matched within three bits: every fingerprint within 15 bits is found.
+BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-#: Rows of the benchmark's tables that are broadcast; larger ones are joined by shuffle.
+#: Counters have eight bits of which one stays free, so an item is looked for in pieces of 127 shingles at most.
+LONGEST = 127
+#: Windows of a size begin every size / STEPS shingles.
+STEPS = 10
+#: Pieces of items that one pass over the documents looks for; a larger benchmark takes more passes.
+PASS_PIECES = 2048
+#: Shingles whose running sums are held at a time.
+SEGMENT = 1 << 17
+#: Rows of the benchmark's tables, and of candidates, that are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+ONES = np.uint64(0x0101010101010101)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -39,26 +55,124 @@ def shingles(text: Column, k: int = SHINGLE) -> Column:
     return let(words, hashes)
 
 
-def simhash(hashes: Column) -> Column:
-    """64-bit SimHash of an array of hashes, repeats as weight: a bit is 1 if set in over half. Two bits share a sum."""
-    pair, low = F.lit((1 << 32) | 1).cast("long"), F.lit(0xFFFFFFFF).cast("long")
-
-    def of(h: Column) -> Column:
-        sums = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + F.call_function("shiftrightunsigned", x, j).bitwiseAND(pair)))
-        one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-
-        def bits(c: Column, j: Column) -> Column:
-            first = F.when(c.bitwiseAND(low) * 2 > F.size(h), F.call_function("shiftleft", one, j)).otherwise(none)
-            return first.bitwiseOR(F.when(F.call_function("shiftrightunsigned", c, F.lit(32)) * 2 > F.size(h), F.call_function("shiftleft", one, j + 32)).otherwise(none))
-
-        return F.aggregate(F.transform(sums, bits), none, lambda a, x: a.bitwiseOR(x))
-
-    return let(hashes, of)
+def running(hashes: np.ndarray) -> np.ndarray:
+    """Eight rows of running sums, from 0 on, of the bit counters of hashes: row j counts bits j, j + 8, ..., j + 56.
 
-
-def blocks(fp: str) -> Column:
-    """The eight (block, value) of a fingerprint."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.struct(b.alias("block"), F.call_function("shiftrightunsigned", F.col(fp), b * 8).bitwiseAND(F.lit(255).cast("long")).alias("value")))
+    Sums wrap, but the difference of two that lie at most LONGEST apart does not.
+    """
+    out = np.zeros((8, len(hashes) + 1), np.uint64)
+    for j in range(8):
+        np.cumsum(hashes >> np.uint64(j) & ONES, out=out[j, 1:])
+    return out
+
+
+def fingerprints(sums: list[np.ndarray], n: np.ndarray | int) -> np.ndarray:
+    """SimHashes from windows' eight counter words and their numbers of shingles: a bit is 1 if set in over half."""
+    bias = np.uint64(LONGEST) * ONES - (np.asarray(n) // 2).astype(np.uint64) * ONES
+    out = np.zeros(len(sums[0]), np.uint64)
+    for j, s in enumerate(sums):
+        out |= ((s + bias) >> np.uint64(7) & ONES) << np.uint64(j)
+    return out
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """SimHash of at most LONGEST hashes, repeats as weight."""
+    p = running(np.asarray(hashes, np.int64).view(np.uint64))
+    return int(fingerprints([p[j, -1:] for j in range(8)], len(hashes))[0])
+
+
+class Index:
+    """Pieces of items by size and by blocks of their fingerprints, each block with all values within BLOCK_RADIUS."""
+
+    def __init__(self, fps: np.ndarray, sizes: np.ndarray):
+        self.fps, self.of_size = fps, {}
+        near = np.array([v for v in range(1 << BLOCK_BITS) if v.bit_count() <= BLOCK_RADIUS], np.int64)
+        for size in np.unique(sizes):
+            mine = np.nonzero(sizes == size)[0]
+            values = np.stack([self.block(fps[mine], b) for b in range(BLOCKS)])
+            keys = (values[:, :, None] ^ near).ravel()
+            order = np.argsort(keys, kind="stable")
+            hit = np.zeros(BLOCKS << BLOCK_BITS, bool)
+            hit[keys] = True
+            self.of_size[int(size)] = hit, keys[order], np.tile(np.repeat(mine, len(near)), BLOCKS)[order]
+        self.longest = int(sizes.max(initial=0))
+
+    @staticmethod
+    def block(fp: np.ndarray, b: int) -> np.ndarray:
+        return (fp >> np.uint64(b * BLOCK_BITS) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64) | b << BLOCK_BITS
+
+    def within(self, fp: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, piece) of the fingerprints of windows of a size that lie within RADIUS of a piece's, each once."""
+        hit, keys, pieces = self.of_size[size]
+        found_w, found_p = [], []
+        for b in range(BLOCKS):
+            key = self.block(fp, b)
+            w = np.nonzero(hit[key])[0]
+            lo, hi = np.searchsorted(keys, key[w]), np.searchsorted(keys, key[w], side="right")
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            w, p = np.repeat(w, n), pieces[at]
+            near = np.bitwise_count(fp[w] ^ self.fps[p]) <= RADIUS
+            found_w.append(w[near]), found_p.append(p[near])
+        both = np.unique(np.stack([np.concatenate(found_w), np.concatenate(found_p)]), axis=1)
+        return both[0], both[1]
+
+
+@lru_cache(maxsize=2)
+def _index(fps: bytes, sizes: bytes) -> Index:
+    return Index(np.frombuffer(fps, np.uint64), np.frombuffer(sizes, np.int64))
+
+
+def search(index: Index, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, piece): windows of the texts whose shingles `hashes` holds one after the other, ending at `ends`.
+
+    A window that its text's end cuts off counts with the shingles it has, if they are three quarters of its size.
+    """
+    end_of = np.repeat(ends, np.diff(ends, prepend=0))
+    places, pieces = [], []
+    for base in range(0, len(hashes), SEGMENT):
+        p = running(hashes[base : base + SEGMENT + index.longest])
+        n, left = min(SEGMENT, len(hashes) - base), end_of[base : base + SEGMENT] - np.arange(base, min(base + SEGMENT, len(hashes)))
+        for size in index.of_size:
+            step = max(1, size // STEPS)
+            full = max(0, min(n, p.shape[1] - size))
+            whole = np.arange(0, full, step)
+            fp = fingerprints([p[j, size : size + full : step] - p[j, :full:step] for j in range(8)], size)
+            inside = left[whole] >= size
+            cut_off = np.nonzero((left < size) & (left * 4 >= size * 3))[0]
+            fp = np.concatenate([fp[inside], fingerprints([p[j, cut_off + left[cut_off]] - p[j, cut_off] for j in range(8)], left[cut_off])])
+            w, found = index.within(fp, size)
+            places.append(np.concatenate([whole[inside], cut_off])[w] + base), pieces.append(found)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *places]), np.concatenate([none, *pieces])
+
+
+def candidates(rows: DataFrame, pieces: DataFrame, n_pieces: int) -> DataFrame:
+    """(row, key, at): places of documents `rows` (row, hs) at which an item may begin.
+
+    `pieces` (piece, key, begin, own) are items, long ones in pieces of LONGEST shingles at most. At most about
+    PASS_PIECES of them come to the driver and go to the tasks at a time.
+    """
+    passes = -(-n_pieces // PASS_PIECES)
+    found = None
+    for k in range(passes):
+        some = pieces.where(F.pmod(F.xxhash64("piece"), F.lit(passes)) == k).collect()
+        fps = np.array([simhash(r["own"]) for r in some], np.uint64).tobytes()
+        sizes = np.array([len(r["own"]) for r in some], np.int64).tobytes()
+        keys, begins = np.array([r["key"] for r in some], np.int64), np.array([r["begin"] for r in some], np.int64)
+
+        def run(batches: Iterator[pa.RecordBatch], fps=fps, sizes=sizes, keys=keys, begins=begins) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hs = batch.column("hs")
+                ends = np.cumsum(pa.compute.list_value_length(hs).to_numpy(zero_copy_only=False).astype(np.int64))
+                place, piece = search(_index(fps, sizes), hs.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends)
+                of = np.searchsorted(ends, place, side="right")
+                at = place - np.concatenate([[0], ends])[of] - begins[piece]
+                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(of)), pa.array(keys[piece]), pa.array(at)], ["row", "key", "at"])
+
+        one = rows.select("row", "hs").mapInArrow(run, "row bigint, key bigint, at bigint")
+        found = one if found is None else found.unionByName(one)
+    return found.distinct()
 
 
 def overlap(a: str, b: str) -> Column:
@@ -77,30 +191,33 @@ def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """(id, item, similarity, n_windows, first_word) for each document and benchmark item of which a window reaches `similarity`.
 
     A window has as many words as the item; its similarity is the weighted Jaccard similarity of 5-word shingles, with
-    counts as weights. Null texts count as empty; documents and items of fewer than five words have no shingle and
-    match nothing. Repeated rows give one result; of rows that share an id but not the text, any may match. An empty
-    benchmark or an empty table gives no rows.
+    counts as weights. Candidates are places whose window has a SimHash within RADIUS of the item's; every window that
+    begins within a quarter of the item's length of a candidate is checked exactly, and n_windows and first_word tell of
+    those that pass. Null texts count as empty; documents and items of fewer than five words have no shingle and match
+    nothing. Repeated rows give one result; of rows that share an id but not the text, any may match. An empty benchmark
+    or an empty table gives no rows.
     """
     items = cut(benchmark.select(F.col(item_col).alias("item"), shingles(text_or_empty(item_text_col)).alias("own")).where(F.size("own") > 0).distinct())
-    items = cut(items.select("item", F.xxhash64("item", "own").alias("key"), "own", F.size("own").alias("m"), simhash(F.col("own")).alias("item_fp")))
+    items = cut(items.select("item", F.xxhash64("item", "own").alias("key"), "own", F.size("own").alias("m")))
     n_items, n_shingles = items.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
-    seeds = items.select("key", "m", F.explode(F.array_distinct("own")).alias("h"))
-
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("row"), shingles(text_or_empty(text_col)).alias("hs"))
-    each = rows.select("id", "row", "hs", F.posexplode("hs").alias("at", "h"))
-    hits = each.join(_small(seeds, n_shingles), "h").select("id", "row", "key", "m", "at", F.slice("hs", F.col("at") + 1, F.col("m")).alias("win"))
-    # a window that passes has at least similarity x m shingles of the item, the first of them at its start or later:
-    # moved to start there it still has them all
-    groups = hits.groupBy("id", "row", "key", "m").agg(F.array_sort(F.collect_set(F.struct("at", "win"))).alias("xs"))
-    need = F.ceil(F.lit(similarity) * F.col("m")).cast("int")
-    starts = F.filter("xs", lambda x, i: (i + need <= F.size("xs")) & (F.try_element_at(F.col("xs"), i + need)["at"] < x["at"] + F.col("m")))
-    windows = groups.select("id", "row", "key", F.explode(starts).alias("x")).select("id", "row", "key", "x.at", "x.win").withColumn("fp", simhash(F.col("win")))
-
-    near = F.array(*[F.lit(v) for v in range(256) if v.bit_count() <= BLOCK_RADIUS])
-    index = items.select("key", "item_fp", F.explode(blocks("item_fp")).alias("b"), near.alias("flips")).select("key", "item_fp", "b.block", F.explode(F.transform("flips", lambda f: F.col("b.value").bitwiseXOR(f.cast("long")))).alias("value"))
-    candidates = windows.select("*", F.explode(blocks("fp")).alias("b")).select("*", "b.block", "b.value").drop("b").join(_small(index, n_items * BLOCKS * 37), ["key", "block", "value"])
-    candidates = candidates.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).groupBy("id", "row", "key", "at").agg(F.first("win").alias("win"))
-    checked = candidates.join(_small(items.select("key", "item", "own"), n_shingles), "key")
-    checked = checked.withColumn("common", overlap("win", "own")).withColumn("similarity", F.col("common") / (F.size("win") + F.size("own") - F.col("common"))).where(F.col("similarity") >= similarity)
-    out = checked.groupBy("id", "item").agg(F.max("similarity").alias("similarity"), F.countDistinct("row", "at").alias("n_windows"), F.min("at").cast("long").alias("first_word"))
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("row"), text_or_empty(text_col).alias("text"))
+    if not n_items:
+        empty = rows.join(items, F.lit(False)).select("id", "item", F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("first_word"))
+        return empty.withColumnsRenamed({"id": id_col, "item": item_col})
+    length = F.ceil(F.col("m") / F.ceil(F.col("m") / LONGEST)).cast("int")
+    pieces = items.select("key", "own", length.alias("length"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / length) - 1).cast("int"))).alias("p"))
+    pieces = pieces.select(F.xxhash64("key", "p").alias("piece"), "key", (F.col("p") * F.col("length")).alias("begin"), F.slice("own", F.col("p") * F.col("length") + 1, F.col("length")).alias("own"))
+    pieces = cut(pieces)
+
+    found = table(candidates(rows.select("row", shingles(F.col("text")).alias("hs")), pieces, pieces.count()))
+    found = cut(found.groupBy("row", "key").agg(F.collect_set("at").alias("ats")))
+    pairs = rows.join(_small(found, found.count()), "row").select("id", "row", "key", "ats", shingles(F.col("text")).alias("hs"))
+    pairs = pairs.join(_small(items.select("key", "item", "own", "m"), n_shingles), "key")
+    reach = F.ceil(F.col("m") / 4).cast("int") + 1
+    starts = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(F.greatest(a - reach, F.lit(0)), F.greatest(F.least(a + reach, F.size("hs") - 1), F.lit(0))))))
+    each = pairs.withColumn("at", F.explode(starts)).select("id", "row", "item", "own", "m", "at", F.slice("hs", F.col("at") + 1, F.col("m")).alias("win"))
+    # as many shingles of the item as a window that passes must have, before their counts are compared
+    each = each.where(F.size(F.filter("win", lambda x: F.array_contains("own", x))) >= similarity / (1 + similarity) * (F.size("win") + F.col("m")) - 1e-9)
+    each = each.withColumn("common", overlap("win", "own")).withColumn("similarity", F.col("common") / (F.size("win") + F.col("m") - F.col("common"))).where(F.col("similarity") >= similarity)
+    out = each.groupBy("id", "item").agg(F.max("similarity").alias("similarity"), F.countDistinct("row", "at").alias("n_windows"), F.min("at").cast("long").alias("first_word"))
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
