@@ -207,6 +207,24 @@ def test_pages_of_other_shapes(spark):
     assert len(got) == 8 and [r["text"] for r in got if r["page_id"] == 1] == [want, want] and all(r["text"] == "" for r in got if r["page_id"] in (2, 3, 4))
 
 
+def test_the_cut_decides_blocks_of_doubt():
+    long = "A sentence of the article that goes on for a while, so that nobody can take it for a menu or a notice of any kind."
+    page = f"<body><div><a href=/>home</a><p>Log in</p></div><section><h2>On cuts</h2><p>{long}</p><p>Quite so.</p><p>{long}</p><ul><li>first</ul><p>{long}</p></section><div><p>See all</p><p>Up</p></div></body>"
+    found = html_extract.blocks(page)
+    alone = {b.text for b, c in zip(found, html_extract.costs(found), strict=True) if c > 0}
+    text, _, _, changed = html_extract.main_text(page)
+    assert text == f"On cuts {long} Quite so. {long} first {long}" and changed >= 2
+    assert not {"Quite so.", "first"} & alone
+    shuffled = {e: 0.0 for e in html_extract.smoothness(found)}
+    assert {b.text for b, x in zip(found, html_extract.minimum_cut(html_extract.costs(found), shuffled), strict=True) if x} == alone
+
+
+def test_names_of_regions_are_bounded():
+    long = "A sentence of the article that goes on for a while, so that nobody can take it for a menu or a notice of any kind."
+    page = f'<body><nav><a href=/>home</a></nav><div class="promo social"><h1>On cuts and their uses</h1><p>{long}</p><p>{long}</p><p>{long}</p><div class="share"><a href=x>tweet</a></div></div><footer><p>{long[:60]}</p></footer></body>'
+    assert html_extract.main_text(page)[0] == f"On cuts and their uses {long} {long} {long}"
+
+
 def test_cut_is_least():
     rng = random.Random(4)
     for _ in range(200):

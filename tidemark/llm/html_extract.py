@@ -1,8 +1,9 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of text blocks. A classifier's cost of calling a block content or boilerplate is its capacity to
-the two terminals; neighbouring blocks, and successive blocks of one DOM parent, are joined by smoothness edges. The
-minimum cut, found by maximum flow, splits content from boilerplate.
+A page becomes a row of text blocks. A linear classifier of bounded features says how much more a block costs as
+boilerplate than as content; these costs are the capacities to the two terminals. Blocks that follow one another are
+joined by smoothness edges, the heavier the nearer they stand in the DOM, and so are successive blocks of one parent.
+The minimum cut, found by maximum flow, splits content from boilerplate: a block of doubt goes with its neighbours.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ RAW = frozenset("script style noscript template svg math iframe object canvas te
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("table ul ol dl div section article main aside nav body".split())
-# regions that are boilerplate whatever they hold, by tag, role and words of class and id
+# what names a region of boilerplate: tags, roles, words of class and id
 OUT_TAGS = frozenset("nav footer aside form button select dialog menu fieldset".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
 OUT_WORDS = frozenset(
@@ -36,8 +37,23 @@ OUT_WORDS = frozenset(
 )
 COMMENT_WORDS = frozenset("comment comments disqus respond reply replies discussion".split())
 IN_WORDS = frozenset("article content entry post story".split())
-#: Costs in nats: a region that settles the label, a page part outside the article that the page itself marks, and an edge.
-SETTLED, OUTSIDE, ADJACENT, SIBLING = 50.0, 3.0, 0.6, 0.6
+#: The classifier: the weight of each feature, all of them between 0 and 1, in nats towards content.
+WEIGHTS = {
+    "bias": -2.0,
+    "length": 3.5,  # a block of 100 characters or more counts fully
+    "links": -3.5,  # share of its characters inside links
+    "sentence": 0.3,  # ends like a sentence
+    "paragraph": 0.6, "heading": 0.8,  # by tag
+    "article": 1.2,  # inside an element that is marked as the article
+    "title": 1.5,  # a heading there
+    "elsewhere": -3.0,  # the page marks an article and the block is not inside
+    "named": -5.0,  # inside an element named as boilerplate, less as that element holds more of the page's text
+    "comment": -6.0, "hidden": -8.0,
+    "depth": -0.3, "margin": -0.3,  # deep in the DOM; at the very beginning or end of the page
+}
+#: Smoothness edges: between neighbours, more by nearness in the DOM, and between successive blocks of one parent; only
+#: the share CROSSING of it where a region that the page names begins or ends between them.
+ADJACENT, PROXIMITY, SIBLING, CROSSING = 0.1, 4.0, 0.5, 0.25
 
 
 @dataclass
@@ -45,53 +61,58 @@ class Block:
     text: str
     tag: str
     parent: int
-    region: int  # 1 in a marked article, -1 in boilerplate, 0 neither
+    article: bool
+    named: tuple[int, ...]  # elements around it that are named as boilerplate
+    comment: bool
+    hidden: bool
     linked: int  # characters inside links
+    depth: int
+    apart: int  # steps in the DOM from the block before
 
 
 @dataclass
 class _Element:
     tag: str
     number: int
-    region: int
+    article: bool = False
+    named: tuple[int, ...] = ()
+    comment: bool = False
     hidden: bool = False
-    pieces: list = field(default_factory=list)
 
 
-def _region(tag: str, attributes: str, above: int) -> int:
-    if above < 0:
-        return above
+def _element(tag: str, number: int, attributes: str, above: _Element) -> _Element:
     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)} if len(attributes) > 1 else {}
     words = {w.lower() for w in WORD.findall(f"{named.get('class', '')} {named.get('id', '')}")} if "class" in named or "id" in named else frozenset()
-    if words & COMMENT_WORDS and tag not in ("html", "body"):
-        return -1
-    if tag in OUT_TAGS or named.get("role", "").lower() in OUT_ROLES or "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower():
-        return -1
+    e = _Element(tag, number, above.article, above.named, above.comment, above.hidden)
+    role = named.get("role", "").lower()
+    e.hidden |= "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in named.get("style", "").replace(" ", "").lower()
     if tag in ("html", "body"):
-        return above
-    if tag == "header":
-        return above if above > 0 else -1
-    if tag in ("article", "main") or named.get("role", "").lower() in ("main", "article"):
-        return 1
-    if words & OUT_WORDS or "header" in words and not words & IN_WORDS:
-        return -1
-    return 1 if words & IN_WORDS else above
+        return e
+    e.comment |= bool(words & COMMENT_WORDS)
+    if tag in ("article", "main") or role in ("main", "article") or words & IN_WORDS and not words & OUT_WORDS:
+        e.article = True
+    elif tag in OUT_TAGS or role in OUT_ROLES or words & OUT_WORDS or (tag == "header" or "header" in words) and not above.article:
+        if len(e.named) < 16:  # deeper ones add nothing
+            e.named = (*e.named, number)
+    return e
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order, without scripts, styles, comments and heads; unclosed and stray tags are borne."""
     out: list[Block] = []
-    stack = [_Element("", 0, 0)]
+    stack = [_Element("", 0)]
     pieces: list[str] = []
-    state = {"linked": 0, "in_link": 0}
+    state = {"linked": 0, "in_link": 0, "low": 1, "last": 1}
     n, at = 0, 0
 
     def flush() -> None:
         if pieces:
             if text := " ".join("".join(pieces).split()):
-                top = next((e for e in reversed(stack) if e.tag not in INLINE), stack[0])
-                above = next((e for e in reversed(stack[: stack.index(top)]) if e.tag not in INLINE), stack[0])
-                out.append(Block(text, top.tag, above.number, top.region, state["linked"]))
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag not in INLINE), 0)
+                above = next((e for e in reversed(stack[:k]) if e.tag not in INLINE), stack[0])
+                top, low = stack[k], min(state["low"], k + 1)
+                out.append(Block(text, top.tag, above.number, top.article, top.named, top.comment, top.hidden, state["linked"], k, state["last"] - low + k + 1 - low))
+                state["last"] = state["low"] = k + 1
             pieces.clear()
         state["linked"] = 0
 
@@ -106,6 +127,7 @@ def blocks(page: str) -> list[Block]:
         for e in stack[i:]:
             state["in_link"] -= e.tag == "a"
         del stack[i:]
+        state["low"] = min(state["low"], len(stack))
 
     size = len(page)
     while at < size and (m := TOKEN.search(page, at)):
@@ -146,31 +168,54 @@ def blocks(page: str) -> list[Block]:
                 if stack[i].tag in SCOPES:
                     break
         n += 1
-        region = _region(tag, m[3], stack[-1].region)
-        if region < 0 <= stack[-1].region and tag in INLINE:
-            flush()
-        stack.append(_Element(tag, n, region))
+        stack.append(_element(tag, n, m[3], stack[-1]))
         state["in_link"] += tag == "a"
     text(page[at:])
     flush()
     return out
 
 
-def costs(found: list[Block]) -> list[float]:
-    """How much more each block costs as boilerplate than as content: positive for likely content."""
-    marked = any(b.region > 0 for b in found)
-    out = []
+def features(found: list[Block]) -> Iterator[dict[str, float]]:
+    """The classifier's features of each block of a page; those that are not there are 0."""
+    total = sum(len(b.text) for b in found)
+    within: dict[int, int] = {}
     for b in found:
-        if b.region < 0:
-            out.append(-SETTLED)
-            continue
+        for e in b.named:
+            within[e] = within.get(e, 0) + len(b.text)
+    named = [max((1 - within[e] / total for e in b.named), default=0.0) for b in found]
+    marked = any(b.article and not b.comment and x < 0.5 for b, x in zip(found, named, strict=True))
+    before = 0
+    for b, x in zip(found, named, strict=True):
         n = len(b.text)
-        linked = min(1.0, b.linked / n)
-        c = 4.0 * min(1.0, n / 120) - 1.0 - 5.0 * linked * (1 if b.region <= 0 else 0.3)
-        c += {"p": 1.5, "h1": 2.5, "h2": 1.5, "h3": 1.5, "blockquote": 1.0, "pre": 1.0}.get(b.tag, 0.0)
-        c += 0.5 if b.text[-1:] in ".!?…" else 0.0
-        out.append(c + 8.0 if b.region > 0 else c - OUTSIDE * marked)
-    return out
+        middle = (before + n / 2) / total
+        before += n
+        yield {
+            "bias": 1.0, "length": min(1.0, n / 100), "links": min(1.0, b.linked / n), "sentence": float(b.text[-1] in ".!?…"), "paragraph": float(b.tag in ("p", "blockquote", "pre")),
+            "heading": float(b.tag in ("h1", "h2", "h3", "h4")), "article": float(b.article), "title": float(b.article and b.tag in ("h1", "h2", "h3", "h4")), "elsewhere": float(marked and not b.article), "named": x, "comment": float(b.comment), "hidden": float(b.hidden),
+            "depth": min(1.0, b.depth / 20), "margin": (2 * middle - 1) ** 8,
+        }
+
+
+def costs(found: list[Block]) -> list[float]:
+    """How much more each block costs as boilerplate than as content: positive for likely content."""
+    return [sum(WEIGHTS[k] * v for k, v in f.items()) for f in features(found)]
+
+
+def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:
+    """Edges between blocks that follow one another on the page or in one parent."""
+    edges: dict[tuple[int, int], float] = {}
+    last: dict[int, int] = {}
+
+    def share(a: Block, b: Block) -> float:
+        return 1.0 if (a.named, a.comment, a.hidden, a.article) == (b.named, b.comment, b.hidden, b.article) else CROSSING
+
+    for i, b in enumerate(found):
+        if i:
+            edges[i - 1, i] = (ADJACENT + PROXIMITY / b.apart) * share(found[i - 1], b)
+        if (j := last.get(b.parent)) is not None:
+            edges[j, i] = edges.get((j, i), 0.0) + SIBLING * share(found[j], b)
+        last[b.parent] = i
+    return edges
 
 
 def minimum_cut(cost: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
@@ -228,33 +273,28 @@ def minimum_cut(cost: list[float], edges: dict[tuple[int, int], float]) -> list[
     return [bool(x) for x in label]
 
 
-def main_text(page: str) -> tuple[str, int, int]:
-    """(main text, blocks, content blocks) of a page."""
+def main_text(page: str) -> tuple[str, int, int, int]:
+    """(main text, blocks, content blocks, blocks that the cut labels against their own cost) of a page."""
     found = blocks(page)
-    edges: dict[tuple[int, int], float] = {}
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):
-        if i:
-            edges[i - 1, i] = ADJACENT
-        if (j := last.get(b.parent)) is not None:
-            edges[j, i] = edges.get((j, i), 0.0) + SIBLING
-        last[b.parent] = i
-    kept = [b.text for b, is_content in zip(found, minimum_cut(costs(found), edges), strict=True) if is_content]
-    return " ".join(kept), len(found), len(kept)
+    cost = costs(found)
+    label = minimum_cut(cost, smoothness(found))
+    kept = [b.text for b, is_content in zip(found, label, strict=True) if is_content]
+    return " ".join(kept), len(found), len(kept), sum((c > 0) != x for c, x in zip(cost, label, strict=True))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page: id, url, text, n_chars, n_blocks, n_content. Null or empty html has an empty text; repeated
+    """One row per page: id, url, text, n_chars, n_blocks, n_content, n_cut (blocks that the cut
+    labels against their own cost). Null or empty html has an empty text; repeated
     rows give repeated results; other columns are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [main_text(h) for h in batch.column(2).to_pylist()]
-            text, n_blocks, n_content = ([g[k] for g in got] for k in range(3))
+            text, *counts = ([g[k] for g in got] for k in range(4))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), pa.array(n_blocks, pa.int64()), pa.array(n_content, pa.int64())],
-                ["id", "url", "text", "n_chars", "n_blocks", "n_content"],
+                [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64()), *(pa.array(c, pa.int64()) for c in counts)],
+                ["id", "url", "text", "n_chars", "n_blocks", "n_content", "n_cut"],
             )
 
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_or_empty(html_col).alias("html"))
-    return rows.mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint, n_blocks bigint, n_content bigint").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
+    return rows.mapInArrow(run, f"id {kind}, url string, text string, n_chars bigint, n_blocks bigint, n_content bigint, n_cut bigint").withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
