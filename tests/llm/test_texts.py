@@ -26,20 +26,32 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("depth", [1, 2, 7, 20])
-def test_merged_transforms_against_substrings(depth):
+@pytest.mark.parametrize("depth", [1, 2, 7, 20, 60])
+@pytest.mark.parametrize("shard", [50, 1 << 18])
+def test_merged_transforms_against_substrings(depth, shard):
     rng = random.Random(depth)
     for n in (1, 2, 3, 40):
-        texts = [bytes(rng.choices(b"ab\x00\xff", k=rng.randrange(0, 60))) for _ in range(n)]
+        texts = [bytes(rng.choices(b"ab\x00\xff", k=rng.randrange(0, 60))) for _ in range(n)] + [b"ab" * 50, b"b" + b"ab" * 40]
         texts += texts[:2]
-        found = bwt.classes(texts, depth)
+        found = bwt.classes(texts, depth, shard)
         begin = np.cumsum([0] + [len(t) + 1 for t in texts])
         places = [(t[i : i + depth], int(found[b + i])) for t, b in zip(texts, begin, strict=False) for i in range(len(t) - depth + 1)]
         assert len(set(places)) == len({s for s, _ in places}) == len({c for _, c in places})
 
 
-@pytest.mark.parametrize(("chunk", "merge"), [(4, False), (2048, False), (4, True), (2048, True)])
-def test_repeats_against_brute_force(spark, chunk, merge):
+def test_merge_leaves_what_stands_in_several_shards():
+    texts = [b"abcdefghij" * 3, b"xyz" * 9, b"abcdefghij" * 2, b"pqr" * 9]
+    shards = [bwt.transform(bwt.symbols([t]), 9) for t in texts]
+    entry, block = bwt.merge(shards, 9)
+    place = np.concatenate([s.order + b for s, b in zip(shards, np.cumsum([0] + [len(t) + 1 for t in texts]), strict=False)])[entry]
+    whole = bwt.symbols(texts)
+    assert len(set(block)) == 10 and {bytes((whole[p : p + 9] - 1).astype(np.uint8)) for p in place} == {(b"abcdefghij" * 2)[i : i + 9] for i in range(10)}
+
+
+@pytest.mark.parametrize(("chunk", "hot"), [(4, 2), (2048, 1000)])
+def test_repeats_against_brute_force(spark, monkeypatch, chunk, hot):
+    monkeypatch.setattr(substrings, "HOT_COPIES", hot)
+    monkeypatch.setattr(substrings, "BROADCAST_KEYS", 500_000 if hot > 2 else -1)
     rng = random.Random(5)
     shared = ["".join(rng.choices("abcde ", k=n)) for n in (150, 180, 199, 200, 201, 230, 400, 900)]
     texts = []
@@ -48,7 +60,7 @@ def test_repeats_against_brute_force(spark, chunk, merge):
         texts.append("Ha " * rng.randrange(1, 300) + t if rng.random() < 0.1 else t)
     texts += [None, "", texts[0], texts[1], texts[1]]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, key string")
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in substrings.remove_repeats(df, with_text=True, chunk=chunk, merge=merge).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], bytes(r["kept"])) for r in substrings.remove_repeats(df, with_text=True, chunk=chunk).collect()}
     assert got == dict(enumerate(brute_repeats([(t or "").encode() for t in texts])))
     assert substrings.remove_repeats(df.limit(0)).count() == 0
 

@@ -1,12 +1,11 @@
-"""Exact removal of repeated 200-byte strings.
+"""Exact removal of repeated 200-byte strings by merged Burrows-Wheeler transforms.
 
 Every 200-byte window is represented by an anchor inside it, the 32-byte string with the least hash: equal windows have
-equal anchors at equal places. Only windows whose anchor occurs again can repeat, so contexts of repeated anchors are
-brought together by anchor and their windows compared; all windows of a context hold its anchor, so what repeats in it
-is one interval. Anchors with very many contexts are dealt out in chunks, and what a chunk leaves open meets the other
-chunks again, packed by window hash.
-
-The README says why this takes the place of merged Burrows-Wheeler transforms.
+equal anchors at equal places. A window whose anchor occurs once in the corpus is settled before any transform is made.
+The contexts of the other anchors are dealt out so that those of one anchor meet; there they form shards, each shard is
+transformed, and the transforms are merged by interleave refinement (see `bwt`), whose blocks after 200 passes are the
+repeated windows. All windows of a context hold its anchor, so what repeats in it is one interval. Anchors with very many
+contexts are dealt out in chunks, and one window of each block of a chunk meets the other chunks, by hash.
 """
 
 from __future__ import annotations
@@ -26,7 +25,8 @@ LENGTH = 200
 GRAM = 32
 #: Contexts of one anchor that one group compares; fuller anchors are dealt out in chunks.
 CHUNK = 2048
-BUCKETS = 64
+#: Copies of one text beyond which its rows are dealt out in parts before they are joined.
+HOT_COPIES = 1000
 #: Text keys that are broadcast to pick out texts before their shuffle; beyond it the texts are shuffled first.
 BROADCAST_KEYS = 500_000
 #: Bytes that are hashed at a time.
@@ -133,61 +133,53 @@ def anchors_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         at = upto
 
 
-def _windows(contexts: list[bytes], offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, start in its text, hash) of every window of contexts that begin at `offset` in their texts."""
+def _windows(contexts: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start in it, class) of every window of the contexts."""
     size = np.array([len(c) for c in contexts])
-    h = grams(np.frombuffer(b"".join(contexts), np.uint8), LENGTH)
-    n = size - LENGTH + 1
+    n = size - depth + 1
     of = np.repeat(np.arange(len(contexts)), n)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return of, offset[of] + inside, h[np.repeat(np.cumsum(size) - size, n) + inside]
-
-
-def _merged(contexts: list[bytes]) -> np.ndarray:
-    """Class of every window of the contexts, in the order of _windows, from merged Burrows-Wheeler transforms."""
-    size = np.array([len(c) for c in contexts])
-    n = size - LENGTH + 1
-    begin = np.repeat(np.cumsum(size + 1) - size - 1, n)
-    return bwt.classes(contexts, LENGTH)[begin + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    return of, inside, bwt.classes(contexts, depth)[np.repeat(np.cumsum(size + 1) - size - 1, n) + inside]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], merge: bool) -> Iterator[pa.RecordBatch]:
-    """Contexts sorted by (anchor, salt) -> intervals that repeat; for chunked anchors also their windows, packed by hash."""
-    names = ["key", "lo", "hi", "anchor", "bucket", "h", "owner", "start", "open"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts sorted by (anchor, salt) -> intervals that repeat; for chunked anchors also one of each window."""
+    names = ["key", "lo", "hi", "anchor", "h", "open"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
 
     def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key = t["key"].combine_chunks()
-        code = pa.compute.dictionary_encode(key)
-        text = code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        of, start, h = _windows(t["context"].to_pylist(), t["lo"].to_numpy())
-        same = _merged(t["context"].to_pylist()) if merge else h
-        who = text[of] << 40 | start
+        key, anchor, lo = t["key"].combine_chunks(), t["anchor"].to_numpy(), t["lo"].to_numpy()
+        context = pa.compute.dictionary_encode(t["context"].combine_chunks())
+        # equal contexts of an anchor are one for the search: all of their windows repeat
+        both = np.stack([anchor, context.indices.to_numpy(zero_copy_only=False).astype(np.int64)])
+        _, rep, like, times = np.unique(both, axis=1, return_index=True, return_inverse=True, return_counts=True)
+        like = like.ravel()
+        of, inside, same = _windows(context.take(pa.array(rep)).to_pylist())
+        text = pa.compute.dictionary_encode(key).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        who = text[rep][of] << 40 | lo[rep][of] + inside
         order = np.lexsort((who, same))
         hs, ws = same[order], who[order]
         head = np.concatenate([[True], hs[1:] != hs[:-1]])
-        run = np.cumsum(head) - 1
-        first, last = ws[head], ws[np.concatenate([np.nonzero(head)[0][1:] - 1, [len(ws) - 1]])]
-        found = np.zeros(len(h), bool)
-        found[order] = (first != last)[run]
-        lo = np.full(len(key), np.iinfo(np.int64).max)
-        hi = np.full(len(key), -1)
-        np.minimum.at(lo, of[found], start[found])
-        np.maximum.at(hi, of[found], start[found] + LENGTH)
-        some = np.nonzero((hi >= 0) & (t["copies"].to_numpy() == 1))[0]
+        begin = np.nonzero(head)[0]
+        again = ws[begin] != ws[np.append(begin[1:], len(ws)) - 1]
+        again |= np.maximum.reduceat(times[of[order]], begin) > 1
+        found = np.zeros(len(of), bool)
+        found[order] = again[np.cumsum(head) - 1]
+        first, last = np.full(len(rep), np.iinfo(np.int64).max), np.full(len(rep), -1)
+        np.minimum.at(first, of[found], inside[found])
+        np.maximum.at(last, of[found], inside[found] + LENGTH)
+        some = np.nonzero((last[like] >= 0) & (t["copies"].to_numpy() == 1))[0]
         if len(some):
-            blank = len(some)
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(some)), pa.array(lo[some]), pa.array(hi[some]), *(pa.nulls(blank, x) for x in types[3:])], names)
-        chunks, anchor = t["chunks"].to_numpy(), t["anchor"].to_numpy()
+            yield pa.RecordBatch.from_arrays([key.take(pa.array(some)), pa.array(lo[some] + first[like[some]]), pa.array(lo[some] + last[like[some]]), *(pa.nulls(len(some), x) for x in types[3:])], names)
+        chunks = t["chunks"].to_numpy()
         for a in np.unique(anchor[chunks > 1]):
-            mine = np.nonzero(anchor[of[order]] == a)[0]
-            mine = mine[np.concatenate([[True], hs[mine][1:] != hs[mine][:-1]])]  # one of each window
-            n_buckets = min(BUCKETS, int(chunks[anchor == a][0]))
-            bucket = (h[order[mine]] % np.uint64(n_buckets)).astype(np.int64)
-            for b in np.unique(bucket):
-                w = order[mine[bucket == b]]
-                row = [[None], [None], [None], [a], [int(b)], [h[w].view(np.int64)], [key.take(pa.array(of[w])).to_pylist()], [start[w]], [~found[w]]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, x) for v, x in zip(row, types, strict=True)], names)
+            mine = order[begin][anchor[rep[of[order[begin]]]] == a]  # one of each window
+            needed, at = np.unique(of[mine], return_inverse=True)
+            h = [grams(np.frombuffer(c, np.uint8), LENGTH) for c in context.take(pa.array(rep[needed])).to_pylist()]
+            h = np.array([h[k][i] for k, i in zip(at.tolist(), inside[mine].tolist(), strict=True)], np.uint64).view(np.int64)
+            start = lo[rep[of[mine]]] + inside[mine]
+            cols = [key.take(pa.array(rep[of[mine]])), pa.array(start), pa.array(start + LENGTH), pa.array(np.full(len(mine), a)), pa.array(h), pa.array(~found[mine])]
+            yield from pa.Table.from_arrays(cols, names).to_batches(max_chunksize=16_384)
 
     held: list[pa.Table] = []
     for batch in batches:
@@ -208,32 +200,14 @@ def _compare(batches: Iterator[pa.RecordBatch], merge: bool) -> Iterator[pa.Reco
         yield from settle(pa.concat_tables(held))
 
 
-def _across(group: pa.Table) -> pa.Table:
-    """Windows of one chunked anchor and bucket -> those left open in one chunk that another chunk has."""
-    h = np.concatenate([np.asarray(x, np.int64) for x in group["h"].to_pylist()])
-    is_open = np.concatenate([np.asarray(x, bool) for x in group["open"].to_pylist()])
-    values, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
-    found = np.nonzero(is_open & (counts[inverse] > 1))[0]
-    owner = np.concatenate([np.asarray(x, object) for x in group["owner"].to_pylist()])[found]
-    start = np.concatenate([np.asarray(x, np.int64) for x in group["start"].to_pylist()])[found]
-    out: dict[str, list] = {"key": [], "lo": [], "hi": []}
-    for key in np.unique(owner.astype(str)) if len(found) else ():
-        lo, hi = intervals(np.unique(start[owner == key]))
-        out["key"] += [key] * len(lo)
-        out["lo"] += lo.tolist()
-        out["hi"] += hi.tolist()
-    return pa.table(out, schema=pa.schema([("key", pa.string()), ("lo", pa.int64()), ("hi", pa.int64())]))
-
-
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, chunk: int = CHUNK, merge: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, chunk: int = CHUNK) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row: each byte of a 200-byte string that also starts
     anywhere else, in the same document or another, is removed.
 
     Null text counts as empty. Texts below 200 bytes keep all; texts that occur twice or more, and have 200 bytes,
     keep nothing. `chunk` is how many contexts of one anchor are compared at once. Repeated rows and ids give repeated
-    results. Extra columns are left out. With `with_text`, `kept` has the remaining bytes. With `merge`, equal windows
-    of a group are found by merging Burrows-Wheeler transforms of its contexts instead of by hash, free of collisions
-    but far slower; windows of different chunks of one anchor still meet by hash.
+    results. Extra columns are left out. With `with_text`, `kept` has the remaining bytes. Windows of one chunk are
+    compared byte by byte; those of different chunks of one anchor by a 64-bit hash, exact up to collisions.
     """
     kind = dict(df.dtypes)[id_col]
     rows = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).cast("binary").alias("raw")).withColumn("key", F.sha2("raw", 256))
@@ -258,7 +232,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         """One raw text for each row of `keys`, joined by key."""
         n = keys.count()
         picked = long.select("key", "raw").join(F.broadcast(keys.select("key")) if n <= BROADCAST_KEYS else keys.select("key"), "key", "left_semi")
-        return picked.join(keys, "key").dropDuplicates(["key"])
+        return picked.dropDuplicates(["key"]).join(keys, "key")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,11 +248,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from t.to_batches(max_chunksize=4096)
 
     dealt = texts(wanted).select("key", "raw", "copies", "xs").mapInArrow(contexts, "anchor bigint, chunks bigint, salt bigint, key string, copies bigint, lo bigint, context binary")
-    compared = table(
-        dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-        .mapInArrow(lambda batches: _compare(batches, merge), "key string, lo bigint, hi bigint, anchor bigint, bucket int, h array<bigint>, owner array<string>, start array<bigint>, open array<boolean>")
-    )
-    across = compared.where("anchor is not null").groupBy("anchor", "bucket").applyInArrow(_across, "key string, lo bigint, hi bigint")
+    compared = table(dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_compare, "key string, lo bigint, hi bigint, anchor bigint, h bigint, open boolean"))
+    met = compared.where("anchor is not null").groupBy("anchor", "h").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("open"), F.struct("key", "lo", "hi"))).alias("xs"))
+    across = met.where("n > 1").select(F.explode("xs").alias("x")).select("x.*")
     inside = found.where("copies = 1").select("key", F.explode(F.arrays_zip("lo", "hi")).alias("x")).select("key", "x.lo", "x.hi")
     spans = table(compared.where("anchor is null").select("key", "lo", "hi").unionByName(across).unionByName(inside).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("xs")))
 
@@ -308,7 +280,12 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "key")).alias("kept_sha256"), F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
     )
-    out = base.join(result, "key").select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["key", "kept"] if with_text else []))
+    # rows of a text with very many copies are dealt out in parts, and its result with them
+    hot = table(copies.where(F.col("copies") > HOT_COPIES).select("key", F.ceil(F.col("copies") / HOT_COPIES).cast("int").alias("parts")))
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
+    base = base.join(hot, "key", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("parts"))).otherwise(F.lit(0)).cast("int")).drop("parts")
+    result = result.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    out = base.join(result, ["key", "part"]).select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["key", "kept"] if with_text else []))
     if with_text:
         rest = rows.select("key", "raw").dropDuplicates(["key"])
         out = out.join(rest, "key").withColumn("kept", F.coalesce("kept", "raw")).drop("key", "raw")
