@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm import bwt, decontamination, html_extract, quality, substrings
@@ -123,34 +124,22 @@ def test_contamination_against_every_window(spark, leaks):
 def test_fingerprints_decide_the_candidates(spark, leaks, monkeypatch):
     docs, items = leaks
     d, b = spark.createDataFrame(docs, "doc_id long, text string, key int"), spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontamination, "simhash", lambda h: 0x0F0F0F0F0F0F0F0F)
-    assert decontamination.contaminated(d, b).count() < 5
-    monkeypatch.undo()
-    one_pass = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()}
-    monkeypatch.setattr(decontamination, "PASS_PIECES", 5)  # several passes over the documents
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()}
     monkeypatch.setattr(decontamination, "BROADCAST_ROWS", -1)  # joins by shuffle
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()} == one_pass
-
-
-def test_sliding_fingerprints_against_loop(monkeypatch):
-    monkeypatch.setattr(decontamination, "SEGMENT", 64)
-    rng = np.random.default_rng(2)
-    hashes = rng.integers(0, 1 << 64, 900, dtype=np.uint64)
-    plain = lambda h: sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > len(h))
-    ends = np.array([0, 3, 200, 200, 900])
-    for size in (1, 7, 40, 127):
-        assert decontamination.simhash(hashes[:size].view(np.int64)) == plain(hashes[:size])
-        at = rng.choice(range(200, 900 - size))
-        fp = plain(hashes[at : at + size]) ^ (1 << 5 | 1 << 30 | 1 << 63)
-        index = decontamination.Index(np.array([fp, ~fp & (1 << 64) - 1], np.uint64), np.array([size, size]))
-        starts = range(0, 900, 1)
-        windows = {s: plain(hashes[s : min(s + size, next(e for e in ends if e > s))]) for s in starts}
-        got = set(zip(*map(np.ndarray.tolist, decontamination.search(index, hashes, ends)), strict=True))
-        step = max(1, size // decontamination.STEPS)
-        for s, f in windows.items():
-            left = next(e for e in ends if e > s) - s
-            looked = s % 64 % step == 0 if left >= size else left * 4 >= size * 3
-            assert ((s, 0) in got) == (looked and (f ^ fp).bit_count() <= decontamination.RADIUS)
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(d, b).collect()} == found
+    monkeypatch.setattr(decontamination, "simhash", lambda h: decontamination.F.lit(0x0F0F0F0F0F0F0F).cast("long"))
+    assert decontamination.contaminated(d, b).count() < 5
+
+
+def test_sliding_fingerprints_against_loop(spark):
+    rng = random.Random(2)
+    plain = lambda h: sum(1 << b for b in range(60) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    rows = [(i, [rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.randrange(1, 64))]) for i in range(40)] + [(99, [-1] * 63), (98, [-1] * 31 + [0] * 32)]
+    df = spark.createDataFrame(rows, "id int, h array<bigint>")
+    sums = [decontamination.running(F.col("h"), j) for j in range(6)]
+    moved = [(F.element_at(s, -1) - F.get(s, F.lit(1))).bitwiseAND(F.lit((1 << 60) - 1)) for s in sums]
+    for r in df.select("h", decontamination.simhash(F.col("h")).alias("fp"), decontamination.fingerprint(moved, F.size("h") - 1).alias("rest")).collect():
+        assert (r["fp"], r["rest"]) == (plain(r["h"]), plain(r["h"][1:]))
 
 
 def test_quality_on_held_out_rows(spark, sf):

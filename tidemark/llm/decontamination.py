@@ -1,21 +1,16 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact weighted-shingle check.
 
-Every document is covered by windows of every item size. Their SimHashes slide: a document's shingles become running
-sums of bit counters, eight counters to a word, and a window's counters are the difference of two sums. The index knows
-the items by blocks of their fingerprints; a window is looked up by its size and its own blocks, without an item in
-mind. What the index finds within the radius is checked exactly.
-
-The windows' fingerprints and lookups are numpy inside Arrow batches; shingles, joins and the exact check are DataFrame
-functions. The README says by how much the form without Python missed the limits.
+DataFrame functions only. Documents are cut into segments; a segment without any shingle of the benchmark has nothing in
+common with any item and is passed over. In the others every item size has its windows, and their SimHashes slide: the
+shingles become running sums of bit counters, ten counters packed in a long, and a window's counters are the difference
+of two sums. The index knows the items by blocks of their fingerprints; a window is looked up by its size and its own
+blocks, without an item in mind. What it finds within the radius is checked exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,20 +18,17 @@ from tidemark.llm.common import cut, table, text_or_empty
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Four blocks of sixteen bits, each matched within three bits: every fingerprint within 15 bits is found.
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
+#: Fingerprints have 60 bits: six longs hold ten counters of six bits each, so a window has 63 shingles at most.
+BITS, LANES, LANE_BITS, LONGEST = 60, 10, 6, 63
+#: Four blocks of fifteen bits, each matched within three bits: every fingerprint within 15 bits is found.
+BLOCKS, BLOCK_RADIUS = 4, 3
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
-#: Counters have eight bits of which one stays free, so an item is looked for in pieces of 127 shingles at most.
-LONGEST = 127
 #: Windows of a size begin every size / STEPS shingles.
-STEPS = 10
-#: Pieces of items that one pass over the documents looks for; a larger benchmark takes more passes.
-PASS_PIECES = 2048
-#: Shingles whose running sums are held at a time.
-SEGMENT = 1 << 17
-#: Rows of the benchmark's tables, and of candidates, that are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
-ONES = np.uint64(0x0101010101010101)
+STEPS = 8
+#: Shingles that begin in one segment.
+SEGMENT = 64
+#: Rows of the benchmark's tables that are broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 2_000_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -55,124 +47,48 @@ def shingles(text: Column, k: int = SHINGLE) -> Column:
     return let(words, hashes)
 
 
-def running(hashes: np.ndarray) -> np.ndarray:
-    """Eight rows of running sums, from 0 on, of the bit counters of hashes: row j counts bits j, j + 8, ..., j + 56.
+def _long(n: int) -> Column:
+    return F.lit(n).cast("long")
+
+
+ONES = sum(1 << LANE_BITS * i for i in range(LANES))
+#: Every other counter, with the room of its neighbour above it.
+SPARSE = sum(1 << 2 * LANE_BITS * i for i in range(LANES // 2))
 
-    Sums wrap, but the difference of two that lie at most LONGEST apart does not.
-    """
-    out = np.zeros((8, len(hashes) + 1), np.uint64)
-    for j in range(8):
-        np.cumsum(hashes >> np.uint64(j) & ONES, out=out[j, 1:])
-    return out
 
+def running(hashes: Column, j: int) -> Column:
+    """Running sums, from 0 on, of the counters of bits j, j + 6, ... of an array of hashes, modulo 2^60."""
+    def step(a: Column, x: Column) -> Column:
+        return F.array_append(a, (F.element_at(a, -1) + F.call_function("shiftrightunsigned", x, F.lit(j)).bitwiseAND(_long(ONES))).bitwiseAND(_long((1 << BITS) - 1)))
 
-def fingerprints(sums: list[np.ndarray], n: np.ndarray | int) -> np.ndarray:
-    """SimHashes from windows' eight counter words and their numbers of shingles: a bit is 1 if set in over half."""
-    bias = np.uint64(LONGEST) * ONES - (np.asarray(n) // 2).astype(np.uint64) * ONES
-    out = np.zeros(len(sums[0]), np.uint64)
+    return F.aggregate(hashes, F.array(_long(0)), step)
+
+
+def fingerprint(sums: list[Column], n: Column) -> Column:
+    """60-bit SimHash from a window's six counter longs and its number of shingles: a bit is 1 if set in over half."""
+    wide = _long((1 << LANE_BITS) - 1) * _long(SPARSE)
+    bias = (F.lit((1 << LANE_BITS) - 1) - F.floor(n / 2)).cast("long") * _long(SPARSE)
+    out = _long(0)
     for j, s in enumerate(sums):
-        out |= ((s + bias) >> np.uint64(7) & ONES) << np.uint64(j)
+        for half in (0, LANE_BITS):
+            over = F.call_function("shiftrightunsigned", F.call_function("shiftrightunsigned", s, F.lit(half)).bitwiseAND(wide) + bias, F.lit(LANE_BITS)).bitwiseAND(_long(SPARSE))
+            out = out.bitwiseOR(F.call_function("shiftleft", over, F.lit(j + half)))
     return out
 
 
-def simhash(hashes: np.ndarray) -> int:
-    """SimHash of at most LONGEST hashes, repeats as weight."""
-    p = running(np.asarray(hashes, np.int64).view(np.uint64))
-    return int(fingerprints([p[j, -1:] for j in range(8)], len(hashes))[0])
-
-
-class Index:
-    """Pieces of items by size and by blocks of their fingerprints, each block with all values within BLOCK_RADIUS."""
-
-    def __init__(self, fps: np.ndarray, sizes: np.ndarray):
-        self.fps, self.of_size = fps, {}
-        near = np.array([v for v in range(1 << BLOCK_BITS) if v.bit_count() <= BLOCK_RADIUS], np.int64)
-        for size in np.unique(sizes):
-            mine = np.nonzero(sizes == size)[0]
-            values = np.stack([self.block(fps[mine], b) for b in range(BLOCKS)])
-            keys = (values[:, :, None] ^ near).ravel()
-            order = np.argsort(keys, kind="stable")
-            hit = np.zeros(BLOCKS << BLOCK_BITS, bool)
-            hit[keys] = True
-            self.of_size[int(size)] = hit, keys[order], np.tile(np.repeat(mine, len(near)), BLOCKS)[order]
-        self.longest = int(sizes.max(initial=0))
-
-    @staticmethod
-    def block(fp: np.ndarray, b: int) -> np.ndarray:
-        return (fp >> np.uint64(b * BLOCK_BITS) & np.uint64((1 << BLOCK_BITS) - 1)).astype(np.int64) | b << BLOCK_BITS
-
-    def within(self, fp: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, piece) of the fingerprints of windows of a size that lie within RADIUS of a piece's, each once."""
-        hit, keys, pieces = self.of_size[size]
-        found_w, found_p = [], []
-        for b in range(BLOCKS):
-            key = self.block(fp, b)
-            w = np.nonzero(hit[key])[0]
-            lo, hi = np.searchsorted(keys, key[w]), np.searchsorted(keys, key[w], side="right")
-            n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            w, p = np.repeat(w, n), pieces[at]
-            near = np.bitwise_count(fp[w] ^ self.fps[p]) <= RADIUS
-            found_w.append(w[near]), found_p.append(p[near])
-        both = np.unique(np.stack([np.concatenate(found_w), np.concatenate(found_p)]), axis=1)
-        return both[0], both[1]
-
-
-@lru_cache(maxsize=2)
-def _index(fps: bytes, sizes: bytes) -> Index:
-    return Index(np.frombuffer(fps, np.uint64), np.frombuffer(sizes, np.int64))
-
-
-def search(index: Index, hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, piece): windows of the texts whose shingles `hashes` holds one after the other, ending at `ends`.
-
-    A window that its text's end cuts off counts with the shingles it has, if they are three quarters of its size.
-    """
-    end_of = np.repeat(ends, np.diff(ends, prepend=0))
-    places, pieces = [], []
-    for base in range(0, len(hashes), SEGMENT):
-        p = running(hashes[base : base + SEGMENT + index.longest])
-        n, left = min(SEGMENT, len(hashes) - base), end_of[base : base + SEGMENT] - np.arange(base, min(base + SEGMENT, len(hashes)))
-        for size in index.of_size:
-            step = max(1, size // STEPS)
-            full = max(0, min(n, p.shape[1] - size))
-            whole = np.arange(0, full, step)
-            fp = fingerprints([p[j, size : size + full : step] - p[j, :full:step] for j in range(8)], size)
-            inside = left[whole] >= size
-            cut_off = np.nonzero((left < size) & (left * 4 >= size * 3))[0]
-            fp = np.concatenate([fp[inside], fingerprints([p[j, cut_off + left[cut_off]] - p[j, cut_off] for j in range(8)], left[cut_off])])
-            w, found = index.within(fp, size)
-            places.append(np.concatenate([whole[inside], cut_off])[w] + base), pieces.append(found)
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *places]), np.concatenate([none, *pieces])
-
-
-def candidates(rows: DataFrame, pieces: DataFrame, n_pieces: int) -> DataFrame:
-    """(row, key, at): places of documents `rows` (row, hs) at which an item may begin.
-
-    `pieces` (piece, key, begin, own) are items, long ones in pieces of LONGEST shingles at most. At most about
-    PASS_PIECES of them come to the driver and go to the tasks at a time.
-    """
-    passes = -(-n_pieces // PASS_PIECES)
-    found = None
-    for k in range(passes):
-        some = pieces.where(F.pmod(F.xxhash64("piece"), F.lit(passes)) == k).collect()
-        fps = np.array([simhash(r["own"]) for r in some], np.uint64).tobytes()
-        sizes = np.array([len(r["own"]) for r in some], np.int64).tobytes()
-        keys, begins = np.array([r["key"] for r in some], np.int64), np.array([r["begin"] for r in some], np.int64)
-
-        def run(batches: Iterator[pa.RecordBatch], fps=fps, sizes=sizes, keys=keys, begins=begins) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hs = batch.column("hs")
-                ends = np.cumsum(pa.compute.list_value_length(hs).to_numpy(zero_copy_only=False).astype(np.int64))
-                place, piece = search(_index(fps, sizes), hs.flatten().to_numpy(zero_copy_only=False).view(np.uint64), ends)
-                of = np.searchsorted(ends, place, side="right")
-                at = place - np.concatenate([[0], ends])[of] - begins[piece]
-                yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(of)), pa.array(keys[piece]), pa.array(at)], ["row", "key", "at"])
-
-        one = rows.select("row", "hs").mapInArrow(run, "row bigint, key bigint, at bigint")
-        found = one if found is None else found.unionByName(one)
-    return found.distinct()
+def simhash(hashes: Column) -> Column:
+    """60-bit SimHash of an array of at most 63 hashes, repeats as weight."""
+    def total(h: Column, j: int) -> Column:
+        return F.aggregate(h, _long(0), lambda a, x: a + F.call_function("shiftrightunsigned", x, F.lit(j)).bitwiseAND(_long(ONES)))
+
+    return let(hashes, lambda h: fingerprint([total(h, j) for j in range(LANE_BITS)], F.size(h)))
+
+
+def block_keys(fp: Column, size: Column) -> Column:
+    """The (size, block, value) of a fingerprint, each as one long."""
+    width = BITS // BLOCKS
+    of = [F.call_function("shiftrightunsigned", fp, F.lit(b * width)).bitwiseAND(_long((1 << width) - 1)) for b in range(BLOCKS)]
+    return F.array(*[(size.cast("long") * BLOCKS + b) * (1 << width) + v for b, v in enumerate(of)])
 
 
 def overlap(a: str, b: str) -> Column:
@@ -187,31 +103,69 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def candidates(rows: DataFrame, pieces: DataFrame, seeds: DataFrame, n_pieces: int, n_seeds: int) -> DataFrame:
+    """(row, key, at): places of documents `rows` (row, hs) where an item may begin.
+
+    `pieces` (piece, key, begin, size, own, fp) are items, long ones in pieces of LONGEST shingles at most, `seeds` (h)
+    their shingles. A window that ends with the document counts with the shingles it has, if they are three quarters of
+    its size.
+    """
+    sizes = sorted(r["size"] for r in pieces.select("size").distinct().collect())  # at most LONGEST of them
+    windows = [(s, i) for s in sizes for i in range(0, SEGMENT, max(1, s // STEPS))]
+    most = max(sizes, default=0)
+    hits = rows.select("row", "hs", F.posexplode("hs").alias("at", "h")).join(_small(seeds, n_seeds), "h", "left_semi")
+    # a window that holds the shingle begins in its segment or in one that a window reaches back to
+    first, last = F.floor(F.greatest(F.col("at") - most + 1, F.lit(0)) / SEGMENT), F.floor(F.col("at") / SEGMENT)
+    parts = hits.select("row", "hs", F.explode(F.sequence(first, last)).alias("part"))
+    parts = parts.select("row", (F.col("part") * SEGMENT).cast("int").alias("base"), F.slice("hs", (F.col("part") * SEGMENT + 1).cast("int"), SEGMENT + most).alias("g")).groupBy("row", "base").agg(F.first("g").alias("g"))
+    parts = parts.select("row", "base", "g", F.size("g").alias("n"), *[running(F.col("g"), j).alias(f"p{j}") for j in range(LANE_BITS)])
+    each = parts.select("*", F.explode(F.array(*[F.lit(s * SEGMENT + i) for s, i in windows])).alias("w"))
+    each = each.withColumns({"size": F.floor(F.col("w") / SEGMENT).cast("int"), "i": (F.col("w") % SEGMENT).cast("int")})
+    each = each.withColumn("end", F.least(F.col("i") + F.col("size"), F.col("n"))).where((F.col("end") - F.col("i")) * 4 >= F.col("size") * 3)
+
+    def moved(j: int) -> Column:
+        return F.coalesce((F.get(f"p{j}", F.col("end")) - F.get(f"p{j}", F.col("i"))).bitwiseAND(_long((1 << BITS) - 1)), _long(0))
+
+    each = each.withColumns({f"s{j}": moved(j) for j in range(LANE_BITS)})
+    each = each.select("row", "base", "g", "size", "i", "end", fingerprint([F.col(f"s{j}") for j in range(LANE_BITS)], F.col("end") - F.col("i")).alias("fp"))
+    each = each.select("*", F.explode(block_keys(F.col("fp"), F.col("size"))).alias("block"))
+
+    width = BITS // BLOCKS
+    near = F.array(*[_long(v) for v in range(1 << width) if v.bit_count() <= BLOCK_RADIUS])
+    index = pieces.select("piece", F.col("fp").alias("item_fp"), F.explode(block_keys(F.col("fp"), F.col("size"))).alias("b"))
+    index = index.select("piece", "item_fp", F.explode(near).alias("flip"), "b").select("piece", "item_fp", F.col("b").bitwiseXOR(F.col("flip")).alias("block"))
+    n_index = n_pieces * BLOCKS * sum(v.bit_count() <= BLOCK_RADIUS for v in range(1 << width))
+    met = each.join(_small(index, n_index), "block").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    # fingerprints of unrelated texts come that close once in ten thousand: what shares few shingles goes before the shuffle
+    met = met.join(_small(pieces.select("piece", "key", "begin", "own"), n_pieces), "piece")
+    met = met.where(F.size(F.array_intersect(F.slice("g", F.col("i") + 1, F.col("end") - F.col("i")), "own")) >= F.size(F.array_distinct("own")) * 0.4)
+    return met.select("row", "key", (F.col("base") + F.col("i") - F.col("begin")).alias("at")).distinct()
+
+
 def contaminated(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, item, similarity, n_windows, first_word) for each document and benchmark item of which a window reaches `similarity`.
 
     A window has as many words as the item; its similarity is the weighted Jaccard similarity of 5-word shingles, with
-    counts as weights. Candidates are places whose window has a SimHash within RADIUS of the item's; every window that
-    begins within a quarter of the item's length of a candidate is checked exactly, and n_windows and first_word tell of
-    those that pass. Null texts count as empty; documents and items of fewer than five words have no shingle and match
-    nothing. Repeated rows give one result; of rows that share an id but not the text, any may match. An empty benchmark
-    or an empty table gives no rows.
+    counts as weights. Candidates are places whose window of about the item's size has a SimHash within RADIUS of the
+    item's; every window that begins within a quarter of the item's length of a candidate is checked exactly, and
+    n_windows and first_word tell of those that pass. Null texts count as empty; documents and items of fewer than five
+    words have no shingle and match nothing. Repeated rows give one result; of rows that share an id but not the text,
+    any may match. An empty benchmark or an empty table gives no rows.
     """
     items = cut(benchmark.select(F.col(item_col).alias("item"), shingles(text_or_empty(item_text_col)).alias("own")).where(F.size("own") > 0).distinct())
     items = cut(items.select("item", F.xxhash64("item", "own").alias("key"), "own", F.size("own").alias("m")))
-    n_items, n_shingles = items.agg(F.count("*"), F.coalesce(F.sum("m"), F.lit(0))).first()
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("row"), text_or_empty(text_col).alias("text"))
-    if not n_items:
-        empty = rows.join(items, F.lit(False)).select("id", "item", F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("first_word"))
-        return empty.withColumnsRenamed({"id": id_col, "item": item_col})
+    n_shingles = items.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    seeds = items.select(F.explode("own").alias("h")).distinct()
     length = F.ceil(F.col("m") / F.ceil(F.col("m") / LONGEST)).cast("int")
     pieces = items.select("key", "own", length.alias("length"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("m") / length) - 1).cast("int"))).alias("p"))
-    pieces = pieces.select(F.xxhash64("key", "p").alias("piece"), "key", (F.col("p") * F.col("length")).alias("begin"), F.slice("own", F.col("p") * F.col("length") + 1, F.col("length")).alias("own"))
-    pieces = cut(pieces)
+    pieces = pieces.select("key", (F.col("p") * F.col("length")).alias("begin"), F.slice("own", F.col("p") * F.col("length") + 1, F.col("length")).alias("own"))
+    pieces = cut(pieces.select(F.xxhash64("key", "begin").alias("piece"), "key", "begin", "own", F.size("own").alias("size"), simhash(F.col("own")).alias("fp")))
 
-    found = table(candidates(rows.select("row", shingles(F.col("text")).alias("hs")), pieces, pieces.count()))
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("row"), text_or_empty(text_col).alias("text"))
+    found = table(candidates(rows.select("row", shingles(F.col("text")).alias("hs")), pieces, seeds, pieces.count(), n_shingles))
     found = cut(found.groupBy("row", "key").agg(F.collect_set("at").alias("ats")))
-    pairs = rows.join(_small(found, found.count()), "row").select("id", "row", "key", "ats", shingles(F.col("text")).alias("hs"))
+    n_found = found.count()
+    pairs = rows.join(_small(found, n_found), "row").select("id", "row", "key", "ats", shingles(F.col("text")).alias("hs"))
     pairs = pairs.join(_small(items.select("key", "item", "own", "m"), n_shingles), "key")
     reach = F.ceil(F.col("m") / 4).cast("int") + 1
     starts = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(F.greatest(a - reach, F.lit(0)), F.greatest(F.least(a + reach, F.size("hs") - 1), F.lit(0))))))
