@@ -144,8 +144,8 @@ def _windows(contexts: list[bytes], depth: int = LENGTH) -> tuple[np.ndarray, np
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by (anchor, salt) -> intervals that repeat; for chunked anchors also one of each window."""
-    names = ["key", "lo", "hi", "anchor", "h", "open"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["key", "lo", "hi", "anchor", "bucket", "h", "owner", "start", "open"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
 
     def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, anchor, lo = t["key"].combine_chunks(), t["anchor"].to_numpy(), t["lo"].to_numpy()
@@ -177,9 +177,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             needed, at = np.unique(of[mine], return_inverse=True)
             h = [grams(np.frombuffer(c, np.uint8), LENGTH) for c in context.take(pa.array(rep[needed])).to_pylist()]
             h = np.array([h[k][i] for k, i in zip(at.tolist(), inside[mine].tolist(), strict=True)], np.uint64).view(np.int64)
-            start = lo[rep[of[mine]]] + inside[mine]
-            cols = [key.take(pa.array(rep[of[mine]])), pa.array(start), pa.array(start + LENGTH), pa.array(np.full(len(mine), a)), pa.array(h), pa.array(~found[mine])]
-            yield from pa.Table.from_arrays(cols, names).to_batches(max_chunksize=16_384)
+            start, owner, is_open = lo[rep[of[mine]]] + inside[mine], key.take(pa.array(rep[of[mine]])), ~found[mine]
+            # as many buckets as the anchor has chunks, so that a bucket of all chunks is no larger than a chunk
+            bucket = (h.view(np.uint64) % np.uint64(chunks[anchor == a][0])).astype(np.int64)
+            order_b = np.argsort(bucket, kind="stable")
+            for w in np.split(order_b, np.nonzero(np.diff(bucket[order_b]))[0] + 1):
+                row = [[None], [None], [None], [a], [int(bucket[w[0]])], [h[w]], [owner.take(pa.array(w)).to_pylist()], [start[w]], [is_open[w]]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, x) for v, x in zip(row, types, strict=True)], names)
 
     held: list[pa.Table] = []
     for batch in batches:
@@ -200,6 +204,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settle(pa.concat_tables(held))
 
 
+def _across(group: pa.Table) -> pa.Table:
+    """Windows of one chunked anchor and bucket -> those left open in one chunk that another chunk has."""
+    h = group["h"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    is_open = group["open"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    _, inverse, counts = np.unique(h, return_inverse=True, return_counts=True)
+    found = np.nonzero(is_open & (counts[inverse] > 1))[0]
+    start = group["start"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[found]
+    return pa.table({"key": group["owner"].combine_chunks().flatten().take(pa.array(found)).cast(pa.string()), "lo": pa.array(start), "hi": pa.array(start + LENGTH)})
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, chunk: int = CHUNK) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) per row: each byte of a 200-byte string that also starts
     anywhere else, in the same document or another, is removed.
@@ -248,9 +262,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from t.to_batches(max_chunksize=4096)
 
     dealt = texts(wanted).select("key", "raw", "copies", "xs").mapInArrow(contexts, "anchor bigint, chunks bigint, salt bigint, key string, copies bigint, lo bigint, context binary")
-    compared = table(dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_compare, "key string, lo bigint, hi bigint, anchor bigint, h bigint, open boolean"))
-    met = compared.where("anchor is not null").groupBy("anchor", "h").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("open"), F.struct("key", "lo", "hi"))).alias("xs"))
-    across = met.where("n > 1").select(F.explode("xs").alias("x")).select("x.*")
+    fields = "key string, lo bigint, hi bigint, anchor bigint, bucket bigint, h array<bigint>, owner array<string>, start array<bigint>, open array<boolean>"
+    compared = table(dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_compare, fields))
+    across = compared.where("anchor is not null").groupBy("anchor", "bucket").applyInArrow(_across, "key string, lo bigint, hi bigint")
     inside = found.where("copies = 1").select("key", F.explode(F.arrays_zip("lo", "hi")).alias("x")).select("key", "x.lo", "x.hi")
     spans = table(compared.where("anchor is null").select("key", "lo", "hi").unionByName(across).unionByName(inside).groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("xs")))
 
