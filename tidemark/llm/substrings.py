@@ -173,7 +173,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([key.take(pa.array(some)), pa.array(lo[some] + first[like[some]]), pa.array(lo[some] + last[like[some]]), *(pa.nulls(len(some), x) for x in types[3:])], names)
         chunks = t["chunks"].to_numpy()
         for a in np.unique(anchor[chunks > 1]):
-            mine = order[begin][anchor[rep[of[order[begin]]]] == a]  # one of each window
+            mine = order[anchor[rep[of[order]]] == a]
+            mine = mine[np.diff(same[mine], prepend=-1) != 0]  # one of each window
             needed, at = np.unique(of[mine], return_inverse=True)
             h = [grams(np.frombuffer(c, np.uint8), LENGTH) for c in context.take(pa.array(rep[needed])).to_pylist()]
             h = np.array([h[k][i] for k, i in zip(at.tolist(), inside[mine].tolist(), strict=True)], np.uint64).view(np.int64)
