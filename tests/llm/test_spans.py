@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import pii, secrets
 
@@ -75,11 +77,28 @@ def test_ibans_among_capitals_digits_and_codes(spark):
         found = [x for x in r["pii"] if x["kind"] == "iban"]
         if want[r["doc_id"]] is not None:
             assert [x["v"] for x in found] == want[r["doc_id"]], r["text"]
-        assert all(r["text"][x["s"] : x["e"]] == x["v"] and r["text"][max(0, x["s"] - 40) : x["s"]].replace("\x01", "\x02") == x["c"] for x in found)
+        assert all(r["text"][x["s"] : x["e"]] == x["v"] and r["text"][max(0, x["s"] - 40) : x["s"]].replace("\x01", "\x02").endswith(x["c"]) for x in found)
     masked = {r["doc_id"]: r["text"] for r in pii.mask(df).collect()}
     assert masked[0] == "<iban> Please pay" and masked[1] == "<iban> BIC COBADEFF" and masked[3] == "to <iban> <iban> OR <iban> NOW 2024"
 
 
+def test_context_after_a_span(spark):
+    df = pii.find(spark.createDataFrame([(1, "123-45-6789 is my ssn"), (2, "123-45-6789 is my order")], "doc_id long, text string"))
+    assert {r["doc_id"]: [x["kind"] for x in r["pii"]] for r in df.collect()} == {1: ["ssn"], 2: []}
+
+
+def test_texts_with_very_many_spans(spark):
+    texts = ["a@b.co é 4111 1111 1111 1111; " * 25_000, "token=abcdefgh " * 50_000, "DE89370400440532013000 " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.digest(df).collect()}
+    assert (got[0]["n_email"], got[0]["n_card"], got[2]["n_other"]) == (25_000, 25_000, 20_000)
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(pii.find(df)).collect()}
+    assert masked[0] == "<email> é <card>; " * 25_000 and masked[2] == "<iban> " * 20_000
+    assert {r["doc_id"]: r["n_assign"] for r in secrets.digest(df.withColumn("source", F.lit("s"))).collect()}[1] == 50_000
+    assert time.time() - began < 60
+
+
 def test_ownership_tells_copies_from_owners(spark):
     rows = [(i, "token=copied99", f"s{i}", f"s{i}") for i in range(4)] + [(10, "token=mine1234 and token=mine1234", "s1", "s1"), (11, None, None, None), (12, "token=copied99", None, None)]
     got = {r["doc_id"]: r for r in secrets.digest(spark.createDataFrame(rows, "doc_id long, text string, source string, own string"), owner="own").collect()}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import text_or_empty
-from tidemark.llm.spans import CONTEXT, MARK, count_of, matches, spans, written
+from tidemark.llm.spans import CONTEXT, FIELDS, count_of, let, matches, pieces, scan, spans, written
 
 BASE = ("email", "ip", "card", "phone")
 # Possessive loops and look-behinds only keep long runs linear; what they match is what the plain patterns match. The one
@@ -28,7 +28,7 @@ IBAN_LENGTHS = {
     }.items()
 }
 OCTETS = r"^0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.0*(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
-#: Score of a confirmed span, and of one with a context word close before it.
+#: Score of a confirmed span, and of one with a context word close by.
 SCORES = {"email": (0.9, 0.95), "ip": (0.6, 0.9), "card": (0.8, 0.98), "phone": (0.7, 0.95), "iban": (0.9, 0.99), "ssn": (0.3, 0.85)}
 CONTEXT_WORDS = {
     "email": r"mail|contact|write", "ip": r"\bip\b|address|host|server|client", "card": r"card|visa|master|credit|debit|pay|kart|carte|tarjeta",
@@ -54,14 +54,13 @@ def mod97(v: Column) -> Column:
 
 
 def ibans(text: Column) -> Column:
-    """IBANs of a text as array<struct<s, e, v, c>>, like `matches`, every start tried and overlapping ones left out.
+    """IBANs of a text as array<struct<s, e, v, c, a>>, like `matches`, every start tried; one that begins inside a
+    valid one before it is left out.
 
     An IBAN ends where a word ends: for a country of the registry at its length, for others at the longest end that
     passes mod-97, so capitals, digits and codes that follow do not hide it.
     """
-    pattern = PATTERNS["iban"]
-    marked = F.regexp_replace(F.translate(text, MARK, "\x02"), F.lit(pattern), F.lit(f"{MARK}$1{MARK}"))
-    none = F.array().cast("array<struct<s:int,e:int,v:string,c:string>>")
+    none = F.array().cast(f"array<struct<{FIELDS}>>")
     length = F.create_map(*[F.lit(x) for n, codes in IBAN_LENGTHS.items() for code in codes for x in (code, n)])
 
     def ending(window: Column) -> Column:
@@ -75,18 +74,26 @@ def ibans(text: Column) -> Column:
 
         return F.coalesce(F.try_element_at(F.filter(ends, fits), F.lit(1)), F.lit(""))
 
-    def step(a: Column, x: Column) -> Column:
-        v = F.when(a["inside"] & (a["pos"] >= a["end"]), ending(x)).otherwise(F.lit(""))
-        hit = F.struct(a["pos"].alias("s"), (a["pos"] + F.length(v)).alias("e"), v.alias("v"), a["before"].alias("c"))
-        found = F.length(v) > 0
-        return F.struct(
-            (a["pos"] + F.when(a["inside"], F.lit(0)).otherwise(F.length(x))).alias("pos"), (~a["inside"]).alias("inside"), F.when(found, hit["e"]).otherwise(a["end"]).alias("end"),
-            F.when(a["inside"], a["before"]).otherwise(F.right(F.concat(a["before"], x), F.lit(CONTEXT))).alias("before"), F.when(found, F.array_append(a["out"], hit)).otherwise(a["out"]).alias("out"),
-        )
+    def found(cut: Column) -> Column:
+        # at odd places stands what may follow a start; the text itself goes on at the even ones
+        sizes = F.transform(cut, lambda x, i: F.when(i % 2 == 0, F.length(x)).otherwise(F.lit(0)))
 
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("inside"), F.lit(0).alias("end"), F.lit("").alias("before"), none.alias("out"))
-    found = F.aggregate(F.split(marked, MARK, -1), start, step, lambda a: a["out"])
-    return F.coalesce(F.when(F.regexp_like(text, F.lit(pattern)), found), none)
+        def at(ends: Column) -> Column:
+            every = F.transform(F.sequence(F.lit(1), F.size(cut) - 2, F.lit(2)), lambda i: let(ending(F.get(cut, i)), lambda v: F.struct(
+                F.get(ends, i).alias("s"), (F.get(ends, i) + F.length(v)).alias("e"), v.alias("v"), F.right(F.concat(F.coalesce(F.get(cut, i - 3), F.lit("")), F.get(cut, i - 1)), F.lit(CONTEXT)).alias("c"),
+                F.left(F.substring(F.concat(F.get(cut, i + 1), F.coalesce(F.get(cut, i + 3), F.lit(""))), F.length(v) + 1, F.lit(CONTEXT)), F.lit(CONTEXT)).alias("a"),
+            )))
+            valid = F.filter(every, lambda x: x["e"] > x["s"])
+
+            def apart(xs: Column) -> Column:
+                reach = scan(F.transform(xs, lambda x: x["e"]), lambda a, b: F.greatest(a, b))
+                return let(reach, lambda r: F.filter(xs, lambda x, i: (i == 0) | (F.get(r, i - 1) <= x["s"])))
+
+            return let(valid, apart)
+
+        return F.when(F.size(cut) > 2, let(scan(sizes, lambda a, b: a + b), at)).otherwise(none)
+
+    return F.coalesce(let(pieces(text, PATTERNS["iban"], "$1"), found), none)
 
 
 def confirmed(kind: str, v: Column) -> Column:
@@ -99,13 +106,14 @@ def confirmed(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def score(kind: str, context: Column) -> Column:
+def score(kind: str, x: Column) -> Column:
+    """Higher with a context word close before the span or close after it."""
     plain, backed = SCORES[kind]
-    return F.when(F.regexp_like(F.lower(context), F.lit(CONTEXT_WORDS[kind])), F.lit(backed)).otherwise(F.lit(plain))
+    return F.when(F.regexp_like(F.lower(F.concat(x["c"], F.lit("\n"), x["a"])), F.lit(CONTEXT_WORDS[kind])), F.lit(backed)).otherwise(F.lit(plain))
 
 
 def find(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """`df` with pii: array of (s, rank, kind, e, v, c, score) over each whole text, sorted by start, then kind.
+    """`df` with pii: array of (s, rank, kind, e, v, c, a, score) over each whole text, sorted by start, then kind.
 
     Null and empty texts have no spans. Base kinds stay whatever their score; the added ones (iban, ssn) need a score
     of THRESHOLD, which for ssn takes a context word. A column named pii in the input is replaced.
@@ -113,10 +121,10 @@ def find(df: DataFrame, text_col: str = "text") -> DataFrame:
     text = text_or_empty(text_col)
 
     def kept(k: str):
-        return lambda x: confirmed(k, x["v"]) & (F.lit(k in BASE) | (score(k, x["c"]) >= THRESHOLD))
+        return lambda x: confirmed(k, x["v"]) & (F.lit(k in BASE) | (score(k, x) >= THRESHOLD))
 
     kinds = [(k, F.filter(ibans(text) if k == "iban" else matches(text, p), kept(k))) for k, p in PATTERNS.items()]
-    found = F.transform(spans(kinds), lambda x: x.withField("score", F.coalesce(*[F.when(x["kind"] == k, score(k, x["c"])) for k in PATTERNS])))
+    found = F.transform(spans(kinds), lambda x: x.withField("score", F.coalesce(*[F.when(x["kind"] == k, score(k, x)) for k in PATTERNS])))
     return df.drop("pii").withColumn("pii", found)
 
 
@@ -125,19 +133,25 @@ def mask(df: DataFrame, text_col: str = "text") -> DataFrame:
     spans the one that starts first is replaced, whole, and later ones up to their ends with it."""
     text = text_or_empty(text_col)
 
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["s"] >= a["pos"]
-        gap = F.substring(text, a["pos"] + 1, F.greatest(x["s"] - a["pos"], F.lit(0)))
-        piece = F.when(fresh, F.concat(gap, F.lit("<"), x["kind"], F.lit(">"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(a["pos"], x["e"]).alias("pos"), F.array_append(a["out"], piece).alias("out"))
+    def replaced(chars: Column) -> Column:
+        def parts(reach: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(F.lit(0))
+            gap = lambda a, b: F.array_join(F.slice(chars, a + 1, F.greatest(b - a, F.lit(0))), "")
+            kept = F.transform("pii", lambda x, i: F.when(x["s"] >= before(i), F.concat(gap(before(i), x["s"]), F.lit("<"), x["kind"], F.lit(">"))).otherwise(F.lit("")))
+            return F.concat(F.array_join(kept, ""), gap(F.element_at(reach, -1), F.size(chars)))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    masked = F.aggregate("pii", start, step, lambda a: F.concat(F.concat_ws("", a["out"]), F.substring(text, a["pos"] + 1, F.length(text))))
+        return let(scan(F.transform("pii", lambda x: x["e"]), lambda a, b: F.greatest(a, b)), parts)
+
+    masked = let(F.split(text, "(?!$)", -1), replaced)
     return df.withColumn(text_col, F.when(F.size("pii") > 0, masked).otherwise(F.col(text_col)))
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_other, min_score."""
+    """One row per input row: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_other, min_score.
+
+    Null and empty texts have no spans: counts of 0, the hash of nothing, an empty string and a null min_score. Repeated
+    rows and ids give repeated results; other columns of the input are left out.
+    """
     found = find(df.select(F.col(id_col), F.col(text_col)), text_col).select(id_col, "pii")
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
     count = [count_of("pii", k).alias(f"n_{k}") for k in BASE]
