@@ -1,12 +1,15 @@
 import collections
 import hashlib
 import html
+import math
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -177,12 +180,28 @@ def test_quality_is_trained_on_whole_texts(spark, monkeypatch):
     text = lambda y, n: " ".join(rng.choices(words[y], k=n))
     rows = [(i, text("both", 2_600) + " " + text(i % 2, 2_600), i % 2) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    for bound in (quality.FIT_CHUNKS_PER_CLASS, 100):
-        monkeypatch.setattr(quality, "FIT_CHUNKS_PER_CLASS", bound)
+    for bound in (quality.FIT_PIECES_PER_CLASS, 100):
+        monkeypatch.setattr(quality, "FIT_PIECES_PER_CLASS", bound)
         model = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
         right = [int(model.score(text("both", 2_600) + " " + text(i % 2, 2_600)) >= 0.5) == i % 2 for i in range(40)]
         assert sum(right) >= 38
-    assert quality._shares([("a", 1), ("b", 400 * quality.CHUNK), ("c", 30 * quality.CHUNK)]) == {"a": 1, "c": 30, "b": 69}
+    assert quality._shares([("a", 1), ("b", 400 * quality.SPACING), ("c", 30 * quality.SPACING)]) == {"a": 1, "c": 30, "b": 69}
+    assert sum(quality._shares([(i, 900) for i in range(250)]).values()) == 84  # every third gives one
+
+
+def test_quality_scores_against_plain_compression(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    size = lambda raw, d: len(zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw))
+    held = {i for (i,) in duckdb.sql(f"SELECT doc_id FROM '{sf}/documents.parquet'").fetchall() if zlib.crc32(str(i).encode()) % 5 == 0}
+    rows = quality.score(docs.select("doc_id", "text", quality.held_out("doc_id").alias("h")), model).collect()
+    assert {r["doc_id"] for r in rows if r["h"]} == held
+    for r in rows[:60]:
+        raw = (r["text"] or "").encode()
+        parts = [raw[i : i + 1024] for i in range(0, len(raw), 1024)]
+        x = sum(size(c, model.bad) - size(c, model.good) for c in parts) / max(1, len(raw)) * min(1024, len(raw)) ** 0.5
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.bias + model.weight * x))) if raw else 0.0)
+        assert r["predicted"] == int(r["score"] >= 0.3)
 
 
 def test_pages_against_their_articles(spark, sf):

@@ -14,58 +14,50 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, text_or_empty
 
-#: Bounds of the fit: labelled rows of each class that are used, and chunks of a class that train its dictionary, dealt
-#: evenly over the rows and over each whole text. Scoring has no bound.
+#: Bounds of the fit: labelled rows of each class that are used, and pieces of a class that make its dictionary, dealt
+#: evenly over the rows and over each whole text, SPACING bytes apart or more. Scoring has no bound.
 FIT_ROWS_PER_CLASS = 3000
-FIT_CHUNKS_PER_CLASS = 8192
-DICTIONARY_BYTES = 64 * 1024
-CHUNK = 4096
-LEVEL = 3
+FIT_PIECES_PER_CLASS = 1024
+PIECE, SPACING = 256, 4096
+#: Bytes that are compressed at a time.
+CHUNK = 1024
+LEVEL = 9
 
 
 @dataclass(frozen=True)
 class Model:
-    """Two trained dictionaries and the logistic calibration of the compressed sizes that they give."""
+    """Two dictionaries and the logistic calibration of the size difference that they give."""
 
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
+    bias: float
+    weight: float
 
     def score(self, text: str) -> float:
         """Calibrated probability of label 1; 0 for an empty text."""
         if not text:
             return 0.0
-        x = (np.array(_features(text, self.good, self.bad)) - self.mean) / self.scale
-        return float(1 / (1 + np.exp(-np.clip(_expand(x[None, :]) @ np.array(self.weights), -30, 30)))[0])
+        return float(1 / (1 + np.exp(-np.clip(self.bias + self.weight * size_difference(text, self.good, self.bad), -30, 30))))
 
 
 @lru_cache(maxsize=8)
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if dictionary else None
     if d is not None:
         d.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
-def _features(text: str, good: bytes, bad: bytes) -> tuple[float, float, float]:
-    """Normalised size difference, log compression ratio and log length, up to a chunk, of a whole text.
+def size_difference(text: str, good: bytes, bad: bytes) -> float:
+    """How much smaller the dictionary of good text makes a whole text than the one of bad text, normalised.
 
-    The text is compressed in chunks, each against the fresh dictionary, so that a long text is judged like a short one;
-    beyond a chunk the length changes nothing.
+    The text is compressed in chunks, each against the fresh dictionary, so that a long text is judged like a short one.
+    The difference of a byte is multiplied by the root of the size, up to a chunk: that of its noise falls as this grows.
     """
     raw = text.encode("utf-8", "replace")
     g, b = _compressor(good), _compressor(bad)
-    chunks = [raw[i : i + CHUNK] for i in range(0, len(raw), CHUNK)]
-    n_good, n_bad = sum(len(g.compress(c)) for c in chunks), sum(len(b.compress(c)) for c in chunks)
-    return (n_bad - n_good) / max(n_good, n_bad), float(np.log(min(n_good, n_bad) / len(raw))), float(np.log(min(len(raw), CHUNK)))
-
-
-def _expand(x: np.ndarray) -> np.ndarray:
-    """Intercept, features, squares and products."""
-    pairs = [x[:, i] * x[:, j] for i in range(x.shape[1]) for j in range(i, x.shape[1])]
-    return np.column_stack([np.ones(len(x)), x, *pairs])
+    difference = sum(len(b.compress(raw[i : i + CHUNK])) - len(g.compress(raw[i : i + CHUNK])) for i in range(0, len(raw), CHUNK))
+    return difference / len(raw) * min(len(raw), CHUNK) ** 0.5
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 40) -> np.ndarray:
@@ -86,11 +78,13 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
 
 
 def _shares(sizes: list[tuple]) -> dict:
-    """Chunks to take of each text, from (id, bytes): all, or the same number of each as far as the bound and they go."""
-    chunks = {i: -(-n // CHUNK) for i, n in sizes}
-    share, left = {}, FIT_CHUNKS_PER_CLASS
-    for at, i in enumerate(sorted(chunks, key=lambda i: (chunks[i], i))):
-        share[i] = min(chunks[i], max(1, left // (len(chunks) - at)))
+    """Pieces to take of each text, from (id, bytes): all, or the same number of each as far as the bound and they go.
+    Of more texts than pieces every n-th gives one."""
+    sizes = sizes[:: -(-len(sizes) // FIT_PIECES_PER_CLASS)]
+    pieces = {i: -(-n // SPACING) for i, n in sizes}
+    share, left = {}, FIT_PIECES_PER_CLASS
+    for at, i in enumerate(sorted(pieces, key=lambda i: (pieces[i], i))):
+        share[i] = min(pieces[i], left // (len(pieces) - at))
         left -= share[i]
     return share
 
@@ -99,8 +93,8 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """Train on labelled rows that are not held out.
 
     At most `rows_per_class` rows of each class, the first by hash of id, are used whole: even ones build the
-    dictionaries, odd ones calibrate. To the driver come the sizes, at most FIT_CHUNKS_PER_CLASS chunks of a class (all,
-    or as many of each text as fit, evenly over it) and three features of each odd row, computed in tasks. Rows with null
+    dictionaries, odd ones calibrate. To the driver come the sizes, at most FIT_PIECES_PER_CLASS pieces of a class (all,
+    or as many of each text as fit, evenly over it) and one number of each odd row, computed in tasks. Rows with null
     id, label or text are passed over; an id labelled twice takes its lower label. With fewer than eight rows of a class
     the score is the base rate.
     """
@@ -117,7 +111,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     n = len(texts[0]) + len(texts[1])
     if min(map(len, texts.values())) < 8:
         rate = (len(texts[1]) + 1) / (n + 2)
-        return Model(b"", b"", (float(np.log(rate / (1 - rate))), *[0.0] * 9), (0.0,) * 3, (1.0,) * 3)
+        return Model(b"", b"", float(np.log(rate / (1 - rate))), 0.0)
     share = {i: (y, k) for y, sample in texts.items() for i, k in _shares(sample[::2]).items()}
     odd = {i for sample in texts.values() for i, _ in sample[1::2]}
 
@@ -126,34 +120,28 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
             for row, i in enumerate(batch.column("id").to_pylist()):
                 if i in share:
                     raw = batch.column("text")[row].as_py().encode("utf-8", "replace")
-                    n_chunks, k = -(-len(raw) // CHUNK), share[i][1]
-                    at = [(2 * j + 1) * n_chunks // (2 * k) * CHUNK for j in range(k)]
-                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, 1).take(pa.array([0] * k, pa.int32())), pa.array(at, pa.int64()), pa.array([raw[b : b + CHUNK] for b in at], pa.binary())], ["id", "at", "piece"])
+                    n_places, k = -(-len(raw) // SPACING), share[i][1]
+                    at = [j * n_places // k * SPACING for j in range(k)]
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, 1).take(pa.array([0] * k, pa.int32())), pa.array(at, pa.int64()), pa.array([raw[b : b + PIECE] for b in at], pa.binary())], ["id", "at", "piece"])
 
     id_type = chosen.schema["id"].dataType.simpleString()
     gathered: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(chosen.select("id", "text").mapInArrow(pieces, f"id {id_type}, at bigint, piece binary").collect(), key=lambda r: (r["id"], r["at"])):
         gathered[share[r["id"]][0]].append(bytes(r["piece"]))
-    dictionaries = {}
-    for y, parts in gathered.items():
-        room = max(1024, min(DICTIONARY_BYTES, sum(map(len, parts)) // 4))
-        try:
-            dictionaries[y] = zstandard.train_dictionary(room, parts).as_bytes()
-        except zstandard.ZstdError:  # too little text to train on: the text itself serves
-            dictionaries[y] = b"".join(parts)[-room:]
+    dictionaries = {y: b"".join(parts) for y, parts in gathered.items()}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = [row for row, i in enumerate(batch.column("id").to_pylist()) if i in odd]
-            x = np.array([_features(batch.column("text")[row].as_py(), dictionaries[1], dictionaries[0]) for row in at]).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int32())) for c in ("id", "y")), *(pa.array(x[:, k]) for k in range(3))], ["id", "y", "x0", "x1", "x2"])
+            x = [size_difference(batch.column("text")[row].as_py(), dictionaries[1], dictionaries[0]) for row in at]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int32())) for c in ("id", "y")), pa.array(x, pa.float64())], ["id", "y", "x"])
 
     y_type = chosen.schema["y"].dataType.simpleString()
-    pairs = sorted(chosen.select("id", "y", "text").mapInArrow(measured, f"id {id_type}, y {y_type}, x0 double, x1 double, x2 double").collect(), key=lambda r: (r["y"], r["id"]))
-    x = np.array([(r["x0"], r["x1"], r["x2"]) for r in pairs])
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    w = _logistic(_expand((x - mean) / scale), np.array([r["y"] for r in pairs], dtype=float))
-    return Model(dictionaries[1], dictionaries[0], tuple(w), tuple(mean), tuple(scale))
+    pairs = sorted(chosen.select("id", "y", "text").mapInArrow(measured, f"id {id_type}, y {y_type}, x double").collect(), key=lambda r: (r["y"], r["id"]))
+    x = np.array([r["x"] for r in pairs])
+    mean, scale = x.mean(), x.std() + 1e-9
+    bias, weight = _logistic(np.column_stack([np.ones(len(x)), (x - mean) / scale]), np.array([r["y"] for r in pairs], dtype=float))
+    return Model(dictionaries[1], dictionaries[0], float(bias - weight * mean / scale), float(weight / scale))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
