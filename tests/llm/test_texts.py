@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bwt, decontamination, html_extract, quality, substrings
+from tidemark.llm import bwt, common, decontamination, html_extract, quality, substrings
 from tidemark.llm.queries import QUERIES
 
 
@@ -54,7 +54,7 @@ def test_merge_leaves_what_stands_in_several_shards():
 
 @pytest.mark.parametrize(("chunk", "hot"), [(4, 2), (2048, 1000)])
 def test_repeats_against_brute_force(spark, monkeypatch, chunk, hot):
-    monkeypatch.setattr(substrings, "HOT_COPIES", hot)
+    monkeypatch.setattr(common, "HOT_COPIES", hot)
     monkeypatch.setattr(substrings, "BROADCAST_KEYS", 500_000 if hot > 2 else -1)
     rng = random.Random(5)
     shared = ["".join(rng.choices("abcde ", k=n)) for n in (150, 180, 199, 200, 201, 230, 400, 900)]

@@ -129,6 +129,12 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             n, ids, text = zip(*[_digest(c, c.encode(t)) for t in batch.column(1).to_pylist()], strict=True) if len(batch) else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                piece = [text[i : i + leaf_chars] for i in range(0, len(text), leaf_chars)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(piece)), pa.array(range(len(piece)), pa.int32()), pa.array(piece)], ["key", "at", "piece"])
+
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary)
         for batch in batches:
@@ -143,25 +149,15 @@ def encode_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.table({"key": pa.array([group["key"][0].as_py()], pa.string()), "n_tokens": pa.array([n], pa.int64()), "ids_sha256": [a], "decoded_sha256": [b]})
 
     digests = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    pieces = long.groupBy("key").agg(F.first("text").alias("text")).select(
-        "key", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf_chars).cast("int"))).alias("at")
-    ).select("key", "at", F.substring(F.col("text"), F.col("at") * leaf_chars + 1, F.lit(leaf_chars)).alias("piece"))
+    pieces = long.groupBy("key").agg(F.first("text").alias("text")).mapInArrow(cut, "key string, at int, piece string")
     of_long = pieces.repartition("key", "at").mapInArrow(leaf, "key string, at int, piece string, ids binary").groupBy("key").applyInArrow(joined, f"key string, {digests}")
     out = short.mapInArrow(whole, f"id {kind}, {digests}").unionByName(long.select("id", "key").join(of_long, "key").drop("key"))
     return out.withColumnRenamed("id", id_col)
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(id, n_tokens) of every row's whole text; null text has none."""
-    vocabulary = vocabulary or default_vocabulary()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(vocabulary)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(c.encode(t)) for t in batch.column(1).to_pylist()], pa.int64())], ["id", "n_tokens"])
-
-    kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint").withColumnRenamed("id", id_col)
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """(id, n_tokens) of every row's whole text, long ones up the tree as in `encode_digests`; null text has none."""
+    return encode_digests(df, id_col, text_col, vocabulary, leaf_chars).select(id_col, "n_tokens")
 
 
 def length_histogram(counts: DataFrame, length_col: str = "n_tokens") -> DataFrame:
@@ -175,8 +171,8 @@ def length_table(histogram: DataFrame, block: int = 256) -> DataFrame:
     For each length that occurs, taken as a context limit: docs_upto and tokens_upto (documents no longer than it),
     docs_over (longer ones), truncated_tokens (sum of min(length, limit)), total_docs, total_tokens, and cdf (share of
     documents no longer: the smallest length with cdf >= q is the q-quantile). Suffix sums are taken in two levels, in
-    blocks of `block` lengths and over the blocks, so no task sees the whole histogram unless it is one block. An
-    empty histogram gives an empty table.
+    blocks of `block` lengths and over the blocks; one task sees all blocks, of which there are as many as the longest
+    text has tokens / `block`. The histogram is read more than once: write it first. An empty one gives an empty table.
     """
     h = histogram.withColumn("block", F.floor(F.col("length") / block))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))

@@ -9,17 +9,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of one key beyond which they are dealt out in parts before they are joined, and keys of that kind that are broadcast.
+HOT_COPIES = 1000
+BROADCAST_HOT = 500_000
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one is set only where none is configured (tests)."""
+    """The cluster's checkpoint folder. Where none is configured a temporary one serves a local master; a cluster must name one."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if not found:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
         found = sc.getCheckpointDir()
     return found
 
 
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of the shared folder; without paths all that `table` has written, once nothing reads them any more."""
+    for path in paths or list(_written):
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _written:
+            _written.remove(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
@@ -31,9 +48,26 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_copies(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with `classes`, one row a key with its number of rows in `copies`.
+
+    The rows of a key with over HOT_COPIES of them are dealt out in parts of about that size, and its class goes to each.
+    """
+    hot = cut(classes.where(F.col("copies") > HOT_COPIES).select(key, F.ceil(F.col("copies") / HOT_COPIES).cast("int").alias("parts")))
+    n_hot = hot.count()
+    if not n_hot:
+        return rows.join(classes.drop("copies"), key)
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_HOT else hot
+    part = F.when(F.col("parts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("parts"))).otherwise(F.lit(0)).cast("int")
+    rows = rows.join(hot, key, "left").withColumn("part", part).drop("parts")
+    classes = classes.drop("copies").join(hot, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return rows.join(classes, [key, "part"]).drop("part")
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

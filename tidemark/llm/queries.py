@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, embedding, html_extract, pii, quality, secrets, simhash, substrings
+from tidemark.llm.common import table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact histogram of encoded lengths with the suffix sums for every context limit."""
-    return bpe.length_table(bpe.length_histogram(bpe.token_counts(_table(spark, sf_dir, "documents"))))
+    return bpe.length_table(table(bpe.length_histogram(bpe.token_counts(_table(spark, sf_dir, "documents")))))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +61,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_pii, op3_decontamination, op4_substring_dedup, op5_embedding_dedup, op6_quality, op7_secrets, op8_simhash, op9_html, op10_bpe)}
-ORACLES: dict[str, str] = {}
+#: Only the links of vectors are within reach of SQL: all pairs, then the smallest vector that links lead to.
+ORACLES: dict[str, str] = {
+    "op5_embedding_dedup": """
+        WITH RECURSIVE ok AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM ok UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        counts AS (SELECT a, count(*) AS n FROM links GROUP BY a), least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept
+        FROM embeddings e LEFT JOIN counts ON counts.a = vec_id LEFT JOIN least ON least.a = vec_id""",
+}

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, table, text_or_empty
+from tidemark.llm.common import components, cut, join_copies, table, text_or_empty
 
 #: Homes of one anchor that one group compares; fuller anchors are dealt out as a grid of groups.
 GROUP_HOMES = 4096
@@ -300,14 +300,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies, however many, cost one row in the search.
     """
     fps = table(fingerprints(df, id_col, text_col, shingle))
-    reps = cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep")))
+    reps = cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     # an id that occurs with several texts links their fingerprints too
-    repeated = fps.join(reps, "fp").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
+    repeated = join_copies(fps.where("id is not null"), reps, "fp").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     links = links_within(reps.select(F.col("rep").alias("id"), "fp"), radius)
     links = links.unionByName(repeated.select("a", F.col("id").alias("b"))).unionByName(repeated.select("a", "b"))
     found = components(links)
-    classes = reps.join(found, reps["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    out = fps.join(classes, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))
+    classes = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id"))
+    out = join_copies(fps.where("id is not null"), classes, "fp").select("id", "fp", "component_id")
+    out = out.unionByName(fps.where("id is null").select("id", "fp", F.lit(None).cast("long").alias("component_id")))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -333,8 +334,8 @@ def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where("id is not null")
     keyed = table(rows.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("key")))
-    reps = keyed.groupBy("key").agg(F.min("id").alias("rep"))
-    members = table(keyed.join(reps, "key").select("id", "rep").distinct())
+    reps = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    members = table(join_copies(keyed, table(reps), "key").select("id", "rep").distinct())
     first = rows.join(members.select("rep").distinct(), rows["id"] == F.col("rep"), "left_semi").dropDuplicates(["id"])
     first = table(first)
     fps = table(minwise_fingerprints(first, "id", "text", shingle))

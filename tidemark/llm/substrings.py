@@ -19,14 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import bwt
-from tidemark.llm.common import table, text_or_empty
+from tidemark.llm.common import join_copies, table, text_or_empty
 
 LENGTH = 200
 GRAM = 32
 #: Contexts of one anchor that one group compares; fuller anchors are dealt out in chunks.
 CHUNK = 2048
-#: Copies of one text beyond which its rows are dealt out in parts before they are joined.
-HOT_COPIES = 1000
 #: Text keys that are broadcast to pick out texts before their shuffle; beyond it the texts are shuffled first.
 BROADCAST_KEYS = 500_000
 #: Bytes that are hashed at a time.
@@ -291,16 +289,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stripped = texts(spans).select("key", "raw", "xs").mapInArrow(strip, "key string, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
     result = copies.join(stripped, "key", "left").select(
-        "key", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        "key", "copies", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "key")).alias("kept_sha256"), F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
     )
-    # rows of a text with very many copies are dealt out in parts, and its result with them
-    hot = table(copies.where(F.col("copies") > HOT_COPIES).select("key", F.ceil(F.col("copies") / HOT_COPIES).cast("int").alias("parts")))
-    hot = F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
-    base = base.join(hot, "key", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("parts"))).otherwise(F.lit(0)).cast("int")).drop("parts")
-    result = result.join(hot, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    out = base.join(result, ["key", "part"]).select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["key", "kept"] if with_text else []))
+    out = join_copies(base, result, "key").select(F.col("id").cast(kind).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["key", "kept"] if with_text else []))
     if with_text:
         rest = rows.select("key", "raw").dropDuplicates(["key"])
         out = out.join(rest, "key").withColumn("kept", F.coalesce("kept", "raw")).drop("key", "raw")
