@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontamination, pii, quality, simhash
-from tidemark.llm.common import shared_dir
+from tidemark.llm.common import forget, shared_dir
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,10 +20,20 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id; of rows that repeat an id, one."""
+    """Of each group of near copies the document with the smallest id.
+
+    Of rows that repeat an id the one with the least text stays, as an id is one document. Rows without an id cannot be
+    named a group's document: one of each text stays, if no document with an id has the same text.
+    """
     groups = simhash.verified_groups(docs)
     kept = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS)
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    named = named.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("x")).select("doc_id", "x.*").select(COLUMNS)
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    nameless = docs.where("doc_id is null").withColumn("key", key).dropDuplicates(["key"])
+    nameless = nameless.join(docs.where("doc_id is not null").select(key.alias("key")), "key", "left_anti").select(COLUMNS)
+    return named.unionByName(nameless)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,15 +61,19 @@ STAGES = [
     ("bpe", encode),
 ]
 
-#: Compressed sizes, fingerprints and tokens are beyond SQL; tests/llm compares each stage with a brute-force version.
+#: Compressed sizes, fingerprints and tokens are beyond SQL; tests/llm compares the stages with brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each written to the shared folder and read again by the next; what a stage has read is
+    deleted once its own result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
     return docs
