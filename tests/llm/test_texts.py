@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import bwt, common, decontamination, html_extract, quality, substrings
+from tidemark.llm import bwt, common, decontamination, html_extract, pii, quality, substrings
 from tidemark.llm.queries import QUERIES
 
 
@@ -256,6 +256,67 @@ def test_cut_is_least():
         assert energy(html_extract.minimum_cut(cost, edges)) == pytest.approx(best)
 
 
+def brute_near_copies(rows):
+    """Smallest id of each group of texts that are equal or whose sets of five-word shingles reach 0.8."""
+    def of(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    parent = {i: i for i, _ in rows}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sets, by_shingle = {i: of(t) for i, t in rows}, collections.defaultdict(set)
+    for i, s in sets.items():
+        for x in s:
+            by_shingle[x].add(i)
+    first = {}
+    for i, t in rows:
+        a, b = root(i), root(first.setdefault(t or "", i))
+        parent[max(a, b)] = min(a, b)
+    for pair in {(a, b) for ids in by_shingle.values() for a in ids for b in ids if a < b}:
+        x, y = (sets[i] for i in pair)
+        if len(x & y) >= 0.8 * len(x | y):
+            a, b = map(root, pair)
+            parent[max(a, b)] = min(a, b)
+    return {i for i in parent if root(i) == i}
+
+
+def test_pipeline_stages_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = stages["quality"](spark, docs, sf).cache()
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, t in texts.items() if model.score(t or "") >= 0.3}
+    got = {r["doc_id"] for r in stages["near_dedup"](spark, docs, sf).collect()}
+    assert got == brute_near_copies(list(texts.items()))
+    items = duckdb.sql(f"SELECT item_id, text FROM '{sf}/benchmark.parquet'").fetchall()
+    hit = {i for i, _ in similar_windows(list(texts.items()), items)}
+    assert {r["doc_id"] for r in stages["decontamination"](spark, docs, sf).collect()} == set(texts) - hit
+    spans = {r["doc_id"]: [(x["s"], x["e"], x["kind"]) for x in r["pii"]] for r in pii.find(docs).collect()}
+    for r in stages["pii"](spark, docs, sf).collect():
+        out, at = [], 0
+        for s, e, kind in spans[r["doc_id"]]:
+            if s >= at:
+                out.append(texts[r["doc_id"]][at:s] + f"<{kind}>")
+            at = max(at, e)
+        assert r["text"] == "".join(out) + texts[r["doc_id"]][at:]
+        assert r["n_chars"] == len(r["text"])
+
+
+def test_near_copies_without_ids(spark, sf):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (None, text), (None, "quite another text without an id"), (None, "quite another text without an id"), (2, "b of one id"), (2, "a of one id"), (3, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.drop_near_copies(spark, df, sf).collect()), key=str)
+    assert got == [(0, "quite another text without an id"), (1, text), (2, "a of one id"), (3, None)]
+
+
 def test_pipeline_stages_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     seen = {r["doc_id"]: r["text"] for r in docs.collect()}
