@@ -59,8 +59,21 @@ def test_paged_source(spark, tmp_path):
     (tmp_path / "p1.json").write_text(json.dumps({"results": [{"ticker": "A"}, {"ticker": "B"}], "next_url": f"file://{tmp_path}/p2.json"}))
     (tmp_path / "p2.json").write_text(json.dumps({"results": [{"ticker": "C"}]}))
     files.register(spark)
-    got = spark.read.format("paged_json").schema("ticker string").option("url", f"file://{tmp_path}/p1.json,file://{tmp_path}/none.json").load()
-    assert sorted(r["ticker"] for r in got.collect()) == ["A", "B", "C"]
+    got = spark.read.format("paged_json").schema("ticker string").option("url", f"file://{tmp_path}/p1.json,file://{tmp_path}/p2.json").load()
+    assert sorted(r["ticker"] for r in got.collect()) == ["A", "B", "C", "C"]
+    for wrong in ({"url": f"file://{tmp_path}/none.json"}, {"url": f"file://{tmp_path}/p1.json", "limit": 2}):  # no silent part of a table
+        with pytest.raises(Exception, match="none.json|more than 2 rows"):
+            spark.read.format("paged_json").schema("ticker string").options(**wrong).load().collect()
+
+
+def test_aggregates_are_dated_in_utc(spark, tmp_path):
+    (tmp_path / "agg.json").write_text(json.dumps({"t": 1704067200000, "o": 1, "c": 2, "vw": 1.5}))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        assert files.option_aggregates(spark, str(tmp_path / "agg.json"), "T").first()["date"] == datetime.date(2024, 1, 1)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_quote_by_state(spark):

@@ -193,6 +193,31 @@ def test_documents_are_normalized():
     assert rules.parse("not json") is None and rules.normalize({"entry": {}}) is None and rules.normalize(None) is None
 
 
+def test_bars_without_a_close_do_not_count(spark):
+    always = rules.Condition(rules.Side("Benchmark price"), ">", rules.Side(value=0.0))
+    b = bars(spark, [100.0, 100.0, 101.0, None, 102.0, 103.0], bench=[1.0] * 6)
+    got = rules.simulate(b, rules.Strategy(rules.Panel((always,)), rules.Panel(()), 2, 0, 0, "Long")).orderBy("entry_date").first()
+    dates = [r["bar_date"] for r in b.orderBy("bar_date").collect()]
+    assert (got["entry_date"], got["exit_date"], got["exit_price"], got["days_held"]) == (dates[1], dates[4], 102.0, 2)
+
+
+def test_names_of_documents_are_known(spark):
+    for name, own in rules.ALIASES.items():
+        assert own in rules.CATALOG and rules._side({"kind": "indicator", "indicator": name}).indicator == own
+    rows = {r["name"]: r for r in rules.catalog(spark).collect()}
+    assert len(rows) == 22 and rows["RSI(N)"]["default_n"] == 14 and rows["Vol Regime Label"]["categories"] == ["CHEAP", "MID-RANGE", "EXPENSIVE"]
+
+
+def test_runs_without_finite_metrics_have_a_row(spark):
+    rng = np.random.default_rng(4)
+    close = 100 * np.cumprod(1 + 0.02 * rng.standard_normal(40))
+    close[5] = np.inf
+    runs = sleeve.sweep(bars(spark, close.tolist(), bench=(100 + np.arange(40.0)).tolist()), lengths=(40,), step=20)
+    rows = runs.collect()
+    assert len(rows) == len(sleeve.PARAMS) and all("not finite" in r["error"] and r["tr_strat"] is None for r in rows)
+    assert sleeve.rollup(runs).where("dimension = 'overall'").first()["n"] == 0
+
+
 def test_every_indicator_compiles(spark):
     rng = np.random.default_rng(3)
     df = bars(spark, rng.uniform(90, 110, 80), bench=rng.uniform(290, 310, 80), volidx=rng.uniform(10, 40, 80)).withColumn("high", views.F.col("close") + 1).withColumn("low", views.F.col("close") - 1)

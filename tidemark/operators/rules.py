@@ -114,6 +114,20 @@ class Strategy:
     direction: str = "Long"
 
 
+# fixed values: names that documents use for the same indicators
+ALIASES = {
+    "SOXL price": "Asset price", "QQQ price": "Benchmark price", "VIX level": "Volatility index", "SOXL/QQQ ratio": "Asset/benchmark ratio", "SOXL z-score vs QQQ(N)": "Asset z-score vs benchmark(N)",
+    "Days held in position": DAYS_HELD, "Vol Surface Signal (Calls)": "Surface Signal (Calls)", "Vol Surface Signal (Puts)": "Surface Signal (Puts)",
+    "Probability Engine P(M%, Hd)": "Move Probability P(M%, Hd)", "Period Analysis Percentile(N)": "Period Percentile(N)",
+}
+
+
+def catalog(spark) -> DataFrame:
+    """(name, default_n, default_n2, categorical, categories) of every indicator that a rule may name."""
+    rows = [(i.name, float(i.n) if i.n is not None else None, float(i.n2) if i.n2 is not None else None, bool(i.values), list(i.values or ())) for i in CATALOG.values()]
+    return spark.createDataFrame(rows, "name string, default_n double, default_n2 double, categorical boolean, categories array<string>")
+
+
 def _side(d) -> Side | None:
     if not isinstance(d, dict):
         return None
@@ -122,7 +136,8 @@ def _side(d) -> Side | None:
         return Side(value=float(value))
     if kind == "category" and isinstance(value, str):
         return Side(value=value)
-    known = CATALOG.get(d.get("indicator")) if kind == "indicator" else None
+    name = d.get("indicator") if isinstance(d.get("indicator"), str) else ""
+    known = CATALOG.get(ALIASES.get(name, name)) if kind == "indicator" else None
     if known is None:
         return None
     return Side(known.name, d.get("n") if d.get("n") is not None else known.n, d.get("n2") if d.get("n2") is not None else known.n2)
@@ -250,8 +265,9 @@ def trades_of(close: np.ndarray, s: Strategy, entry: dict[int, np.ndarray], exit
         if k == len(opens):
             return out
         e = int(opens[k])
-        ahead = slice(e + 1, n)
-        move, days = (close[ahead] / close[e] - 1) * 100 * sign, np.arange(1.0, n - e)
+        ahead = slice(e + 1, min(n, e + 1 + s.max_hold) if s.max_hold else n)
+        move = (close[ahead] / close[e] - 1) * 100 * sign
+        days = np.arange(1.0, len(move) + 1)
         tests = {
             "take_profit": move >= s.tp_pct if s.tp_pct else np.zeros(len(days), bool), "stop": move <= -s.stop_pct if s.stop_pct else np.zeros(len(days), bool),
             "max_hold": days >= s.max_hold if s.max_hold else np.zeros(len(days), bool), "exit_rule": _panel_over(s.exit, exits, ahead, days),
@@ -265,8 +281,10 @@ def trades_of(close: np.ndarray, s: Strategy, entry: dict[int, np.ndarray], exit
 
 
 def simulate(bars: DataFrame, s: Strategy) -> DataFrame:
-    """Trade log of a strategy per symbol: entry_date, exit_date, direction, entry_price, exit_price, days_held, ret, exit_reason."""
-    df = with_conditions(bars, {"entry": s.entry, "exit": s.exit})
+    """Trade log of a strategy per symbol: entry_date, exit_date, direction, entry_price, exit_price, days_held, ret, exit_reason.
+
+    Bars without a finite close are passed over: they open and close nothing and do not count as held."""
+    df = with_conditions(bars, {"entry": s.entry, "exit": s.exit}).where(F.col("close").isNotNull() & ~F.isnan("close") & (F.abs("close") < F.lit(float("inf"))))
     flags = [c for c in df.columns if re.fullmatch(r"(entry|exit)_\d+", c)]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:

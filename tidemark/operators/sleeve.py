@@ -103,7 +103,8 @@ def sweep(pair: DataFrame, params: dict[str, float] = PARAMS, lengths: tuple[int
 
     Windows meet their bars by an equi-join on the symbol with a range on the bar number. Windows of one length go
     through the simulation together, LANES at most in a group, so groups stay bounded however long a series is. A
-    window of under two bars, and a run with a metric that is not finite, has no row.
+    window of under two bars has no row. A run with a metric that is not finite has one with `error` and without metrics;
+    `rollup` counts the others.
     """
     from tidemark.operators.trades import numbered
 
@@ -129,12 +130,13 @@ def sweep(pair: DataFrame, params: dict[str, float] = PARAMS, lengths: tuple[int
             for p, label in enumerate(labels):
                 lane = j * len(share) + p
                 m = _metrics(s["equity"][:, lane], share[p])
-                if all(np.isfinite([*m.values(), *hold.values()])):
-                    rows.append([g["symbol"].iloc[0], length, int(start), dates[j, 0], dates[j, -1], length, label, share[p], *(m[k] for k in FIELDS), *(hold[k] for k in FIELDS), base["tr"], int(s["rolled"][:, lane].sum())])
+                wrong = [f"{k}_{of}" for of, x in (("strat", m), ("asset", hold)) for k in FIELDS if not np.isfinite(x[k])]
+                values = [None] * (2 * len(FIELDS) + 1) if wrong else [*(m[k] for k in FIELDS), *(hold[k] for k in FIELDS), base["tr"]]
+                rows.append([g["symbol"].iloc[0], length, int(start), dates[j, 0], dates[j, -1], length, label, share[p], *values, int(s["rolled"][:, lane].sum()), f"not finite: {', '.join(wrong)}" if wrong else None])
         return pd.DataFrame(rows, columns=names)
 
-    names = ["symbol", "window_len", "start", "from_date", "to_date", "n_days", "param", "share", *(f"{k}_strat" for k in FIELDS), *(f"{k}_asset" for k in FIELDS), "tr_bench", "rolls"]
-    kinds = ["string", "int", "int", "date", "date", "int", "string", *["double"] * (2 * len(FIELDS) + 2), "int"]
+    names = ["symbol", "window_len", "start", "from_date", "to_date", "n_days", "param", "share", *(f"{k}_strat" for k in FIELDS), *(f"{k}_asset" for k in FIELDS), "tr_bench", "rolls", "error"]
+    kinds = ["string", "int", "int", "date", "date", "int", "string", *["double"] * (2 * len(FIELDS) + 2), "int", "string"]
     out = cut.groupBy("symbol", "window_len", "block").applyInPandas(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
     beats = {f"beat_{k}": F.col(f"{k}_strat") > F.col(f"{k}_asset") for k in ("tr", "sharpe", "calmar", "maxdd")}
     return out.withColumns(beats | {"beat_bench": F.col("tr_strat") > F.col("tr_bench"), "positive": F.col("tr_strat") > 0, "regime": regime(F.col("tr_asset"))})
@@ -153,7 +155,7 @@ def rollup(runs: DataFrame) -> DataFrame:
     """Hit rates and means overall and by regime, parameter and window length: one pass of grouping sets. A regime that
     does not occur has a row of zeros."""
     rate = lambda c: 100 * F.avg(F.col(c).cast("int"))
-    runs = runs.withColumn("excess", F.col("tr_strat") - F.col("tr_asset"))
+    runs = runs.where("error is null").withColumn("excess", F.col("tr_strat") - F.col("tr_asset"))
     dims = ["regime", "param", "window_len"]
     out = runs.groupingSets([[], *([d] for d in dims)], *dims).agg(
         F.grouping_id().alias("g"), F.count("*").alias("n"), *[rate(c).alias(f"{c}_rate") for c in ("beat_tr", "beat_bench", "beat_sharpe", "beat_calmar", "beat_maxdd", "positive")],

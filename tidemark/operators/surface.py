@@ -44,12 +44,16 @@ def _keep_in_order(df: DataFrame, keys: list[str], order: str, drops) -> DataFra
     return rows.select(*keys, F.explode(F.aggregate("xs", start, step, lambda a: a["rows"])).alias("x")).select(*keys, "x.*")
 
 
-def no_arbitrage(df: DataFrame) -> DataFrame:
-    """Call mids must not rise with strike nor put mids fall, against the last one kept; then mids must not fall by more
-    than 0.05 with time to expiry."""
+def keep_calls_and_puts(df: DataFrame) -> DataFrame:
+    """Call mids must not rise with strike nor put mids fall, against the last one kept."""
     calls = _keep_in_order(df.where("kind = 'c'"), ["kind", "dte"], "strike", lambda m, p: m > p + 1e-6)
     puts = _keep_in_order(df.where("kind = 'p'"), ["kind", "dte"], "strike", lambda m, p: m < p - 1e-6)
-    return _keep_in_order(calls.unionByName(puts), ["kind", "strike"], "dte", lambda m, p: m < p - 0.05)
+    return calls.unionByName(puts)
+
+
+def no_arbitrage(df: DataFrame) -> DataFrame:
+    """Contracts that keep the order by strike; then mids must not fall by more than 0.05 with time to expiry."""
+    return _keep_in_order(keep_calls_and_puts(df), ["kind", "strike"], "dte", lambda m, p: m < p - 0.05)
 
 
 def local_outliers(df: DataFrame, k: int = 5, low: float = 0.5, high: float = 2.0) -> DataFrame:

@@ -40,7 +40,7 @@ def option_snapshot(spark: SparkSession, path: str) -> DataFrame:
 def option_aggregates(spark: SparkSession, path: str, ticker: str) -> DataFrame:
     """Daily bars of one contract, dated from epoch milliseconds in UTC."""
     df = spark.read.schema(AGGREGATES).json(path)
-    return df.select(F.lit(ticker).alias("ticker"), F.to_date(F.timestamp_millis("t")).alias("date"), F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"), F.col("c").alias("close"), F.col("v").alias("volume"), F.col("vw").alias("vwap"))
+    return df.select(F.lit(ticker).alias("ticker"), F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("t") / 86_400_000).cast("int")).alias("date"), F.col("o").alias("open"), F.col("h").alias("high"), F.col("l").alias("low"), F.col("c").alias("close"), F.col("v").alias("volume"), F.col("vw").alias("vwap"))
 
 
 def latest_short_volume(spark: SparkSession, path: str, symbol: str) -> DataFrame:
@@ -73,29 +73,28 @@ class _Pages(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    """Follows next_url from page to page until there is none, an error, or `limit` rows are passed."""
+    """Follows next_url from page to page until there is none. A page that cannot be read fails the job, and so do more
+    than `limit` rows: a table is whole or not there."""
 
     def __init__(self, schema, options: dict):
         self.names = [f.name for f in schema.fields]
         self.urls = [u for u in options.get("path", options.get("url", "")).split(",") if u]
-        self.limit = int(options.get("limit", 5000))
+        self.limit = int(options.get("limit", 10_000_000))
 
     def partitions(self) -> list[InputPartition]:
         return [_Pages(u) for u in self.urls]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from urllib.error import URLError
         from urllib.request import urlopen
 
         url, n = partition.url, 0
-        while url and n <= self.limit:
-            try:
-                with urlopen(url, timeout=30) as page:  # noqa: S310 - the caller names the source
-                    body = json.load(page)
-            except (URLError, json.JSONDecodeError):
-                return
+        while url:
+            with urlopen(url, timeout=30) as page:  # noqa: S310 - the caller names the source
+                body = json.load(page)
             for row in body.get("results") or []:
                 n += 1
+                if n > self.limit:
+                    raise RuntimeError(f"{partition.url} has more than {self.limit} rows; raise the option limit")
                 yield tuple(row.get(k) for k in self.names)
             url = body.get("next_url")
 
