@@ -64,6 +64,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: Fingerprints of a shingle set, 64 minwise bits each, every bit by a hash function of its own.
 MINWISE = ("f0", "f1", "f2")
 _FACTORS, _TERMS = np.random.default_rng(83).integers(0, 1 << 64, (2, 64 * len(MINWISE)), dtype=np.uint64) | np.array([[1], [0]], dtype=np.uint64)
+#: Ids of candidates that are broadcast to read their texts; more are joined by shuffle.
+BROADCAST_IDS = 2_000_000
 #: What the bounds on differing bits lose, at most, of the pairs that are just similar enough.
 BOUND_LOSS = 1e-6
 
@@ -336,25 +338,30 @@ def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     keyed = table(rows.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("key")))
     reps = keyed.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     members = table(join_copies(keyed, table(reps), "key").select("id", "rep").distinct())
-    first = rows.join(members.select("rep").distinct(), rows["id"] == F.col("rep"), "left_semi").dropDuplicates(["id"])
-    first = table(first)
-    fps = table(minwise_fingerprints(first, "id", "text", shingle))
+    # one text an id: of several the one with the least key. Texts are read again where they are needed, not written
+    several = cut(keyed.groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("other")).where("key <> other").select("id", "key"))
+    first = rows.join(members.select("rep").distinct(), rows["id"] == F.col("rep"), "left_semi")
+    if not several.isEmpty():
+        first = first.join(several, "id", "left").where("key is null or key = sha2(cast(text as binary), 256)").select("id", "text")
+    fps = table(minwise_fingerprints(first, "id", "text", shingle).dropDuplicates(["id"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs.where("a is not null and b is not null").distinct())
-        need = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        need = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
+        need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
         words, shingles = shingle_set("text", shingle)
-        sets = table(first.join(need, "id").select("id", words.alias("w")).select("id", shingles.alias("s")))
+        sets = table(first.join(need, "id", "left_semi").select("id", words.alias("w")).select("id", shingles.alias("s")).dropDuplicates(["id"]))
         left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         return cut(pairs.join(left, "a").join(right, "b").where((both > 0) & (both >= similarity * (F.size("sa") + F.size("sb") - both))).select("a", "b"))
 
     candidates = cut(links_within(fps, radius, None, similarity).distinct())
     links = confirmed(candidates)
-    found = components(links)
     paired = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    again = fps.join(paired, "id", "left_semi")
-    grouped = cut(again.join(found, again["id"] == found["node"], "left").select(*fps.columns, F.coalesce("component", "id").alias("grp")))
+    again = cut(fps.join(paired, "id", "left_semi"))
+
+    found = components(links)
+    grouped = cut(again.join(found, again["id"] == found["node"], "left").select(*again.columns, F.coalesce("component", "id").alias("grp")))
     links = links.unionByName(confirmed(links_within(grouped, radius, "grp", similarity)))
     found = components(links.unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
     ids = keyed.select("id").distinct()
