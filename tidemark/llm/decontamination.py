@@ -119,15 +119,21 @@ def candidates(rows: DataFrame, pieces: DataFrame, seeds: DataFrame, n_pieces: i
     parts = hits.select("row", "hs", F.explode(F.sequence(first, last)).alias("part"))
     parts = parts.select("row", (F.col("part") * SEGMENT).cast("int").alias("base"), F.slice("hs", (F.col("part") * SEGMENT + 1).cast("int"), SEGMENT + most).alias("g")).groupBy("row", "base").agg(F.first("g").alias("g"))
     parts = parts.select("row", "base", "g", F.size("g").alias("n"), *[running(F.col("g"), j).alias(f"p{j}") for j in range(LANE_BITS)])
-    each = parts.select("*", F.explode(F.array(*[F.lit(s * SEGMENT + i) for s, i in windows])).alias("w"))
-    each = each.withColumns({"size": F.floor(F.col("w") / SEGMENT).cast("int"), "i": (F.col("w") % SEGMENT).cast("int")})
-    each = each.withColumn("end", F.least(F.col("i") + F.col("size"), F.col("n"))).where((F.col("end") - F.col("i")) * 4 >= F.col("size") * 3)
 
-    def moved(j: int) -> Column:
-        return F.coalesce((F.get(f"p{j}", F.col("end")) - F.get(f"p{j}", F.col("i"))).bitwiseAND(_long((1 << BITS) - 1)), _long(0))
+    # in one lambda rather than in exploded rows: as one generated method it grows beyond what the JVM compiles
+    def looked_at(w: Column) -> Column:
+        def of(end: Column) -> Column:
+            def moved(j: int) -> Column:
+                return (F.get(f"p{j}", end) - F.get(f"p{j}", w["i"])).bitwiseAND(_long((1 << BITS) - 1))
 
-    each = each.withColumns({f"s{j}": moved(j) for j in range(LANE_BITS)})
-    each = each.select("row", "base", "g", "size", "i", "end", fingerprint([F.col(f"s{j}") for j in range(LANE_BITS)], F.col("end") - F.col("i")).alias("fp"))
+            fp = let(F.array(*[moved(j) for j in range(LANE_BITS)]), lambda sums: fingerprint([F.get(sums, F.lit(j)) for j in range(LANE_BITS)], end - w["i"]))
+            return F.struct(w["size"].alias("size"), w["i"].alias("i"), end.alias("end"), F.coalesce(fp, _long(0)).alias("fp"))
+
+        return let(F.least(w["i"] + w["size"], F.col("n")), of)
+
+    every = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(i).alias("i")) for s, i in windows])
+    whole = F.filter(every, lambda w: (F.least(w["i"] + w["size"], F.col("n")) - w["i"]) * 4 >= w["size"] * 3)
+    each = parts.select("row", "base", "g", F.explode(F.transform(whole, looked_at)).alias("w")).select("row", "base", "g", "w.*")
     each = each.select("*", F.explode(block_keys(F.col("fp"), F.col("size"))).alias("block"))
 
     width = BITS // BLOCKS
