@@ -131,7 +131,7 @@ def candidates(rows: DataFrame, pieces: DataFrame, seeds: DataFrame, n_pieces: i
 
         return let(F.least(w["i"] + w["size"], F.col("n")), of)
 
-    every = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(i).alias("i")) for s, i in windows])
+    every = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(i).alias("i")) for s, i in windows]).cast("array<struct<size:int,i:int>>")
     whole = F.filter(every, lambda w: (F.least(w["i"] + w["size"], F.col("n")) - w["i"]) * 4 >= w["size"] * 3)
     each = parts.select("row", "base", "g", F.explode(F.transform(whole, looked_at)).alias("w")).select("row", "base", "g", "w.*")
     each = each.select("*", F.explode(block_keys(F.col("fp"), F.col("size"))).alias("block"))
