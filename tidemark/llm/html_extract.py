@@ -56,13 +56,21 @@ WEIGHTS = {
 ADJACENT, PROXIMITY, SIBLING, CROSSING = 0.1, 4.0, 0.5, 0.25
 
 
+@dataclass(eq=False)
+class Named:
+    """An element that is named as boilerplate, and the next such one around it."""
+
+    number: int
+    outer: Named | None
+
+
 @dataclass
 class Block:
     text: str
     tag: str
     parent: int
     article: bool
-    named: tuple[int, ...]  # elements around it that are named as boilerplate
+    named: Named | None  # the innermost element around it that is named as boilerplate
     comment: bool
     hidden: bool
     linked: int  # characters inside links
@@ -75,7 +83,7 @@ class _Element:
     tag: str
     number: int
     article: bool = False
-    named: tuple[int, ...] = ()
+    named: Named | None = None
     comment: bool = False
     hidden: bool = False
 
@@ -92,8 +100,7 @@ def _element(tag: str, number: int, attributes: str, above: _Element) -> _Elemen
     if tag in ("article", "main") or role in ("main", "article") or words & IN_WORDS and not words & OUT_WORDS:
         e.article = True
     elif tag in OUT_TAGS or role in OUT_ROLES or words & OUT_WORDS or (tag == "header" or "header" in words) and not above.article:
-        if len(e.named) < 16:  # deeper ones add nothing
-            e.named = (*e.named, number)
+        e.named = Named(number, above.named)
     return e
 
 
@@ -111,7 +118,7 @@ def blocks(page: str) -> list[Block]:
                 k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag not in INLINE), 0)
                 above = next((e for e in reversed(stack[:k]) if e.tag not in INLINE), stack[0])
                 top, low = stack[k], min(state["low"], k + 1)
-                out.append(Block(text, top.tag, above.number, top.article, top.named, top.comment, top.hidden, state["linked"], k, state["last"] - low + k + 1 - low))
+                out.append(Block(text, top.tag, above.number, top.article, top.named, top.comment, top.hidden, state["linked"], k, max(1, state["last"] - low + k + 1 - low)))  # 1 where the same element goes on after a void or stray tag
                 state["last"] = state["low"] = k + 1
             pieces.clear()
         state["linked"] = 0
@@ -178,11 +185,19 @@ def blocks(page: str) -> list[Block]:
 def features(found: list[Block]) -> Iterator[dict[str, float]]:
     """The classifier's features of each block of a page; those that are not there are 0."""
     total = sum(len(b.text) for b in found)
-    within: dict[int, int] = {}
+    within: dict[Named, int] = {}
     for b in found:
-        for e in b.named:
-            within[e] = within.get(e, 0) + len(b.text)
-    named = [max((1 - within[e] / total for e in b.named), default=0.0) for b in found]
+        e = b.named
+        while e and e not in within:
+            within[e] = 0
+            e = e.outer
+        if b.named:
+            within[b.named] += len(b.text)
+    for e in sorted(within, key=lambda e: -e.number):  # inner ones first
+        if e.outer:
+            within[e.outer] += within[e]
+    # the innermost holds the least, so it says the most
+    named = [1 - within[b.named] / total if b.named else 0.0 for b in found]
     marked = any(b.article and not b.comment and x < 0.5 for b, x in zip(found, named, strict=True))
     before = 0
     for b, x in zip(found, named, strict=True):
