@@ -25,6 +25,8 @@ from tidemark.llm.common import text_or_empty
 SPECIAL = "<|endoftext|>"
 SEAM = re.compile(r"(?<=\S)[ \n]")
 LEAF_CHARS = 16_384
+#: White space that the engine of pre-tokens cannot look ahead over. Characters of Unicode's White_Space.
+SPACE_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{32768,}")
 
 
 def default_vocabulary() -> str:
@@ -50,6 +52,23 @@ class Codec:
         self.n_bytes[self.special_id] = len(SPECIAL)
 
     def encode(self, text: str) -> np.ndarray:
+        """Ids of a text. In a very long run of white space all but its last character are one pre-token, all of it at the
+        end of the text or before `SPECIAL`; such runs are cut out and merged as one piece, what is between them as ever."""
+        if len(text) >= 32768 and SPACE_RUN.search(text):
+            ids: list[np.ndarray] = []
+            for k, part in enumerate(text.split(SPECIAL)):
+                if k:
+                    ids.append(np.array([self.special_id], np.uint32))
+                at = 0
+                for m in SPACE_RUN.finditer(part):
+                    end = m.end() - (m.end() < len(part))
+                    ids += [self._plain(part[at : m.start()]), np.array(self.bpe._encode_single_piece(part[m.start() : end]), np.uint32)]
+                    at = end
+                ids.append(self._plain(part[at:]))
+            return np.concatenate(ids)
+        return self._plain(text)
+
+    def _plain(self, text: str) -> np.ndarray:
         if SPECIAL not in text:
             return self.bpe.encode_to_numpy(text, disallowed_special=())
         return self.bpe.encode_to_numpy(text, allowed_special={SPECIAL}, disallowed_special=())
