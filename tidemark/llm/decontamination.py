@@ -144,7 +144,10 @@ def candidates(rows: DataFrame, pieces: DataFrame, seeds: DataFrame, n_pieces: i
     met = each.join(_small(index, n_index), "block").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # fingerprints of unrelated texts come that close once in ten thousand: what shares few shingles goes before the shuffle
     met = met.join(_small(pieces.select("piece", "key", "begin", "own"), n_pieces), "piece")
-    met = met.where(F.size(F.array_intersect(F.slice("g", F.col("i") + 1, F.col("end") - F.col("i")), "own")) >= F.size(F.array_distinct("own")) * 0.4)
+    met = met.withColumn("win", F.slice("g", F.col("i") + 1, F.col("end") - F.col("i")))
+    # counted as often as they occur; where the piece repeats none, that is the number of common ones
+    common = F.when(F.size(F.array_distinct("own")) < F.size("own"), overlap("win", "own")).otherwise(F.size(F.array_intersect("win", "own")))
+    met = met.where(common >= F.size("own") * 0.4)
     return met.select("row", "key", (F.col("base") + F.col("i") - F.col("begin")).alias("at")).distinct()
 
 
