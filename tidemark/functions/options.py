@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 # Double-precision rational approximation of the cumulative normal distribution (Hart 1968, West 2005)
 NUMERATOR = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
@@ -83,18 +84,45 @@ def bs_price(spot, strike, years, sigma, is_call, rate: float = 0.0) -> np.ndarr
     return np.where((s <= 0) | (k <= 0), 0.0, np.where((t <= 0) | (v <= 0), intrinsic, np.where(is_call, call, put)))
 
 
-@F.pandas_udf(DoubleType())
-def implied_vol(price: pd.Series, spot: pd.Series, strike: pd.Series, years: pd.Series, kind: pd.Series) -> pd.Series:
-    """Volatility that gives a price at a rate of 4.5 percent, by bisection over [0.01, 5]; not a number where none does."""
-    is_call, lo, hi = (kind == "c").to_numpy(), np.full(len(price), 0.01), np.full(len(price), 5.0)
-    args = (spot.to_numpy(float), strike.to_numpy(float), years.to_numpy(float))
-    p = price.to_numpy(float)
-    reachable = (p > bs_price(*args, lo, is_call, 0.045)) & (p < bs_price(*args, hi, is_call, 0.045))
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        low = bs_price(*args, mid, is_call, 0.045) < p
-        lo, hi = np.where(low, mid, lo), np.where(low, hi, mid)
-    return pd.Series(np.where(reachable, (lo + hi) / 2, np.nan))
+def implied_vol(price: Column, spot: Column, strike: Column, years: Column, kind: Column, rate: float = 0.045, low: float = 0.01, high: float = 5.0, steps: int = 32) -> Column:
+    """Volatility in [low, high] that gives a price back; null where none does, or where an argument is null or not positive.
+
+    Newton's method from the volatility where the price bends, which closes in from one side; a step that leaves the
+    bracket found so far halves it instead. The steps are a fold over a fixed sequence, so no Python runs.
+    """
+    usable = (spot > 0) & (strike > 0) & (years > 0) & price.isNotNull()
+    root = F.sqrt(F.when(years > 0, years))
+    forward = F.ln(F.when(usable, spot / F.nullif(strike, F.lit(0.0)))) + rate * years
+    discounted = strike * F.exp(-rate * years)
+    is_call = kind == "c"
+
+    def let(value: Column, body: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def at(v: Column) -> Column:
+        """(price, vega) of a volatility."""
+        def priced(d: Column) -> Column:
+            n = F.transform(F.when(is_call, F.array(d, d - v * root)).otherwise(F.array(v * root - d, -d)), _norm_cdf)
+            worth = let(n, lambda n: F.when(is_call, spot * n[0] - discounted * n[1]).otherwise(discounted * n[0] - spot * n[1]))
+            return F.struct(worth.alias("price"), (spot * root * F.exp(-d * d / 2) / math.sqrt(2 * math.pi)).alias("vega"))
+
+        return let((forward + v * v / 2 * years) / (v * root), priced)
+
+    def step(a: Column, _: Column) -> Column:
+        def moved(q: Column) -> Column:
+            under = q["price"] < price
+            lo, hi = F.when(under, a["v"]).otherwise(a["lo"]), F.when(under, a["hi"]).otherwise(a["v"])
+            newton = a["v"] - F.try_divide(q["price"] - price, q["vega"])
+            inside = F.coalesce((newton > lo) & (newton < hi), F.lit(False))
+            return F.struct(lo.alias("lo"), hi.alias("hi"), F.when(q["price"] == price, a["v"]).when(inside, newton).otherwise((lo + hi) / 2).alias("v"))
+
+        return let(at(a["v"]), moved)
+
+    bend = F.least(F.greatest(F.sqrt(2 * F.abs(forward) / years), F.lit(2 * low)), F.lit(high / 2))
+    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"), bend.alias("v"))
+    found = F.aggregate(F.array_repeat(F.lit(0), steps), start, step, lambda a: a["v"])
+    reachable = (price > at(F.lit(low))["price"]) & (price < at(F.lit(high))["price"])
+    return F.when(usable & reachable, found)
 
 
 def next_opex(day: Column) -> Column:

@@ -101,11 +101,37 @@ def bs_call(spark, sf):
     return with_bs_price(df, "spot", "strike", "years", "iv", rate=0.045, out="price").select("kind", "dte", "strike", r6("price"))
 
 
-@query()
+def _price_sql(v: str) -> str:
+    """SQL of the model price of a contract at spot 100 for a volatility, each part computed once."""
+    n = f"list_transform([d, d - {v} * sqrt(years), -d, {v} * sqrt(years) - d], lambda x: {norm_cdf_sql('x')})"
+    worth = f"list_transform([{n}], lambda n: CASE WHEN kind = 'c' THEN 100.0 * n[1] - strike * exp(-0.045 * years) * n[2] ELSE strike * exp(-0.045 * years) * n[4] - 100.0 * n[3] END)[1]"
+    return f"list_transform([(ln(100.0 / strike) + (0.045 + {v} * {v} / 2) * years) / ({v} * sqrt(years))], lambda d: {worth})[1]"
+
+
+@query(f"""WITH {CHAIN}, y AS (SELECT kind, dte, strike, (bid + ask) / 2 AS mid, greatest(dte, 1) / 365.0 AS years FROM chain WHERE (bid + ask) / 2 > 0),
+b AS (SELECT kind, dte, strike, mid > {_price_sql('0.01::DOUBLE')} AND mid < {_price_sql('5.0::DOUBLE')} AS reachable,
+ list_reduce([[0.01::DOUBLE, 5.0::DOUBLE]] || list_transform(range(60), lambda i: [0.0::DOUBLE, 0.0::DOUBLE]), lambda a, z: list_transform([(a[1] + a[2]) / 2], lambda v: CASE WHEN {_price_sql('v')} < mid THEN [v, a[2]] ELSE [a[1], v] END)[1]) AS ends FROM y)
+SELECT kind, dte, strike, round(CASE WHEN reachable THEN (ends[1] + ends[2]) / 2 END, 6) AS implied FROM b""")
 def implied_vols(spark, sf):
-    """Volatility that gives back each contract's mid: a root search, beyond SQL."""
+    """Volatility that gives back each contract's mid."""
     df = surface.with_reason(views.chain(spark, sf)).where("mid > 0").withColumn("years", F.greatest(F.col("dte"), F.lit(1)) / 365.0)
-    return df.select("kind", "dte", "strike", F.nanvl(implied_vol("mid", F.lit(100.0), "strike", "years", "kind"), F.lit(None).cast("double")).alias("implied"))
+    return df.select("kind", "dte", "strike", r6(implied_vol(F.col("mid"), F.lit(100.0), F.col("strike"), F.col("years"), F.col("kind")), "implied"))
+
+
+NO_ARB = f"""{_fold('s1', 's0', 'kind, dte', 'strike', "(o.kind = 'c' AND o.mid > prev + 1e-6) OR (o.kind = 'p' AND o.mid < prev - 1e-6)")},
+{_fold('s2', 's1', 'kind, strike', 'dte', 'o.mid < prev - 0.05')}"""
+CLEAN = f"{REASONS}, s0 AS (SELECT kind, dte, strike, mid FROM kp), {NO_ARB}, na AS (SELECT kind, dte, strike, s2.mid, iv FROM s2 JOIN kp USING (kind, dte, strike))"
+#: Splines without one point at a time: for each inner point the others are numbered, and their tridiagonal system is solved forwards and back.
+LOO = f"""{CLEAN}, pt AS MATERIALIZED (SELECT kind, dte, strike, mid, iv AS y, ln(strike / (100.0 * exp(0.045 * greatest(dte, 1) / 365.0))) AS x, row_number() OVER (PARTITION BY kind, dte ORDER BY strike) AS i, count(*) OVER (PARTITION BY kind, dte) AS n FROM na),
+o AS MATERIALIZED (SELECT a.kind, a.dte, a.i AS j, row_number() OVER w - 1 AS k, a.n - 1 AS n, b.x, b.y, b.x - lag(b.x) OVER w AS h0, lead(b.x) OVER w - b.x AS h1, lag(b.y) OVER w AS y0, lead(b.y) OVER w AS y1
+ FROM pt a JOIN pt b ON a.kind = b.kind AND a.dte = b.dte AND a.i <> b.i WHERE a.n >= 5 AND a.i > 1 AND a.i < a.n WINDOW w AS (PARTITION BY a.kind, a.dte, a.i ORDER BY b.x)),
+fw AS (SELECT kind, dte, j, k, n, 0.0::DOUBLE AS c, 0.0::DOUBLE AS d FROM o WHERE k = 0
+ UNION ALL SELECT o.kind, o.dte, o.j, o.k, o.n, h1 / (2 * (h0 + h1) - h0 * c), (6 * ((y1 - y) / h1 - (y - y0) / h0) - h0 * d) / (2 * (h0 + h1) - h0 * c) FROM fw JOIN o ON o.kind = fw.kind AND o.dte = fw.dte AND o.j = fw.j AND o.k = fw.k + 1 WHERE o.k < o.n - 1),
+fm AS MATERIALIZED (SELECT * FROM fw), bw AS (SELECT kind, dte, j, n - 1 AS k, 0.0::DOUBLE AS m FROM fm WHERE k = 0 UNION ALL SELECT fm.kind, fm.dte, fm.j, fm.k, d - c * m FROM bw JOIN fm ON fm.kind = bw.kind AND fm.dte = bw.dte AND fm.j = bw.j AND fm.k = bw.k - 1),
+fit AS (SELECT p.kind, p.dte, p.strike, (l.m * pow(r.x - p.x, 3) + u.m * pow(p.x - q.x, 3)) / (6 * q.h1) + (q.y / q.h1 - l.m * q.h1 / 6) * (r.x - p.x) + (r.y / q.h1 - u.m * q.h1 / 6) * (p.x - q.x) AS f
+ FROM pt p JOIN o q ON q.kind = p.kind AND q.dte = p.dte AND q.j = p.i AND q.k = p.i - 2 JOIN o r ON r.kind = p.kind AND r.dte = p.dte AND r.j = p.i AND r.k = p.i - 1
+ JOIN bw l ON l.kind = p.kind AND l.dte = p.dte AND l.j = p.i AND l.k = q.k JOIN bw u ON u.kind = p.kind AND u.dte = p.dte AND u.j = p.i AND u.k = r.k),
+loo AS (SELECT pt.kind, pt.dte, pt.strike, pt.mid, pt.y AS iv, CASE WHEN f >= 0.05 THEN f END AS fitted_iv, greatest(least((pt.y - CASE WHEN f >= 0.05 THEN f END) / f, 1.0), -1.0) AS residual FROM pt LEFT JOIN fit USING (kind, dte, strike))"""
 
 
 def _fit(spark, sf, mode):
@@ -113,15 +139,36 @@ def _fit(spark, sf, mode):
     return surface.spline_fit(chain, mode)
 
 
-@query()
+@query(f"""WITH RECURSIVE {CLEAN}, c AS (SELECT *, count(*) OVER (PARTITION BY kind, dte) AS n FROM na) SELECT kind, dte, strike, iv, round(CASE WHEN n >= 4 THEN iv END, 6) AS fitted_iv, round(CASE WHEN n >= 4 THEN 0.0 END, 6) AS residual FROM c""")
 def spline_fit(spark, sf):
+    """The spline runs through the points that it scores, so it gives them back."""
     return _fit(spark, sf, "interpolate").select("kind", "dte", "strike", "iv", r6("fitted_iv"), r6("residual"))
 
 
-@query()
+@query(f"WITH RECURSIVE {LOO} SELECT kind, dte, strike, round(fitted_iv, 6) AS fitted_iv, round(CASE WHEN fitted_iv IS NOT NULL THEN residual END, 6) AS residual FROM loo")
+def spline_without_each(spark, sf):
+    """Every inner contract against the spline through the others of its expiry."""
+    return _fit(spark, sf, "loo").select("kind", "dte", "strike", r6("fitted_iv"), r6("residual"))
+
+
+@query(f"""WITH RECURSIVE {LOO}, y AS (SELECT *, greatest(dte, 1) / 365.0 AS years FROM loo WHERE fitted_iv IS NOT NULL), z AS (SELECT *, (ln(100.0 / strike) + (0.045 + fitted_iv * fitted_iv / 2) * years) / (fitted_iv * sqrt(years)) AS d1 FROM y),
+q AS (SELECT *, d1 - fitted_iv * sqrt(years) AS d2, -d1 AS m1, -(d1 - fitted_iv * sqrt(years)) AS m2 FROM z), pr AS (SELECT *, CASE WHEN kind = 'c' THEN {CALL} ELSE {PUT} END AS model FROM q),
+ok AS (SELECT *, stddev_samp(residual) OVER (PARTITION BY kind) AS sd FROM pr WHERE model > 0 AND abs(model - mid) / greatest(mid, 1.0) <= 0.5), sg AS (SELECT *, CASE WHEN sd > 0 THEN residual / sd ELSE 0.0 END AS z, CASE WHEN residual < 0 THEN 'BUY' ELSE 'SELL' END AS side FROM ok WHERE abs(residual) > 0.05)
+SELECT kind, dte, strike, round(residual, 6) AS residual, round(z, 6) AS z, side, row_number() OVER (PARTITION BY side ORDER BY CASE WHEN side = 'BUY' THEN z ELSE -z END, kind, dte, strike) AS place FROM sg""")
 def anomalies(spark, sf):
-    """Against a fit that leaves each contract out."""
-    return surface.anomalies(_fit(spark, sf, "loo")).select("kind", "dte", "strike", r6("residual"), r6("z"), "side")
+    """Against a fit that leaves each contract out; buys by z ascending, sells descending."""
+    return surface.anomalies(_fit(spark, sf, "loo")).select("kind", "dte", "strike", r6("residual"), r6("z"), "side", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH RECURSIVE {REASONS}, p AS (SELECT a.kind, a.dte, a.strike, a.iv, b.iv AS iv2, row_number() OVER (PARTITION BY a.kind, a.dte, a.strike ORDER BY round(pow((a.mny - b.mny) / 0.05, 2) + pow((a.dte - b.dte) / 30.0, 2), 9), b.dte, b.strike) AS place
+ FROM kp a JOIN kp b ON a.kind = b.kind AND NOT (a.dte = b.dte AND a.strike = b.strike)), nb AS (SELECT kind, dte, strike, any_value(iv) AS iv, median(iv2) AS near_iv, count(*) AS n FROM p WHERE place <= 5 GROUP BY 1, 2, 3),
+s0 AS (SELECT kind, dte, strike, mid FROM kp LEFT JOIN (SELECT kind, dte, strike, n >= 5 AND near_iv > 0 AND NOT (iv / near_iv BETWEEN 0.8 AND 1.25) AS outlier FROM nb) USING (kind, dte, strike) WHERE NOT coalesce(outlier, false)),
+{NO_ARB}, k0 AS (SELECT kind, count(*) AS n FROM kp GROUP BY 1), c0 AS (SELECT kind, count(*) AS n FROM s0 GROUP BY 1), c1 AS (SELECT kind, count(*) AS n FROM s1 GROUP BY 1), c2 AS (SELECT kind, count(*) AS n FROM s2 GROUP BY 1)
+SELECT kind, k0.n AS pre, k0.n - c0.n AS outliers, c0.n - c2.n AS no_arb, CASE WHEN kind = 'c' THEN c0.n - c1.n ELSE 0 END AS call_mono, CASE WHEN kind = 'p' THEN c0.n - c1.n ELSE 0 END AS put_mono, c1.n - c2.n AS calendar, c2.n AS final
+FROM k0 JOIN c0 USING (kind) JOIN c1 USING (kind) JOIN c2 USING (kind)""")
+def surface_stages(spark, sf):
+    """What outlier and arbitrage filters leave of each kind, counted while the surface is fitted; bounds as in chain_knn_outliers."""
+    return surface.cleaned(surface.kept(views.chain(spark, sf)), low=0.8, high=1.25)[1]
 
 
 @query()
