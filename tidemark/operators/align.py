@@ -50,3 +50,16 @@ def period_changes(bars: DataFrame, days: dict[str, int | None]) -> DataFrame:
 
 def tolerance(value: Column, floor: float, share: float) -> Column:
     return F.greatest(F.lit(floor), F.abs(value) * share)
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, length: str, bucket: int) -> DataFrame:
+    """Points and intervals of equal `keys` with start <= at < start + length, whole numbers.
+
+    Both meet by buckets of `bucket` numbers: an interval is repeated for each that it touches, so that it is compared
+    with its own points and those of two half-filled buckets at most, however long the series is. Each pair comes
+    once. Intervals of no length, or with null ends, have no points.
+    """
+    touched = F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(start) + F.col(length) - 1) / bucket))
+    spread = intervals.where(F.col(length) > 0).withColumn("_bucket", F.explode(touched))
+    near = points.withColumn("_bucket", F.floor(F.col(at) / bucket))
+    return near.join(spread, [*keys, "_bucket"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(start) + F.col(length))).drop("_bucket")

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.options import bs_price
+from tidemark.functions.sql import LENGTHS, STEP
+from tidemark.operators.align import interval_join
 from tidemark.operators.allocation import YEAR, panel
 
-LENGTHS, STEP = (126, 252, 504, 1260, 2520), 126
 #: Windows of one length that are simulated together.
 LANES = 32
 PARAMS = {"10% sleeve": 0.10, "20% sleeve": 0.20, "30% sleeve": 0.30}
@@ -101,7 +102,7 @@ FIELDS = ("tr", "cagr", "sharpe", "calmar", "maxdd", "rar")
 def sweep(pair: DataFrame, params: dict[str, float] = PARAMS, lengths: tuple[int, ...] = LENGTHS, step: int = STEP) -> DataFrame:
     """One row per window and parameter: metrics of the sleeve, of holding the asset and of the benchmark, and which won.
 
-    Windows meet their bars by an equi-join on the symbol with a range on the bar number. Windows of one length go
+    Windows meet their bars by symbol and buckets of the bar number. Windows of one length go
     through the simulation together, LANES at most in a group, so groups stay bounded however long a series is. A
     window of under two bars has no row. A run with a metric that is not finite has one with `error` and without metrics;
     `rollup` counts the others.
@@ -109,8 +110,8 @@ def sweep(pair: DataFrame, params: dict[str, float] = PARAMS, lengths: tuple[int
     from tidemark.operators.trades import numbered
 
     bars = numbered(pair).select("symbol", "rn", "n", "bar_date", "close", "bench")
-    windows = plan(bars.groupBy("symbol").agg(F.count("*").alias("n")), lengths, step).withColumnRenamed("symbol", "of")
-    cut = bars.join(windows, (F.col("symbol") == F.col("of")) & (F.col("rn") >= F.col("start")) & (F.col("rn") < F.col("start") + F.col("window_len")))
+    windows = plan(bars.groupBy("symbol").agg(F.count("*").alias("n")), lengths, step)
+    cut = interval_join(bars.drop("n"), windows, ["symbol"], "rn", "start", "window_len", step)
     cut = cut.select("symbol", "window_len", "start", F.floor(F.col("start") / (LANES * step)).alias("block"), "bar_date", "close", "bench")
     share, labels = np.array(list(params.values())), list(params)
 

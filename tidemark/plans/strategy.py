@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import sql
 from tidemark.operators import align, allocation, rules, sleeve, trades
 from tidemark.plans.indicators import FILLED, RETS
 from tidemark.plans.registry import BARS, BENCH, PAIR, VOLIDX, query, r6, roll
@@ -88,6 +89,28 @@ def sweep_plan(spark, sf):
     return sleeve.plan(views.pair(spark, sf).groupBy("symbol").agg(F.count("*").alias("n")))
 
 
+WINDOWS = f"""{SIZES}, e AS (SELECT symbol, n, least(len, n)::INT AS window_len FROM sz, (VALUES (126), (252), (504), (1260), (2520)) AS l(len)),
+pl AS (SELECT DISTINCT symbol, window_len, start FROM (SELECT symbol, window_len, unnest(range(0, n - window_len + 1, 126))::INT AS start FROM e UNION ALL SELECT symbol, window_len, (n - window_len)::INT FROM e)),
+nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_date) - 1 AS rn FROM pair)"""
+
+
+@query(f"WITH {WINDOWS} SELECT symbol, window_len, start, count(*) AS n, min(bar_date) AS from_date, max(bar_date) AS to_date, round(max_by(close, rn) / min_by(close, rn) - 1, 6) AS total_return FROM pl JOIN nb USING (symbol) WHERE rn >= start AND rn < start + window_len GROUP BY 1, 2, 3")
+def sweep_windows(spark, sf):
+    """Every window of the sweep with its bars, by the interval join."""
+    bars = trades.numbered(views.pair(spark, sf)).select("symbol", "rn", "bar_date", "close")
+    plan = sleeve.plan(bars.groupBy("symbol").agg(F.count("*").alias("n")))
+    rows = align.interval_join(bars, plan, ["symbol"], "rn", "start", "window_len", sleeve.STEP)
+    out = rows.groupBy("symbol", "window_len", "start").agg(F.count("*").alias("n"), F.min("bar_date").alias("from_date"), F.max("bar_date").alias("to_date"), (F.max_by("close", "rn") / F.min_by("close", "rn") - 1).alias("r"))
+    return out.select("symbol", "window_len", "start", "n", "from_date", "to_date", r6("r", "total_return"))
+
+
+@query(f"WITH {WINDOWS} SELECT symbol, window_len, start, min(bar_date) AS from_date, max(bar_date) AS to_date FROM pl JOIN nb USING (symbol) WHERE rn = start OR rn = start + window_len - 1 GROUP BY 1, 2, 3")
+def sweep_windows_sql(spark, sf):
+    """The same plan from SQL, by the registered table function over bars partitioned by symbol."""
+    sql.register(spark)
+    return spark.sql("SELECT symbol, window_len, start, from_date, to_date FROM sweep_windows(TABLE(SELECT symbol, bar_date FROM {pair}) PARTITION BY symbol ORDER BY bar_date)", pair=views.pair(spark, sf))
+
+
 @query()
 def sweep_runs(spark, sf):
     return sleeve.sweep(views.pair(spark, sf))
@@ -97,3 +120,9 @@ def sweep_runs(spark, sf):
 def sweep_rollup(spark, sf):
     """The whole sweep, window x parameter, rolled up by regime, parameter and length."""
     return sleeve.rollup(sleeve.sweep(views.pair(spark, sf)))
+
+
+@query()
+def sweep_verdict(spark, sf):
+    """The sweep in one row: hit rates, means and what they amount to."""
+    return sleeve.sweep_verdict(sleeve.rollup(sleeve.sweep(views.pair(spark, sf))))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import sql
 from tidemark.functions.options import implied_vol, next_opex, norm_cdf_sql, with_bs_price
 from tidemark.functions.rolling import rolling
 from tidemark.operators import indicators, surface
 from tidemark.plans.indicators import RETS
 from tidemark.plans.registry import ASSET, BARS, CHAIN, query, r6, roll
 from tidemark.sources import views
+from tidemark.sources.views import TIE
 
 REASONS = f"""{CHAIN}, md AS (SELECT *, (bid + ask) / 2 AS mid, (ask - bid) / nullif((bid + ask) / 2, 0) AS spread FROM chain),
 rs AS (SELECT *, CASE WHEN dte < 7 THEN 'short_dte' WHEN bid <= 0 OR ask <= 0 OR strike <= 0 OR mid <= 0 THEN 'no_quote' WHEN mid < 1 THEN 'thin_price' WHEN kind = 'p' AND strike < 50 THEN 'deep_otm_put'
@@ -101,6 +103,18 @@ def bs_call(spark, sf):
     return with_bs_price(df, "spot", "strike", "years", "iv", rate=0.045, out="price").select("kind", "dte", "strike", r6("price"))
 
 
+@query(f"""WITH {CHAIN}, y AS (SELECT kind, dte, strike, iv, greatest(dte, 1) / 365.0 AS years FROM chain), z AS (SELECT *, (ln(100.0 / strike) + (0.045 + iv * iv / 2) * years) / (iv * sqrt(years)) AS d1 FROM y),
+q AS (SELECT *, d1 - iv * sqrt(years) AS d2, -d1 AS m1, -(d1 - iv * sqrt(years)) AS m2 FROM z) SELECT kind, dte, count(*) AS n, round(avg(CASE WHEN kind = 'c' THEN {CALL} ELSE {PUT} END), 6) AS mean_price, round(max({norm_cdf_sql('d1')}), 6) AS most FROM q GROUP BY 1, 2""")
+def bs_price_sql(spark, sf):
+    """Mean model price and largest N(d1) by expiry, from SQL by the registered functions."""
+    sql.register(spark)
+    return spark.sql(
+        f"""SELECT kind, dte, count(*) AS n, round(avg(bs_price(kind, 100.0D, strike, years, iv, 0.045D)) + {TIE}, 6) AS mean_price, round(max(norm_cdf((ln(100.0D / strike) + (0.045D + iv * iv / 2) * years) / (iv * sqrt(years)))) + {TIE}, 6) AS most
+        FROM (SELECT *, greatest(dte, 1) / 365.0D AS years FROM {{chain}}) GROUP BY kind, dte""",
+        chain=views.chain(spark, sf),
+    )
+
+
 def _price_sql(v: str) -> str:
     """SQL of the model price of a contract at spot 100 for a volatility, each part computed once."""
     n = f"list_transform([d, d - {v} * sqrt(years), -d, {v} * sqrt(years) - d], lambda x: {norm_cdf_sql('x')})"

@@ -55,12 +55,16 @@ def quote(df: DataFrame) -> DataFrame:
     return df.withColumn("price", F.coalesce(F.when(F.col("state") == "PRE", F.col("pre")), F.when(F.col("state") == "POST", F.col("post")), F.col("regular")))
 
 
-def saved_documents(spark: SparkSession, path: str) -> dict:
-    """A JSON object in one text file, through Spark's readers; empty if it is missing or not an object."""
+def saved_documents(spark: SparkSession, path: str, number: int | None = None) -> dict:
+    """A JSON object in one text file or in a snapshot, of a version if its number is given, through Spark's readers; empty if it is
+    missing or not an object."""
     from pyspark.errors import AnalysisException
 
+    from tidemark.sources import snapshots
+
     try:
-        text = spark.read.text(path, wholetext=True).first()
+        published = snapshots.read(spark, path, number=number)
+        text = (spark.read.text(path, wholetext=True) if published is None else published).first()
         found = json.loads(text["value"]) if text else {}
     except (AnalysisException, json.JSONDecodeError):
         return {}

@@ -6,11 +6,14 @@ import csv
 import io
 import json
 import re
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources import snapshots
+
 AUDIT = {
     "diagnostic_runs": "run_at TIMESTAMP, passed INT, failed INT, skipped INT, checks STRING",
     "review_sessions": "run_at TIMESTAMP, persona STRING, goal STRING, transcript STRING",
@@ -84,23 +87,30 @@ def recent_rows(spark: SparkSession, table: str, limit: int = 10) -> DataFrame:
     return spark.table(table).orderBy(F.desc("run_at")).limit(limit)
 
 
-def save_strategies(spark: SparkSession, path: str, store: dict) -> None:
-    """The whole store as one JSON text file, through Spark's writers."""
-    spark.createDataFrame([(json.dumps(store, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+def save_strategies(spark: SparkSession, path: str, store: dict, after: int | None = None) -> None:
+    """The whole store as one JSON text in a new version of its snapshot; a reader has the old one or the new one."""
+    snapshots.publish(spark.createDataFrame([(json.dumps(store, default=str),)], "value string").coalesce(1), path, after)
 
 
-def save_strategy(spark: SparkSession, path: str, name: str, config: dict, version: int = 1) -> dict:
+def _change(spark: SparkSession, path: str, change: Callable[[dict], dict], tries: int = 20) -> dict:
+    """Apply a change to the store that is current; if another writer is first, to theirs."""
     from tidemark.sources.files import saved_documents
 
-    store = saved_documents(spark, path) | {name: {"config": config, "signal_version": version, "saved_at": datetime.now(UTC).isoformat()}}
-    save_strategies(spark, path, store)
-    return store
+    for _ in range(tries):
+        found = snapshots.current(spark, path)
+        store = change(saved_documents(spark, path, found.number if found else None))
+        try:
+            save_strategies(spark, path, store, found.number if found else 0)
+        except snapshots.Conflict:
+            continue
+        return store
+    raise snapshots.Conflict(f"{path} changed {tries} times meanwhile")
 
 
-def delete_strategy(spark: SparkSession, path: str, name: str) -> dict:
-    from tidemark.sources.files import saved_documents
+def save_strategy(spark: SparkSession, path: str, name: str, config: dict, version: int = 1) -> dict:
+    entry = {"config": config, "signal_version": version, "saved_at": datetime.now(UTC).isoformat()}
+    return _change(spark, path, lambda store: store | {name: entry})
+
 
-    store = saved_documents(spark, path)
-    store.pop(name, None)
-    save_strategies(spark, path, store)
-    return store
+def delete_strategy(spark: SparkSession, path: str, name: str) -> dict:
+    return _change(spark, path, lambda store: {k: v for k, v in store.items() if k != name})
