@@ -5,6 +5,7 @@ Each takes bars (symbol, bar_date, close, ...) and adds columns; windows are par
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,22 +49,72 @@ def drawdown(col: str = "close") -> Column:
     return (F.col(col) / running(F.max, col) - 1) * 100
 
 
-def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], keep: str = "symbol, bar_date") -> DataFrame:
-    """Exponentially weighted means, not adjusted, seeded with the first known value: one task per symbol.
+#: Days of a chunk of a series; a chunk is one group, however long the series is.
+CHUNK_DAYS = 1024
+#: Unknown values in a row after which the old mean has no weight left in doubles.
+FADED = 20_000
 
-    `specs` maps an output column to (input column, alpha). A symbol's bars are one group; symbols are dealt over the
-    cluster, so parallelism comes from their number.
+
+def _carried(x: np.ndarray, alpha: float) -> dict[str, float | int | None]:
+    """What a chunk does to the mean that comes in: unknown values before its first known one, that value, then the line
+    slope * mean + shift, and the unknown values at its end."""
+    known = np.nonzero(~np.isnan(x))[0]
+    if not len(known):
+        return {"lead": len(x), "first": None, "slope": None, "shift": None, "trail": 0}
+    w = (1 - alpha) ** np.diff(known)
+    slope = float(np.prod(w / (w + alpha)))
+    last = float(pd.Series(x[known[0] :]).ewm(alpha=alpha, adjust=False).mean().iloc[-1])
+    return {"lead": int(known[0]), "first": float(x[known[0]]), "slope": slope, "shift": last - slope * float(x[known[0]]), "trail": int(len(x) - 1 - known[-1])}
+
+
+def ewm(df: DataFrame, specs: dict[str, tuple[str, float]], keep: str = "symbol, bar_date", chunk_days: int = CHUNK_DAYS) -> DataFrame:
+    """Exponentially weighted means, not adjusted, seeded with the first known value; an unknown one keeps the mean and lets it fade.
+
+    `specs` maps an output column to (input column, alpha). A mean is an affine map of the one before, and so is a
+    chunk of `chunk_days` days: chunks say what they do to the mean that comes in, one task a symbol composes these few
+    rows, and each chunk is smoothed from its own seed. A symbol's bars are thus split over tasks.
     """
     inputs = sorted({c for c, _ in specs.values()})
     names = [c.strip() for c in keep.split(",")]
     kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in names), *(f"{c} double" for c in specs)])
+    rows = df.select(*names, *[c for c in inputs if c not in names]).withColumn("chunk", F.floor(F.datediff("bar_date", F.lit("1970-01-01").cast("date")) / chunk_days))
 
-    def smoothed(g: pd.DataFrame) -> pd.DataFrame:
+    def effects(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bar_date")
-        return g[names].assign(**{out: g[c].astype("float64").ewm(alpha=a, adjust=False).mean() for out, (c, a) in specs.items()})
+        return pd.DataFrame([{"symbol": g["symbol"].iloc[0], "chunk": g["chunk"].iloc[0], "spec": k, **_carried(g[c].to_numpy(dtype="float64", na_value=np.nan), a)} for k, (c, a) in enumerate(specs.values())])
+
+    alphas = [a for _, a in specs.values()]
+
+    def composed(g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for spec, one in g.sort_values(["spec", "chunk"]).groupby("spec"):
+            mean, gap, a = np.nan, 0, alphas[spec]
+            for r in one.itertuples():
+                out.append((r.symbol, r.chunk, int(spec), mean, gap))
+                if pd.isna(r.first):
+                    gap += int(r.lead)
+                    continue
+                w = (1 - a) ** (gap + int(r.lead) + 1)
+                start = r.first if np.isnan(mean) else (w * mean + a * r.first) / (w + a)
+                mean, gap = r.slope * start + r.shift, int(r.trail)
+        return pd.DataFrame(out, columns=["symbol", "chunk", "spec", "mean", "gap"])
+
+    symbol = kinds["symbol"]
+    made = rows.groupBy("symbol", "chunk").applyInPandas(effects, f"symbol {symbol}, chunk bigint, spec int, lead bigint, first double, slope double, shift double, trail bigint")
+    seeds = made.groupBy("symbol").applyInPandas(composed, f"symbol {symbol}, chunk bigint, spec int, mean double, gap bigint")
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in names), *(f"{c} double" for c in specs)])
+
+    def smoothed(g: pd.DataFrame, seed: pd.DataFrame) -> pd.DataFrame:
+        g, seed = g.sort_values("bar_date"), seed.set_index("spec")
+        out = g[names].copy()
+        for k, (name, (c, a)) in enumerate(specs.items()):
+            mean, gap = seed.loc[k, "mean"], int(seed.loc[k, "gap"])
+            before = [] if pd.isna(mean) else [mean] + [np.nan] * min(gap, FADED)
+            x = pd.Series(np.concatenate([before, g[c].to_numpy(dtype="float64", na_value=np.nan)]))
+            out[name] = x.ewm(alpha=a, adjust=False).mean().to_numpy()[len(before) :]
+        return out
 
-    return df.select(*names, *[c for c in inputs if c not in names]).groupBy("symbol").applyInPandas(smoothed, schema)
+    return rows.groupBy("symbol", "chunk").cogroup(seeds.groupBy("symbol", "chunk")).applyInPandas(smoothed, schema)
 
 
 def ema(df: DataFrame, spans: list[int]) -> DataFrame:
@@ -114,24 +165,36 @@ def with_prob_pit(df: DataFrame, magnitude: float, horizon: int, train: int = 50
     return df.withColumn("prob", exceedance_prob(magnitude, horizon, train))
 
 
+def earlier_no_greater(x: np.ndarray) -> np.ndarray:
+    """For each value the number of earlier ones that are no greater, by merging sorted halves: n log^2 n comparisons at most."""
+    n, narrow = len(x), 64
+    out = np.zeros(n, dtype=np.int64)
+    for a in range(0, n, narrow):
+        part = x[a : a + narrow]
+        out[a : a + narrow] = np.tril(part[None, :] <= part[:, None], -1).sum(axis=1)
+    while narrow < n:
+        for a in range(narrow, n, 2 * narrow):
+            out[a : a + narrow] += np.searchsorted(np.sort(x[a - narrow : a]), x[a : a + narrow], side="right")
+        narrow *= 2
+    return out
+
+
 def period_percentile(df: DataFrame, n: int) -> DataFrame:
     """Percent of earlier n-bar returns that are no greater than today's; from bar 4n on, with 30 earlier ones.
 
-    The sorted history of a symbol is kept in one grouped map and searched, which is linear in memory; a window over
-    all earlier bars would compare every pair.
+    A symbol's returns are one grouped map, which counts by merging; a window over all earlier bars would compare every pair.
     """
     kinds = dict(df.dtypes)
 
     def ranked(g: pd.DataFrame) -> pd.DataFrame:
-        from bisect import bisect_right, insort
-
         g = g.sort_values("bar_date")
-        seen, out = [], []
-        for i, r in enumerate(g["r"]):
-            known = r is not None and r == r
-            out.append(100.0 * bisect_right(seen, r) / len(seen) if known and i >= 4 * n and len(seen) >= 30 else None)
-            if known:
-                insort(seen, r)
-        return g[["symbol", "bar_date"]].assign(pctile=pd.Series(out, index=g.index, dtype="float64"))
-
-    return df.select("symbol", "bar_date", change(n).alias("r")).groupBy("symbol").applyInPandas(ranked, f"symbol {kinds['symbol']}, bar_date date, pctile double")
+        r = g["r"].to_numpy(dtype="float64", na_value=np.nan)
+        known = np.nonzero(~np.isnan(r))[0]
+        out = np.full(len(r), np.nan)
+        before = np.arange(len(known))
+        told = (known >= 4 * n) & (before >= 30)
+        out[known[told]] = 100.0 * earlier_no_greater(r[known])[told] / before[told]
+        return g[["symbol", "bar_date"]].assign(pctile=out)
+
+    found = df.select("symbol", "bar_date", change(n).alias("r")).groupBy("symbol").applyInPandas(ranked, f"symbol {kinds['symbol']}, bar_date date, pctile double")
+    return found.withColumn("pctile", F.nanvl("pctile", F.lit(None).cast("double")))
