@@ -30,16 +30,6 @@ def test_late_rows_do_not_change_closed_windows(spark, tmp_path):
     assert [(r["high"], r["n"]) for r in first] == [(7.0, 2)]
 
 
-def test_running_state(spark, tmp_path):
-    rows = [(i, datetime.datetime(2024, 1, 1 + i), 1, "a", float(i), "{}") for i in range(6)]
-    spark.createDataFrame(rows, event_bars.SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
-    event_bars.replay(event_bars.running_ema(event_bars.read_stream(spark, str(tmp_path / "in")), 3), str(tmp_path / "out"), str(tmp_path / "state"))
-    got, ema = [r["ema"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()], 0.0
-    for i, v in enumerate(got):
-        ema = float(i) if i == 0 else 0.5 * ema + 0.5 * i
-        assert v == pytest.approx(ema)
-
-
 def test_vendor_files(spark, tmp_path):
     (tmp_path / "bars.json").write_text("\n".join(json.dumps({"date": f"2024-01-0{d}", "close": 10 * d, "adjusted_close": 5 * d}) for d in (3, 1, 2)))
     got = files.bars_json(spark, str(tmp_path / "bars.json"), "x", start="2024-01-01").orderBy("bar_date").collect()

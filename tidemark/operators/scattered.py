@@ -105,7 +105,7 @@ def nearest(points: DataFrame | Index, queries: DataFrame, k: int, other: bool =
         out = found if out is None else out.unionByName(found)
         active = seen.where("not sure").select("g", "q", "x", "y", "x0", "y0", "side", F.col("next").alias("level"))
     if out is None:
-        return index.placed.limit(0).select("g", F.col("p").alias("q"), F.array(F.struct(F.lit(0.0).alias("gap"), "p", "x", "y", "v")).alias("near"))
+        return index.placed.limit(0).select("g", F.lit(None).cast(queries.schema["q"].dataType).alias("q"), F.array(F.struct(F.lit(0.0).alias("gap"), "p", "x", "y", "v")).alias("near"))
     return out
 
 
