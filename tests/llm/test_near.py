@@ -165,6 +165,35 @@ def test_verified_groups_find_every_kind_of_copy(spark):
     assert len(set(got.values())) >= 200  # and the bases stay apart
 
 
+def test_a_large_group_just_below_the_similarity(spark, monkeypatch):
+    """Texts of which every two have similarity 0.78 or so: candidates all of them, none a link, and some true copies among them."""
+    shared = [f"w{k}" for k in range(220)]
+    texts = [" ".join([*shared, *(f"x{k}_{m}" for m in range(28))]) for k in range(600)]
+    pairs = [(0, 600), (17, 601), (300, 602)]
+    texts += [texts[a] + " more" for a, _ in pairs]
+    assert 0.75 < jaccard(texts[0], texts[1]) < 0.8
+    asked, plain = [], simhash._confirmed
+
+    def counted(found, *rest):
+        asked.append(found.count())
+        return plain(found, *rest)
+
+    monkeypatch.setattr(simhash, "_confirmed", counted)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.verified_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(600)} | {b: a for a, b in pairs}
+    assert sum(asked) <= 30 * len(texts)  # of some 180,000 pairs
+
+
+def test_similarity_of_blocks_is_exact():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sides = [[np.unique(rng.integers(0, 40, rng.integers(0, 30))) for _ in range(rng.integers(1, 12))] for _ in range(2)]
+        got = simhash.similar(*sides, 0.4)
+        for i, x in enumerate(map(set, (a.tolist() for a in sides[0]))):
+            for j, y in enumerate(map(set, (a.tolist() for a in sides[1]))):
+                assert got[i, j] == (bool(x & y) and len(x & y) >= 0.4 * len(x | y))
+
+
 def test_minwise_bits_differ_by_similarity():
     rng = random.Random(3)
     for size in (5, 40, 600):

@@ -195,38 +195,59 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[more], nodes[label[more]]
 
 
-def _compare(radius: int, with_group: bool, similarity: float | None):
+#: Of a row's key the bits below this one are block, anchor and probe; above them is the size of a shingle set.
+KEY_BITS = 31
+
+
+def _cuts(radius: int) -> int:
+    """The radius whose blocks are used: with fewer than two blocks a value would not fit into a key."""
+    return max(radius, 2)
+
+
+def _compare(radius: int, with_cells: bool, with_group: bool, similarity: float | None):
     """Links per anchor. With groups given, only links between different groups count, and all of those are kept; with
-    a similarity, those whose minwise bits and sizes leave it possible."""
+    a similarity, those whose minwise bits and sizes leave it possible, and without groups also how many a home has."""
     prints = MINWISE if similarity is not None else ("fp",)
-    names = ("id", "grp", *prints, *(("n",) if similarity is not None else ()))
-    n_blocks = len(_edges(radius)) - 1
+    names = ("id", *(("grp",) if with_group else ()), *prints, *(("n",) if similarity is not None else ()))
+    edges = _edges(_cuts(radius))
+    n_blocks, width = len(edges) - 1, max(b - a for a, b in zip(edges, edges[1:], strict=False))
     one, every = (_bound(64, similarity), _bound(64 * len(prints), similarity)) if similarity is not None else (radius, radius)
+    counted = similarity is not None and not with_group
+    low = (1 << KEY_BITS) - 1 if similarity is not None else (1 << 63) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, homes = None, []
         for batch in batches:
             if not len(batch):
                 continue
-            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("block", "anchor", "cell", "probe", *names)}
-            keys = np.stack([col["block"].astype(np.int64), col["anchor"], col["cell"].astype(np.int64)], axis=1)
+            col = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
+            col["n"] = col["key"] >> KEY_BITS
+            at, probe = (col["key"] & low) >> 1, col["key"] & 1
+            keys = np.stack([at, col["cell"].astype(np.int64) if with_cells else np.zeros(len(at), np.int64)], axis=1)
             cuts = np.concatenate([[0], np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1, [len(keys)]])
-            found_a, found_b = [], []
+            found_a, found_b, found_n = [], [], []
+
+            def put(a: np.ndarray, b: np.ndarray | None, n: np.ndarray | None) -> None:
+                found_a.append(pa.array(a))
+                found_b.append(pa.array(b) if b is not None else pa.nulls(len(a), pa.int64()))
+                found_n.append(pa.array(n) if n is not None else pa.nulls(len(a), pa.int64()))
+
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if key is None or key != tuple(keys[lo]):
                     key, homes = tuple(keys[lo]), []
-                split = lo + int(np.searchsorted(col["probe"][lo:hi], 1))
+                split = lo + int(np.searchsorted(probe[lo:hi], 1))
                 if split > lo:
                     homes.append({n: col[n][lo:split] for n in names})
                 if split == hi or not homes:
                     continue
                 h = homes[0] if len(homes) == 1 else {n: np.concatenate([x[n] for x in homes]) for n in names}
                 homes = [h]
-                links_a, links_b = [], []
-                width = max(1, 2_000_000 // len(h["id"]))
-                for at in range(split, hi, width):
-                    p = {n: col[n][at : min(hi, at + width)] for n in names}
-                    seen = prints[(int(key[0]) // n_blocks + 1) % len(prints)]  # not the one that brought them together
+                block = int(key[0]) >> width
+                links_a, links_b, met = [], [], np.zeros(len(h["id"]), np.int64)
+                step = max(1, 2_000_000 // len(h["id"]))
+                for begin in range(split, hi, step):
+                    p = {n: col[n][begin : min(hi, begin + step)] for n in names}
+                    seen = prints[(block // n_blocks + 1) % len(prints)]  # not the one that brought them together
                     near = np.bitwise_count((h[seen][:, None] ^ p[seen][None, :]).view(np.uint64)) <= one
                     near &= h["id"][:, None] > p["id"][None, :]
                     if with_group:
@@ -237,10 +258,11 @@ def _compare(radius: int, with_group: bool, similarity: float | None):
                         ok = (apart <= every) & (np.minimum(h["n"][i], p["n"][j]) >= similarity * np.maximum(h["n"][i], p["n"][j]) - 1e-9)
                         i, j = i[ok], j[ok]
                     if len(i):  # a pair may meet in several blocks; it counts in the first where it must meet
-                        must = _first_of([(h[c][i] ^ p[c][j]).view(np.uint64) for c in prints], radius)
-                        mine = (must == key[0]) | (must < 0)
+                        must = _first_of([(h[c][i] ^ p[c][j]).view(np.uint64) for c in prints], _cuts(radius))
+                        mine = (must == block) | (must < 0)
                         i, j = i[mine], j[mine]
                     if len(i):
+                        np.add.at(met, i, 1)
                         a, b = h["id"][i], p["id"][j]
                         if not with_group and len(i) > 1:
                             a, b = forest(a, b)
@@ -249,9 +271,12 @@ def _compare(radius: int, with_group: bool, similarity: float | None):
                     a, b = np.concatenate(links_a), np.concatenate(links_b)
                     if not with_group and len(links_a) > 1:
                         a, b = forest(a, b)
-                    found_a.append(a), found_b.append(b)
+                    put(a, b, None)
+                    if counted:
+                        some = np.nonzero(met)[0]
+                        put(h["id"][some], None, met[some])
             if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in (found_a, found_b, found_n)], ["a", "b", "n"])
 
     return run
 
@@ -263,34 +288,42 @@ def links_within(distinct: DataFrame, radius: int, group_col: str | None = None,
     to one bit in some block of some fingerprint and may have that similarity by their bits and sizes: the radius only
     cuts the blocks.
     Without `group_col` the links are a spanning forest of each anchor's links, enough for components; with it, every
-    link between rows of different groups.
+    link between rows of different groups. With a similarity and no groups there are also rows without b, whose n sums
+    up to the links of which a is the larger end. A row carries its fingerprints, its id and one key only.
     """
     prints = MINWISE if similarity is not None else ("fp",)
-    carried = ("id", "grp", *prints, *(("n",) if similarity is not None else ()))
-    n_blocks = len(_edges(radius)) - 1
+    carried = ("id", *(("grp",) if group_col else ()), *prints)
+    edges = _edges(_cuts(radius))
+    n_blocks, width = len(edges) - 1, max(b - a for a, b in zip(edges, edges[1:], strict=False))
+    low = (1 << KEY_BITS) - 1 if similarity is not None else (1 << 63) - 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
+                size = part.column("n").to_numpy().astype(np.int64) << KEY_BITS
                 for k, name in enumerate(prints):
-                    row, block, anchor, probe = anchors(part.column(name).to_numpy().view("<u8"), radius)
+                    row, block, anchor, probe = anchors(part.column(name).to_numpy().view("<u8"), _cuts(radius))
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([*(c.take(take) for c in part.columns), pa.array(block + np.int32(k * n_blocks)), pa.array(anchor), pa.array(probe)], [*carried, "block", "anchor", "probe"])
-
-    rows = distinct.select("id", (F.col(group_col) if group_col else F.lit(0)).cast("long").alias("grp"), *carried[2:])
-    dealt = rows.mapInArrow(deal, f"{', '.join(f'{c} bigint' for c in carried)}, block int, anchor bigint, probe int")
-    hot = cut(dealt.where("probe = 0").groupBy("block", "anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_HOMES).select("block", "anchor", F.ceil(F.col("n") / GROUP_HOMES).cast("int").alias("side")))
+                    key = size[row] | (block.astype(np.int64) + k * n_blocks << width | anchor) << 1 | probe
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in carried), pa.array(key)], [*carried, "key"])
+
+    rows = distinct.select("id", *([F.col(group_col).cast("long").alias("grp")] if group_col else []), *prints, (F.col("n") if similarity is not None else F.lit(0)).cast("long").alias("n"))
+    dealt = rows.mapInArrow(deal, f"{', '.join(f'{c} bigint' for c in carried)}, key bigint")
+    place = F.col("key").bitwiseAND(F.lit(low).cast("long"))
+    anchor = F.shiftright(place, 1)
+    hot = cut(dealt.where(place.bitwiseAND(F.lit(1).cast("long")) == 0).groupBy(anchor.alias("anchor")).agg(F.count("*").alias("homes")).where(F.col("homes") > GROUP_HOMES).select("anchor", F.ceil(F.col("homes") / GROUP_HOMES).cast("int").alias("side")))
     n_hot = hot.count()
     if n_hot:
-        dealt = dealt.join(F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot, ["block", "anchor"], "left")
+        dealt = dealt.withColumn("anchor", anchor).join(F.broadcast(hot) if n_hot <= BROADCAST_ANCHORS else hot, "anchor", "left").drop("anchor")
         side = F.coalesce("side", F.lit(1))
         own = F.pmod(F.xxhash64(*prints), side).cast("int")
-        cells = F.transform(F.sequence(F.lit(0), side - 1), lambda i: F.when(F.col("probe") == 0, own * side + i).otherwise(i * side + own))
+        is_home = place.bitwiseAND(F.lit(1).cast("long")) == 0
+        cells = F.transform(F.sequence(F.lit(0), side - 1), lambda i: F.when(is_home, own * side + i).otherwise(i * side + own))
         dealt = dealt.withColumn("cell", F.explode(cells)).drop("side")
+        dealt = dealt.repartition(anchor, "cell").sortWithinPartitions(anchor, "cell", place)
     else:
-        dealt = dealt.withColumn("cell", F.lit(0))
-    dealt = dealt.repartition("block", "anchor", "cell").sortWithinPartitions("block", "anchor", "cell", "probe")
-    return dealt.mapInArrow(_compare(radius, group_col is not None, similarity), "a bigint, b bigint")
+        dealt = dealt.repartition(anchor).sortWithinPartitions(place)
+    return dealt.mapInArrow(_compare(radius, bool(n_hot), group_col is not None, similarity), "a bigint, b bigint, n bigint")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -305,7 +338,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     # an id that occurs with several texts links their fingerprints too
     repeated = join_copies(fps.where("id is not null"), reps, "fp").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    links = links_within(reps.select(F.col("rep").alias("id"), "fp"), radius)
+    links = links_within(reps.select(F.col("rep").alias("id"), "fp"), radius).select("a", "b")
     links = links.unionByName(repeated.select("a", F.col("id").alias("b"))).unionByName(repeated.select("a", "b"))
     found = components(links)
     classes = reps.join(found, reps["rep"] == found["node"], "left").select("fp", "copies", F.coalesce("component", "rep").alias("component_id"))
@@ -324,15 +357,79 @@ def shingle_set(text_col: str, k: int = 5):
     )
 
 
+#: A cluster of candidates is dense if it has this many pairs a text at least, and one pair in SPARSE of all that it could have.
+#: A block of one holds so many texts, or so many shingles, as one side of a comparison.
+DENSE, SPARSE, BLOCK_TEXTS, BLOCK_SHINGLES = 16, 64, 256, 1 << 19
+
+
+def similar(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of hashes on the left and on the right whether their Jaccard similarity is `similarity` or more, exactly."""
+    sizes = [np.array([len(x) for x in side], dtype=np.int64) for side in (left, right)]
+    flat = np.concatenate([*left, *right]) if left or right else np.zeros(0, np.int64)
+    value, number = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(len(left) + len(right)), np.concatenate(sizes))
+    on_left = owner < len(left)
+    shared = np.zeros((2, len(value)), bool)
+    shared[0, number[on_left]] = shared[1, number[~on_left]] = True
+    both = shared.all(axis=0)
+    place = np.cumsum(both) - 1
+    keep = both[number]
+    owner, column = owner[keep], place[number[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(left), len(right)), np.float64)
+    for begin in range(0, int(both.sum()), 4096):
+        lo, hi = np.searchsorted(column, [begin, begin + 4096])
+        table_ = np.zeros((len(left) + len(right), 4096), np.float32)
+        table_[owner[lo:hi], column[lo:hi] - begin] = 1
+        common += table_[: len(left)] @ table_[len(left) :].T
+    return (common > 0) & (common >= similarity * (sizes[0][:, None] + sizes[1][None, :] - common))
+
+
+def _dense_links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between different groups of the clusters of `nodes` (id, grp, cluster, side), which are dealt out as grids of blocks.
+
+    Every block's sets are read once for each other block, and compared in one task; only a spanning forest of what links
+    comes out.
+    """
+    side = F.col("side")
+    own = F.pmod(F.xxhash64("id"), side).cast("int")
+    grid = F.transform(F.sequence(F.lit(0), side - 1), lambda k: F.struct(F.least(own, k).alias("g"), F.greatest(own, k).alias("h")))
+    rows = nodes.join(sets, "id").select("id", "grp", "cluster", "s", own.alias("own"), F.explode(grid).alias("x")).select("id", "grp", "cluster", "s", "x.g", "x.h", F.when(F.col("own") == F.col("x.g"), 0).otherwise(1).alias("part"))
+
+    def compared(group: pa.Table) -> pa.Table:
+        ids, grp, part = (group[c].to_numpy() for c in ("id", "grp", "part"))
+        s = group["s"].combine_chunks()
+        flat, begin = s.flatten().to_numpy(), np.concatenate([[0], np.cumsum(s.value_lengths().to_numpy())])
+        sets = [flat[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+        same = group["g"][0].as_py() == group["h"][0].as_py()
+        left, right = np.nonzero(part == 0)[0], np.nonzero(part == (0 if same else 1))[0]
+        i, j = np.nonzero(similar([sets[k] for k in left], [sets[k] for k in right], similarity) & (grp[left][:, None] != grp[right][None, :]))
+        a, b = forest(ids[left[i]], ids[right[j]]) if len(i) else (ids[:0], ids[:0])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return rows.groupBy("cluster", "g", "h").applyInArrow(compared, "a bigint, b bigint")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (id, s) have the Jaccard similarity."""
+    left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    return cut(pairs.join(left, "a").join(right, "b").where((both > 0) & (both >= similarity * (F.size("sa") + F.size("sb") - both))).select("a", "b"))
+
+
 def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id): near copies of each other, proposed by SimHash and confirmed by exact shingle similarity.
 
     Candidates are texts that agree up to one bit in some block of three fingerprints of minwise bits; a link stands if
     the Jaccard similarity of the sets of `shingle`-word shingles is `similarity` or more. At 0.8 a block of 16 bits
     agrees so far with probability 0.51 and one of the twelve does for all but 2 pairs in 10,000, whatever the kind of
-    copy; at 0.85 and above all but 3 in a million. Equal texts are gathered first. Two passes keep large groups cheap
-    and lose no candidate: the first confirms each anchor's spanning forest, the second confirms every candidate between
-    groups that the first left apart. What has no candidate in the first has none in the second and is left out there.
+    copy; at 0.85 and above all but 3 in a million. Equal texts are gathered first.
+
+    Two passes keep large groups cheap and lose no candidate: the first confirms each anchor's spanning forest, and counts
+    candidates; the second confirms what lies between groups that the first left apart. Clusters that have many
+    candidates of all their pairs, as texts just below the similarity have, are not listed as pairs but compared
+    in blocks; of the others every candidate is confirmed by itself. What has no candidate in the first pass has none in the second.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where("id is not null")
     keyed = table(rows.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("key")))
@@ -345,24 +442,26 @@ def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         first = first.join(several, "id", "left").where("key is null or key = sha2(cast(text as binary), 256)").select("id", "text")
     fps = table(minwise_fingerprints(first, "id", "text", shingle).dropDuplicates(["id"]))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.where("a is not null and b is not null").distinct())
-        need = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-        need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
-        words, shingles = shingle_set("text", shingle)
-        sets = table(first.join(need, "id", "left_semi").select("id", words.alias("w")).select("id", shingles.alias("s")).dropDuplicates(["id"]))
-        left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return cut(pairs.join(left, "a").join(right, "b").where((both > 0) & (both >= similarity * (F.size("sa") + F.size("sb") - both))).select("a", "b"))
-
-    candidates = cut(links_within(fps, radius, None, similarity).distinct())
-    links = confirmed(candidates)
-    paired = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    again = cut(fps.join(paired, "id", "left_semi"))
-
-    found = components(links)
-    grouped = cut(again.join(found, again["id"] == found["node"], "left").select(*again.columns, F.coalesce("component", "id").alias("grp")))
-    links = links.unionByName(confirmed(links_within(grouped, radius, "grp", similarity)))
+    found = table(links_within(fps, radius, None, similarity))
+    candidates = cut(found.where("b is not null").select("a", "b").distinct())
+    clusters = cut(components(candidates).select(F.col("node").alias("id"), F.col("component").alias("cluster")))
+    need = F.broadcast(clusters.select("id")) if clusters.count() <= BROADCAST_IDS else clusters.select("id")
+    words, shingles = shingle_set("text", shingle)
+    sets = table(first.join(need, "id", "left_semi").select("id", words.alias("w")).select("id", shingles.alias("s")).dropDuplicates(["id"]))
+    links = _confirmed(candidates, sets, similarity)
+
+    groups = components(links)
+    counts = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("pairs"))
+    again = fps.join(clusters, "id").join(counts, "id", "left").join(groups, F.col("id") == F.col("node"), "left")
+    again = cut(again.select(*fps.columns, "cluster", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.coalesce("component", "id").alias("grp")))
+    side = F.greatest(F.ceil(F.col("k") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dense = (F.col("pairs") >= DENSE * F.col("k")) & (F.col("pairs") * SPARSE >= F.col("k") * F.col("k"))
+    judged = again.groupBy("cluster").agg(F.count("*").alias("k"), F.sum("pairs").alias("pairs"), F.sum("n").alias("shingles"), F.min("grp").alias("g0"), F.max("grp").alias("g1"))
+    judged = judged.where("g0 <> g1").select("cluster", F.col("k").alias("copies"), F.when(dense, side).alias("side"))
+    open_rows = cut(join_copies(again, cut(judged), "cluster"))
+    links = links.unionByName(_dense_links(open_rows.where("side is not null").select("id", "grp", "cluster", "side"), sets, similarity))
+    rest = cut(links_within(open_rows.where("side is null"), radius, "grp", similarity).select("a", "b").distinct())
+    links = links.unionByName(_confirmed(rest, sets, similarity))
     found = components(links.unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
     ids = keyed.select("id").distinct()
     return ids.join(found, ids["id"] == found["node"], "left").select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"))
