@@ -174,19 +174,28 @@ def test_quality_of_very_long_texts(spark, sf):
             assert int(model.score((joined * (size // len(joined) + 1))[:size]) >= 0.3) == y
 
 
-def test_quality_is_trained_on_whole_texts(spark, monkeypatch):
+def test_quality_is_trained_on_whole_texts(spark):
+    """The fit against its own words: dictionaries of the even rows' whole texts, a calibration of the odd ones that is stationary."""
     rng = random.Random(6)
     words = {y: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(150)] for y in (0, 1, "both")}
     text = lambda y, n: " ".join(rng.choices(words[y], k=n))
     rows = [(i, text("both", 2_600) + " " + text(i % 2, 2_600), i % 2) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    for bound in (quality.FIT_PIECES_PER_CLASS, 100):
-        monkeypatch.setattr(quality, "FIT_PIECES_PER_CLASS", bound)
-        model = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"))
-        right = [int(model.score(text("both", 2_600) + " " + text(i % 2, 2_600)) >= 0.5) == i % 2 for i in range(40)]
-        assert sum(right) >= 38
-    assert quality._shares([("a", 1), ("b", 400 * quality.SPACING), ("c", 30 * quality.SPACING)]) == {"a": 1, "c": 30, "b": 69}
-    assert sum(quality._shares([(i, 900) for i in range(250)]).values()) == 84  # every third gives one
+    repeated = df.select("doc_id", "text").unionByName(spark.createDataFrame([(3, "~ a text that sorts later"), (None, "no id"), (7, None)], "doc_id long, text string"))
+    model = quality.fit(repeated, df.select("doc_id", "quality"))
+    used = {y: [(i, t) for i, t, q in rows if q == y and zlib.crc32(str(i).encode()) % 5] for y in (0, 1)}
+    assert (model.bad, model.good) == tuple("".join(t for _, t in used[y][::2]).encode() for y in (0, 1))
+    odd = [(quality.size_difference(t, model.good, model.bad), y) for y in (0, 1) for _, t in used[y][1::2]]
+    x, y = np.array(odd).T
+    p = 1 / (1 + np.exp(-(model.bias + model.weight * x)))
+    z = (x - x.mean()) / (x.std() + 1e-9)
+    ridge = 1e-2 * np.array([model.bias + model.weight * x.mean(), model.weight * (x.std() + 1e-9)])
+    assert np.array([(y - p).sum(), ((y - p) * z).sum()]) == pytest.approx(ridge, abs=1e-6)
+    right = [int(model.score(text("both", 2_600) + " " + text(i % 2, 2_600)) >= 0.5) == i % 2 for i in range(40)]
+    assert sum(right) >= 38
+    few = quality.fit(df.select("doc_id", "text"), df.select("doc_id", "quality"), rows_per_class=20)
+    chosen = sorted((r["doc_id"] for r in df.where(~quality.held_out("doc_id") & (F.col("quality") == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(20).collect()))
+    assert few.good == "".join(t for i, t, _ in rows if i in chosen[::2]).encode()
 
 
 def test_quality_scores_against_plain_compression(spark, sf):

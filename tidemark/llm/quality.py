@@ -9,16 +9,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, text_or_empty
 
-#: Bounds of the fit: labelled rows of each class that are used, and pieces of a class that make its dictionary, dealt
-#: evenly over the rows and over each whole text, SPACING bytes apart or more. Scoring has no bound.
+#: Bound of the fit: labelled rows of each class that are used, whole. Scoring has no bound.
 FIT_ROWS_PER_CLASS = 3000
-FIT_PIECES_PER_CLASS = 1024
-PIECE, SPACING = 256, 4096
 #: Bytes that are compressed at a time.
 CHUNK = 1024
 LEVEL = 9
@@ -77,67 +74,42 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0 if isinstance(id_col, str) else F.crc32(id_col.cast("string").cast("binary")) % 5 == 0
 
 
-def _shares(sizes: list[tuple]) -> dict:
-    """Pieces to take of each text, from (id, bytes): all, or the same number of each as far as the bound and they go.
-    Of more texts than pieces every n-th gives one."""
-    sizes = sizes[:: -(-len(sizes) // FIT_PIECES_PER_CLASS)]
-    pieces = {i: -(-n // SPACING) for i, n in sizes}
-    share, left = {}, FIT_PIECES_PER_CLASS
-    for at, i in enumerate(sorted(pieces, key=lambda i: (pieces[i], i))):
-        share[i] = min(pieces[i], left // (len(pieces) - at))
-        left -= share[i]
-    return share
-
-
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int = FIT_ROWS_PER_CLASS) -> Model:
     """Train on labelled rows that are not held out.
 
-    At most `rows_per_class` rows of each class, the first by hash of id, are used whole: even ones build the
-    dictionaries, odd ones calibrate. To the driver come the sizes, at most FIT_PIECES_PER_CLASS pieces of a class (all,
-    or as many of each text as fit, evenly over it) and one number of each odd row, computed in tasks. Rows with null
-    id, label or text are passed over; an id labelled twice takes its lower label. With fewer than eight rows of a class
-    the score is the base rate.
+    At most `rows_per_class` rows of each class, the first by hash of id, are used, their texts whole: in the order of ids, even
+    ones are put together as the class's dictionary, odd ones calibrate. To the driver come the texts of the dictionaries,
+    whose number is bounded, and one number of each odd row, computed in tasks. Rows with null id, label or
+    text are passed over; an id labelled twice takes its lower label. With fewer than eight rows of a class the score is
+    the base rate.
     """
     label = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).alias("y"))
     rows = df.where(~held_out(id_col) & F.col(text_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = table(rows.select("id").distinct().join(label, "id"))
     first = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows_per_class) for y in (0, 1)]
-    # two classes of `rows_per_class` ids at most: a broadcast of bounded size
+    # two classes of `rows_per_class` ids at most: a window and a broadcast of bounded size
+    turn = (F.row_number().over(Window.partitionBy("y").orderBy("id")) - 1) % 2
+    picked = first[0].unionByName(first[1]).withColumn("odd", turn == 1)
     # a row that repeats an id with other text: the least text counts
-    chosen = table(rows.join(F.broadcast(first[0].unionByName(first[1])), "id").groupBy("id", "y").agg(F.min("text").alias("text")))
-    texts: dict[int, list] = {0: [], 1: []}
-    for r in sorted(chosen.select("id", "y", F.octet_length("text").alias("n")).collect(), key=lambda r: r["id"]):
-        texts[r["y"]].append((r["id"], r["n"]))
-    n = len(texts[0]) + len(texts[1])
-    if min(map(len, texts.values())) < 8:
-        rate = (len(texts[1]) + 1) / (n + 2)
+    chosen = table(rows.join(F.broadcast(picked), "id").groupBy("id", "y", "odd").agg(F.min("text").alias("text")))
+    sizes = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    n = sum(sizes.values())
+    if min(sizes.get(y, 0) for y in (0, 1)) < 8:
+        rate = (sizes.get(1, 0) + 1) / (n + 2)
         return Model(b"", b"", float(np.log(rate / (1 - rate))), 0.0)
-    share = {i: (y, k) for y, sample in texts.items() for i, k in _shares(sample[::2]).items()}
-    odd = {i for sample in texts.values() for i, _ in sample[1::2]}
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row, i in enumerate(batch.column("id").to_pylist()):
-                if i in share:
-                    raw = batch.column("text")[row].as_py().encode("utf-8", "replace")
-                    n_places, k = -(-len(raw) // SPACING), share[i][1]
-                    at = [j * n_places // k * SPACING for j in range(k)]
-                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(row, 1).take(pa.array([0] * k, pa.int32())), pa.array(at, pa.int64()), pa.array([raw[b : b + PIECE] for b in at], pa.binary())], ["id", "at", "piece"])
-
-    id_type = chosen.schema["id"].dataType.simpleString()
     gathered: dict[int, list[bytes]] = {0: [], 1: []}
-    for r in sorted(chosen.select("id", "text").mapInArrow(pieces, f"id {id_type}, at bigint, piece binary").collect(), key=lambda r: (r["id"], r["at"])):
-        gathered[share[r["id"]][0]].append(bytes(r["piece"]))
+    for r in sorted(chosen.where("not odd").select("id", "y", "text").collect(), key=lambda r: r["id"]):
+        gathered[r["y"]].append(r["text"].encode("utf-8", "replace"))
     dictionaries = {y: b"".join(parts) for y, parts in gathered.items()}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [row for row, i in enumerate(batch.column("id").to_pylist()) if i in odd]
-            x = [size_difference(batch.column("text")[row].as_py(), dictionaries[1], dictionaries[0]) for row in at]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at, pa.int32())) for c in ("id", "y")), pa.array(x, pa.float64())], ["id", "y", "x"])
+            x = [size_difference(t, dictionaries[1], dictionaries[0]) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(x, pa.float64())], ["id", "y", "x"])
 
     y_type = chosen.schema["y"].dataType.simpleString()
-    pairs = sorted(chosen.select("id", "y", "text").mapInArrow(measured, f"id {id_type}, y {y_type}, x double").collect(), key=lambda r: (r["y"], r["id"]))
+    id_type = chosen.schema["id"].dataType.simpleString()
+    pairs = sorted(chosen.where("odd").select("id", "y", "text").mapInArrow(measured, f"id {id_type}, y {y_type}, x double").collect(), key=lambda r: (r["y"], r["id"]))
     x = np.array([r["x"] for r in pairs])
     mean, scale = x.mean(), x.std() + 1e-9
     bias, weight = _logistic(np.column_stack([np.ones(len(x)), (x - mean) / scale]), np.array([r["y"] for r in pairs], dtype=float))
