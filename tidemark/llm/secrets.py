@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_or_empty
+from tidemark.llm.common import join_copies, table, text_or_empty
 from tidemark.llm.spans import count_of, matches, spans, written
 
 BASE = ("assign", "access", "hex")
@@ -66,7 +66,8 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo:
     )
     rows = table(rows)
     each = rows.where(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("x")).select("row", "repo", "owner", "x.*")
-    marked = each.join(ownership(each), "secret").select("row", F.struct("s", "rank", "kind", "e", "n_owners").alias("x"))
+    owners = table(ownership(each).select("secret", "n_owners", F.col("n_rows").alias("copies")))
+    marked = join_copies(each, owners, "secret").select("row", F.struct("s", "rank", "kind", "e", "n_owners").alias("x"))
     by_row = marked.groupBy("row").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     out = rows.drop("repo", "owner", "found").join(by_row, "row", "left").drop("row")
     xs = F.coalesce("xs", F.array().cast("array<struct<s:int,rank:int,kind:string,e:int,n_owners:bigint>>"))
