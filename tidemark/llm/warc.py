@@ -157,7 +157,7 @@ def read(spark: SparkSession, path: str | list[str], payloads: bool = True) -> D
     and payload where `payloads` asks for it.
 
     Files are read in blocks, each by any task. A file whose start is no record has no records; the chain ends at the file's
-    end or at the first place that is no record. Null fields are absent ones. Offsets are bytes. A block's candidates are one group,
+    end or at the first place that is no record, as one that is cut off. Null fields are absent ones. Offsets are bytes. A block's candidates are one group,
     a record's pieces another; both are bounded, by the block's and the record's size.
     """
     paths = [path] if isinstance(path, str) else path
@@ -169,8 +169,8 @@ def read(spark: SparkSession, path: str | list[str], payloads: bool = True) -> D
     if not torn.isEmpty():
         raise RuntimeError(f"blocks do not add up to their file: {torn.first()}")
     local = F.coalesce(F.sum(step).over(Window.partitionBy("file", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = table(chunks.select("file", "block", "i", "size", "needs", "loose", local.alias("local")).join(blocks.select("file", "block", "start"), ["file", "block"]).select("file", "block", "i", "needs", "loose", (F.col("start") + F.col("local")).alias("at")))
-    candidates = placed.where("needs is not null and at >= 0").withColumn("next", F.col("at") + F.col("needs"))
+    placed = table(chunks.select("file", "block", "i", "size", "needs", "loose", local.alias("local")).join(blocks.select("file", "block", "start", "file_size"), ["file", "block"]).select("file", "block", "i", "needs", "loose", (F.col("start") + F.col("local")).alias("at"), "file_size"))
+    candidates = placed.where("needs is not null and at >= 0 and at + needs <= file_size").withColumn("next", F.col("at") + F.col("needs"))
     valid = table(_reached(candidates, blocks.select("file").distinct()))
     held = placed.join(valid, ["file", "at"], "left_semi")
     inside = placed.where("not loose").join(valid, ["file", "at"], "left_anti")
