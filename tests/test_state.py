@@ -1,6 +1,7 @@
 """Snapshots, interval joins, functions of SQL, chunks of series, and state of streams."""
 
 import datetime
+import json
 import random
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import sql
-from tidemark.operators import align, indicators
+from tidemark.operators import align, indicators, rules
 from tidemark.sources import files, sinks, snapshots
 from tidemark.streaming import event_bars
 
@@ -190,3 +191,53 @@ def test_a_batch_run_again_replaces_itself(spark, tmp_path):
     for state in ("one", "two"):  # without the first one's checkpoint the same batches are run again
         event_bars.replay_batches(event_bars.read_stream(spark, str(tmp_path / "in")).select("event_id"), str(tmp_path / "out"), str(tmp_path / state))
     assert sorted(r["event_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3]
+
+
+def test_plans_of_texts(spark):
+    whole = {"title": "T", "cash_pct": 40, "tranches": [{"trigger": "-10%"}, {"status": "DONE", "notes": "n"}], "rules": [{"name": "r"}], "reserve": {"amount": "5"}, "extra": 1}
+    say = lambda d: f"Here: ===STRATEGY_START===\n{d if isinstance(d, str) else json.dumps(d)}\n===STRATEGY_END=== done"
+    texts = [say(whole), say({**whole, "tranches": []}), say({**whole, "rules": None}), say("{not json"), json.dumps(whole), None, "", "===STRATEGY_START===" + json.dumps(whole)]
+    rows = files.plans(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")).orderBy("id").collect()
+    assert [r["plan"] is None for r in rows] == [False] + [True] * 7
+    p = rows[0]["plan"].asDict(recursive=True)
+    assert (p["title"], p["subtitle"], p["cash_pct"], p["portfolio_total"], p["probabilities_used"]) == ("T", "", 40.0, 0.0, [])
+    assert p["tranches"] == [{"trigger": "-10%", "action": "", "deploy_pct": "", "deploy_amount": "", "status": "WATCH", "notes": ""}, {"trigger": "", "action": "", "deploy_pct": "", "deploy_amount": "", "status": "DONE", "notes": "n"}]
+    assert p["rules"] == [{"name": "r", "detail": ""}] and p["reserve"] == {"amount": "5", "pct": "", "label": "NEVER DEPLOY", "status": "PERMANENT FLOOR", "notes": ""}
+    assert files.plans(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_unknown_indicators_never_hold(spark):
+    day = datetime.date(2020, 1, 1)
+    bars = spark.createDataFrame([("a", day + datetime.timedelta(days=k), float(k + 1), 1.0, 1.0) for k in range(5)], "symbol string, bar_date date, close double, bench double, volidx double")
+    known = rules.Condition(rules.Side("Asset price"), ">", rules.Side(value=2.0))
+    for op in rules.OPERATORS:
+        unknown = rules.Condition(rules.Side("No such"), op, rules.Side(value=1.0))
+        got = {c: [r["signal"] for r in rules.evaluate(bars, rules.Panel((known, unknown), c)).orderBy("bar_date").collect()] for c in ("AND", "OR")}
+        assert got == {"AND": [False] * 5, "OR": [False, False, True, True, True]}
+    text = rules.catalog_text().splitlines()
+    assert len(text) == len(rules.CATALOG) and "RSI(N): numeric, requires n (default 14)" in text and any("categorical, one of CHEAP, MID-RANGE, EXPENSIVE" in x for x in text)
+
+
+def test_scores_of_series_far_from_zero(spark):
+    from tidemark.functions.rolling import rolling_z
+
+    rng = np.random.default_rng(2)
+    day = datetime.date(2000, 1, 1)
+    x = 1e7 + np.cumsum(rng.standard_normal(400)) * 1e-3
+    rows = [("a", day + datetime.timedelta(days=k), float(v)) for k, v in enumerate(x)] + [("flat", day + datetime.timedelta(days=k), 1e9 / 3) for k in range(60)]
+    got = rolling_z(spark.createDataFrame(rows, "symbol string, bar_date date, x double"), {"z": "x"}, 20).orderBy("symbol", "bar_date").toPandas()
+    s = pd.Series(x - 1e7)
+    want = ((s - s.rolling(20).mean()) / s.rolling(20).std()).to_numpy()
+    np.testing.assert_allclose(got[got["symbol"] == "a"]["z"].to_numpy(), want, rtol=1e-4, atol=1e-4)
+    assert got[got["symbol"] == "flat"]["z"].isna().all()
+
+
+def test_window_results_of_contracts(spark):
+    from tidemark.operators import surface
+
+    day = datetime.date(2024, 3, 1)
+    contracts = spark.createDataFrame([("c", 3, 100.0), ("p", 3, 90.0), ("c", 10, 80.0), ("c", 17, 80.0)], "kind string, dte int, strike double")
+    at = lambda k, n, v: (*k, day - datetime.timedelta(days=n), v)
+    bars = [at(("c", 3, 100.0), n, v) for n, v in ((50, 1.0), (40, 2.0), (10, 9.0), (0, 3.0), (-1, 50.0))] + [at(("p", 3, 90.0), 5, 1.0)] + [at(("c", 10, 80.0), n, v) for n, v in ((5, 0.0), (1, 4.0))]
+    got = surface.window_pnl(contracts, spark.createDataFrame(bars, "kind string, dte int, strike double, bar_date date, close double"), F.lit(day), 10).collect()
+    assert {(r["kind"], r["dte"]): (r["entry_close"], r["exit_close"], r["days_observed"], r["pnl"]) for r in got} == {("c", 3): (2.0, 3.0, 3, 50.0), ("p", 3): (None,) * 4, ("c", 10): (0.0, 4.0, 2, None), ("c", 17): (None,) * 4}

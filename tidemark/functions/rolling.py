@@ -43,17 +43,20 @@ def rolling_z(df: DataFrame, cols: dict[str, str], n: int, w: WindowSpec | None
     known and where they do not vary.
 
     A sliding frame is summed anew for every row, so long windows are taken as differences of running sums: the cost
-    no longer grows with the window.
+    no longer grows with the window. Values are centred on their symbol's mean first, so that the sums keep their
+    digits; a variance below what the running sums may have rounded away counts as none.
     """
     w = w or by_symbol()
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     inputs, kept = list(dict.fromkeys(cols.values())), df.columns
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    df = df.withColumns({f"_c_{c}": F.col(c) - F.avg(c).over(whole) for c in inputs})
     for k, f in (("s", lambda c: F.sum(c)), ("q", lambda c: F.sum(F.col(c) * F.col(c))), ("k", lambda c: F.count(c))):
-        df = df.withColumns({f"_{k}_{c}": f(c).over(so_far) for c in inputs})
+        df = df.withColumns({f"_{k}_{c}": f(f"_c_{c}").over(so_far) for c in inputs})
     df = df.withColumns({f"_{k}0_{c}": F.coalesce(F.lag(f"_{k}_{c}", n).over(w), F.lit(0)) for c in inputs for k in "sqk"})
     out = {}
     for name, c in cols.items():
         s, q, k = (F.coalesce(F.col(f"_{x}_{c}"), F.lit(0)) - F.col(f"_{x}0_{c}") for x in "sqk")
         var = (q - s * s / n) / (n - 1)
-        out[name] = F.when((k == n) & (var > 1e-18), (F.col(c) - s / n) / F.sqrt(var))
+        out[name] = F.when((k == n) & (var > 1e-14 * F.col(f"_q_{c}") / n), (F.col(f"_c_{c}") - s / n) / F.sqrt(var))
     return df.withColumns(out).select(*kept, *out)

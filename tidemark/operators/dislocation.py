@@ -66,3 +66,11 @@ def reversion_lookup(events: DataFrame) -> DataFrame:
         F.count("*").alias("n_events"), (100 * F.avg(F.col("reverted").cast("int"))).alias("reversion_rate"),
         F.percentile("days_to_revert", F.lit(0.5)).alias("median_days"), F.percentile("z_move", F.lit(0.5)).alias("median_z_move"),
     )
+
+
+def present_band(last: DataFrame, lookup: DataFrame, z: str = "composite_z") -> DataFrame:
+    """`last` (symbol, z) with the row of the reversion lookup whose band holds |z|; null where |z| is below WEAK or the band
+    has had no events. Bands are [1.5, 2), [2, 2.5), [2.5, 3) and [3, 99)."""
+    a = F.abs(z)
+    band = F.when((a >= WEAK) & (a >= 1.5), F.when(a < 2.0, 1.5).when(a < 2.5, 2.0).when(a < 3.0, 2.5).when(a < 99.0, 3.0))
+    return last.withColumn("band_lo", band).join(lookup, ["symbol", "band_lo"], "left")

@@ -97,3 +97,32 @@ def analogues(pair: DataFrame, horizon: int, lookback: int = 21, narrow: tuple[f
     tight, loose = F.greatest(F.lit(narrow[0]), size * narrow[1]), F.greatest(F.lit(wide[0]), size * wide[1])
     df = df.withColumn("tolerance", F.when(F.count_if(gap <= tight).over(every) >= enough, tight).otherwise(loose)).where(gap <= F.col("tolerance"))
     return df.withColumn("matches", F.count("*").over(every)).where("matches >= 3")
+
+
+def window_analogues(pair: DataFrame, start: str, end: str, horizons: list[int], magnitudes: list[float], lookback: int = 21, enough: int = 3) -> DataFrame:
+    """Within [start, end]: what followed on days whose benchmark return over `lookback` bars was close to that at the window's end.
+
+    Only bars of the window count, for the benchmark's return and for what follows. Close is max(5, 0.3 |r|) points; with
+    fewer than `enough` matches of a horizon max(10, 0.5 |r|); with fewer even then the horizon has no row. actual_return is what
+    came after the window, null where the bars end before. One row per symbol and horizon, all from one pass.
+    """
+    w, every = by_symbol(), Window.partitionBy("symbol")
+    inside = F.col("bar_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    held = lambda c, h: F.lead(c, h).over(w)
+    df = pair.withColumn("inside", inside).withColumn("last_in", F.max(F.when(inside, F.col("bar_date"))).over(every))
+    df = df.withColumn("br", F.when(F.col("inside") & F.lag("inside", lookback).over(w), (F.col("bench") / F.lag("bench", lookback).over(w) - 1) * 100))
+    rows = [F.struct(F.lit(h).alias("horizon"), F.when(held("inside", h), (held("close", h) / F.col("close") - 1) * 100).alias("r"), F.when(F.col("bar_date") == F.col("last_in"), (held("close", h) / F.col("close") - 1) * 100).alias("actual")) for h in horizons]
+    df = df.select("symbol", "bar_date", "inside", "last_in", "br", F.array(*rows).alias("xs")).where("inside")
+    df = df.withColumn("current", F.max(F.when(F.col("bar_date") == F.col("last_in"), F.col("br"))).over(every)).where("current is not null")
+    long = df.select("symbol", "br", "current", F.explode("xs").alias("x")).select("symbol", "br", "current", "x.*")
+    gap, size, r = F.abs(F.col("br") - F.col("current")), F.abs("current"), F.col("r")
+    near = lambda low, share: (gap <= F.greatest(F.lit(low), size * share)) & r.isNotNull()
+    long = long.withColumn("tight", near(5.0, 0.3)).withColumn("loose", near(10.0, 0.5))
+    narrow = F.count_if("tight").over(Window.partitionBy("symbol", "horizon")) >= enough
+    matched = F.when(F.when(narrow, F.col("tight")).otherwise(F.col("loose")), r)
+    share = lambda hit: 100 * F.avg(F.when(F.col("m").isNotNull(), F.when(hit, 1.0).otherwise(0.0)))
+    moves = F.map_from_arrays(F.array(*[F.lit(float(m)) for m in magnitudes]), F.array(*[F.struct(share(F.col("m") >= m).alias("up"), share(F.col("m") <= -m).alias("down")) for m in magnitudes]))
+    out = long.withColumn("m", matched).groupBy("symbol", "horizon").agg(
+        F.count("m").alias("total"), F.max("current").alias("bench_return"), F.avg("m").alias("avg_return"), F.percentile("m", F.lit(0.5)).alias("median_return"), F.max("actual").alias("actual_return"), moves.alias("moves")
+    )
+    return out.where(F.col("total") >= enough)

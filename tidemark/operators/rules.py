@@ -84,7 +84,7 @@ class Side:
 
     @property
     def categorical(self) -> bool:
-        return isinstance(self.value, str) or bool(self.indicator and CATALOG[self.indicator].values)
+        return isinstance(self.value, str) or bool(self.indicator in CATALOG and CATALOG[self.indicator].values)
 
 
 @dataclass(frozen=True)
@@ -128,6 +128,18 @@ def catalog(spark) -> DataFrame:
     return spark.createDataFrame(rows, "name string, default_n double, default_n2 double, categorical boolean, categories array<string>")
 
 
+def catalog_text() -> str:
+    """The catalog as lines of text, one an indicator: what it gives and which parameters it takes."""
+    def line(i: Indicator) -> str:
+        if i.values:
+            return f"{i.name}: categorical, one of {', '.join(i.values)}"
+        if i.n2 is not None:
+            return f"{i.name}: numeric, requires n (percent moved, default {i.n:g}) and n2 (days, default {i.n2:g})"
+        return f"{i.name}: numeric, requires n (default {i.n:g})" if i.n is not None else f"{i.name}: numeric, no parameter"
+
+    return "\n".join(line(i) for i in CATALOG.values())
+
+
 def _side(d) -> Side | None:
     if not isinstance(d, dict):
         return None
@@ -197,17 +209,20 @@ def compare(op: str, a: Column, b: Column, categorical: bool = False) -> Column:
 
 def with_indicators(bars: DataFrame, sides: list[Side]) -> tuple[DataFrame, dict[Side, str]]:
     """Adds one column for each indicator used; returns their names. Window indicators share one sort; the others are
-    grouped maps joined by (symbol, bar_date)."""
+    grouped maps joined by (symbol, bar_date). An indicator that is not in the catalog is null on every bar, so that a
+    condition on it never holds."""
     names: dict[Side, str] = {}
     windows = {}
     for s in dict.fromkeys(sides):
         if s.indicator and s.indicator != DAYS_HELD:
             names[s] = f"i{len(names)}"
-            if CATALOG[s.indicator].column:
+            if s.indicator not in CATALOG:
+                windows[names[s]] = F.lit(None).cast("double")
+            elif CATALOG[s.indicator].column:
                 windows[names[s]] = CATALOG[s.indicator].column(s.n, s.n2)
     out = bars.withColumns(windows) if windows else bars
     for s, name in names.items():
-        if CATALOG[s.indicator].frame:
+        if s.indicator in CATALOG and CATALOG[s.indicator].frame:
             out = out.join(CATALOG[s.indicator].frame(bars, s.n, s.n2).withColumnRenamed("v", name), ["symbol", "bar_date"], "left")
     return out, names
 

@@ -230,3 +230,15 @@ def grid(df: DataFrame, step: float = 0.02, days: int = 30) -> DataFrame:
     places = axes(df, step, days).select(F.col("kind").alias("g"), F.struct("dte", "mny").alias("q"), F.col("mny").alias("x"), F.col("dte").cast("double").alias("y"))
     found = interpolated(points, places)
     return found.select(F.col("g").alias("kind"), "q.dte", F.round("q.mny", 6).alias("mny"), F.greatest(F.least("v", F.lit(3.0)), F.lit(0.1)).alias("iv"))
+
+
+def window_pnl(contracts: DataFrame, bars: DataFrame, cutoff: Column, hold: int, margin: int = 30) -> DataFrame:
+    """`contracts` (kind, dte, strike, ...) with entry_close, exit_close, days_observed and pnl in percent: first and last close of their
+    bars (kind, dte, strike, bar_date, close) in the `hold` + `margin` days up to `cutoff`, a column of the bars.
+
+    A contract with under two bars there keeps its row without a result; an entry that is not positive has no pnl.
+    """
+    seen = bars.where((F.col("bar_date") <= cutoff) & (F.col("bar_date") >= F.date_sub(cutoff, hold + margin)))
+    ends = seen.groupBy("kind", "dte", "strike").agg(F.min_by("close", "bar_date").alias("entry_close"), F.max_by("close", "bar_date").alias("exit_close"), F.count("*").alias("days_observed")).where("days_observed >= 2")
+    pnl = F.when(F.col("entry_close") > 0, (F.col("exit_close") / F.nullif(F.col("entry_close"), F.lit(0.0)) - 1) * 100)
+    return contracts.join(ends, ["kind", "dte", "strike"], "left").withColumn("pnl", pnl)

@@ -63,6 +63,20 @@ def diagnostic_rollup(spark, sf):
     return checks.groupBy(F.lit("series").alias("grp"), status.alias("status")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {BARS}, l AS (SELECT max(bar_date) AS latest FROM bars), c AS (SELECT symbol, count(*) AS n, min(close) AS low, max(bar_date) AS last FROM bars GROUP BY 1)
+SELECT symbol AS name, 'series' AS grp, CASE WHEN n < 2 THEN 'skip' WHEN low <= 0 OR last < latest - 365 THEN 'fail' ELSE 'pass' END AS status, n AS bars, last, CAST(latest - last AS INT) AS days_behind,
+CASE WHEN n < 2 THEN 'under two bars' WHEN low <= 0 THEN 'close not positive' WHEN last < latest - 365 THEN 'over a year behind' ELSE 'ok' END AS evidence FROM c, l""")
+def health_table(spark, sf):
+    """One row a check, with its evidence."""
+    bars = views.bars(spark, sf)
+    latest = bars.agg(F.max("bar_date").alias("latest"))  # one row
+    c = bars.groupBy("symbol").agg(F.count("*").alias("n"), F.min("close").alias("low"), F.max("bar_date").alias("last")).crossJoin(F.broadcast(latest))
+    behind = F.datediff("latest", "last")
+    evidence = F.when(F.col("n") < 2, "under two bars").when(F.col("low") <= 0, "close not positive").when(behind > 365, "over a year behind").otherwise("ok")
+    status = F.when(evidence == "ok", "pass").when(evidence == "under two bars", "skip").otherwise("fail")
+    return c.select(F.col("symbol").alias("name"), F.lit("series").alias("grp"), status.alias("status"), F.col("n").alias("bars"), "last", behind.alias("days_behind"), evidence.alias("evidence"))
+
+
 @query("SELECT event_id, ts, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
 def audit_recent_rows(spark, sf):
     """The ten most recent rows of an audit log, with a field of their JSON evidence."""

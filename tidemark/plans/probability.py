@@ -154,3 +154,37 @@ round(median(days_to_revert), 6) AS median_days, round(median(z_move), 6) AS med
 def reversion_lookup(spark, sf):
     out = dislocation.reversion_lookup(dislocation.reversion_events(_z(spark, sf)))
     return out.select("symbol", "band_lo", "n_events", r6("reversion_rate"), r6("median_days"), r6("median_z_move"))
+
+
+@query(f"""WITH {PAIR}, i AS (SELECT * FROM pair WHERE bar_date BETWEEN DATE '{START}' AND DATE '{END}'), b AS (SELECT *, (bench / lag(bench, 21) {W} - 1) * 100 AS br FROM i),
+d AS (SELECT *, max(CASE WHEN last THEN br END) OVER (PARTITION BY symbol) AS cur FROM (SELECT *, bar_date = max(bar_date) OVER (PARTITION BY symbol) AS last FROM b)),
+f AS (SELECT symbol, horizon, bar_date, br, cur, (lead(close, horizon) OVER (PARTITION BY symbol, horizon ORDER BY bar_date) / close - 1) * 100 AS r FROM d, (VALUES (5), (10), (21), (63), (126), (252)) AS h(horizon)),
+a AS (SELECT symbol, horizon, bar_date, (lead(close, horizon) OVER (PARTITION BY symbol, horizon ORDER BY bar_date) / close - 1) * 100 AS after FROM pair, (VALUES (5), (10), (21), (63), (126), (252)) AS h(horizon)),
+l AS (SELECT symbol, max(bar_date) AS bar_date FROM i GROUP BY 1), y AS (SELECT symbol, horizon, after FROM a JOIN l USING (symbol, bar_date)),
+t AS (SELECT *, r IS NOT NULL AND abs(br - cur) <= greatest(5.0, abs(cur) * 0.3) AS tight, r IS NOT NULL AND abs(br - cur) <= greatest(10.0, abs(cur) * 0.5) AS loose FROM f WHERE cur IS NOT NULL),
+m AS (SELECT symbol, horizon, cur, CASE WHEN CASE WHEN count(*) FILTER (tight) OVER (PARTITION BY symbol, horizon) >= 3 THEN tight ELSE loose END THEN r END AS m FROM t)
+SELECT symbol, horizon, count(m) AS total, round(any_value(cur), 6) AS bench_return, round(avg(m), 6) AS avg_return, round(median(m), 6) AS median_return, round(any_value(after), 6) AS actual_return, {', '.join(f'round(100.0 * count(*) FILTER (m >= {x}) / count(m), 6) AS up_{int(x)}, round(100.0 * count(*) FILTER (m <= -{x}) / count(m), 6) AS down_{int(x)}' for x in PM)}
+FROM m LEFT JOIN y USING (symbol, horizon) GROUP BY 1, 2 HAVING count(m) >= 3""")
+def bench_period_predictions(spark, sf):
+    """As period_predictions, on the days of the window that were like its end by the benchmark's return."""
+    out = probability.window_analogues(views.pair(spark, sf), START, END, PH, PM)
+    moves = [r6(F.col("moves")[F.lit(m)][s], f"{s}_{int(m)}") for m in PM for s in ("up", "down")]
+    return out.select("symbol", "horizon", "total", r6("bench_return"), r6("avg_return"), r6("median_return"), r6("actual_return"), *moves)
+
+
+PRESENT = EVENTS.replace(_cube((20,), (20,)), _cube(dislocation.BETAS, (20,)))
+
+
+@query(f"""WITH {PRESENT}, u AS ({' UNION ALL '.join(f'SELECT symbol, bar_date, z{w}_20 AS z FROM z' for w in dislocation.BETAS)}), t AS (SELECT * FROM u QUALIFY bar_date = max(bar_date) OVER (PARTITION BY symbol)), m AS (SELECT symbol, median(z) AS z FROM t GROUP BY 1),
+b AS (SELECT *, CASE WHEN abs(z) < 1.5 THEN NULL WHEN abs(z) < 2 THEN 1.5 WHEN abs(z) < 2.5 THEN 2.0 WHEN abs(z) < 3 THEN 2.5 WHEN abs(z) < 99 THEN 3.0 END::DOUBLE AS band_lo FROM m),
+k AS (SELECT symbol, CASE WHEN abs_start_z < 2 THEN 1.5 WHEN abs_start_z < 2.5 THEN 2.0 WHEN abs_start_z < 3 THEN 2.5 ELSE 3.0 END::DOUBLE AS band_lo, count(*) AS n_events, avg(reverted::INT) * 100 AS rate, median(days_to_revert) AS days FROM ev WHERE abs_start_z < 99 GROUP BY 1, 2)
+SELECT symbol, round(z, 6) AS composite_z, band_lo, n_events, round(rate, 6) AS reversion_rate, round(days, 6) AS median_days FROM b LEFT JOIN k USING (symbol, band_lo)""")
+def present_reversion(spark, sf):
+    """What became of events as large as the present dislocation, for each symbol's last bar."""
+    cube = dislocation.zcube(dislocation.log_returns(views.pair(spark, sf)), sums=(20,))
+    names = [f"z_b{w}_n20" for w in dislocation.BETAS]
+    last = cube.groupBy("symbol").agg(*[F.max_by(c, "bar_date").alias(c) for c in names])
+    last = last.select("symbol", F.explode(F.array(*names)).alias("z")).groupBy("symbol").agg(F.percentile("z", F.lit(0.5)).alias("composite_z"))
+    lookup = dislocation.reversion_lookup(dislocation.reversion_events(cube.select("symbol", "bar_date", "close", F.col("z_b20_n20").alias("z"))))
+    out = dislocation.present_band(last, lookup)
+    return out.select("symbol", r6("composite_z"), "band_lo", "n_events", r6("reversion_rate"), r6("median_days"))

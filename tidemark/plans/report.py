@@ -73,9 +73,10 @@ def surface_pnl_stats(pnl):
     return report.profit_stats(pnl).select("contracts", r6("mean_pnl"), r6("median_pnl"), r6("win_rate"), "best", "worst")
 
 
-@over("contract_pnl", "SELECT kind, dte, strike, printf('%+.1f%%', pnl + 0.0003) AS pnl, printf('$%.2f', strike + 0.0003) AS price FROM {}")
+@over("contract_pnl", "SELECT kind, dte, strike, printf('%+.1f%%', round(pnl::DECIMAL(18, 6), 1)::DOUBLE) AS pnl, printf('$%.2f', round(strike::DECIMAL(18, 6), 2)::DOUBLE) AS price FROM {}")
 def formatted(pnl):
-    return pnl.select("kind", "dte", "strike", report.signed_percent(F.col("pnl") + 0.0003).alias("pnl"), report.dollars(F.col("strike") + 0.0003).alias("price"))
+    """Halves go away from zero, as decimals have it."""
+    return pnl.select("kind", "dte", "strike", report.signed_percent(F.col("pnl")).alias("pnl"), report.dollars(F.col("strike")).alias("price"))
 
 
 @query(f"WITH {AHEAD}, g AS (SELECT symbol, ret, greatest((abs(ret) >= 5)::INT + (abs(ret) >= 10)::INT + (abs(ret) >= 15)::INT + (abs(ret) >= 20)::INT + (abs(ret) >= 30)::INT + (abs(ret) >= 50)::INT - 1, 0) AS bucket FROM f WHERE ret IS NOT NULL) SELECT symbol, ret >= 0 AS up, bucket, count(*) AS n FROM g GROUP BY 1, 2, 3")

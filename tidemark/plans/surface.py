@@ -200,3 +200,20 @@ def contract_pnl(spark, sf):
     bars = views.option_bars(spark, sf).join(F.broadcast(top), ["kind", "dte", "strike"])  # twenty rows
     out = bars.groupBy("kind", "dte", "strike").agg(F.min_by("close", "bar_date").alias("c0"), F.max_by("close", "bar_date").alias("c1"), F.count("*").alias("n")).where("n >= 2")
     return out.select("kind", "dte", "strike", "n", r6((F.col("c1") / F.col("c0") - 1) * 100, "pnl"))
+
+
+HOLD = 60
+
+
+@query(f"""WITH {CHAIN}, top AS (SELECT kind, dte, strike FROM chain WHERE bid > 0 AND ask > 0 AND open_interest >= 50 AND volume >= 1 ORDER BY volume DESC, open_interest DESC, kind, dte, strike LIMIT 20),
+ob AS (SELECT CASE WHEN l_returnflag = 'R' THEN 'p' ELSE 'c' END AS kind, CAST(7 * (l_suppkey % 20) + 3 AS INT) AS dte, round(100 * (0.4 + 0.05 * (l_partkey % 25)), 2) AS strike, CAST(l_shipdate AS DATE) AS bar_date, round(avg(l_extendedprice / l_quantity), 6) AS close FROM lineitem GROUP BY 1, 2, 3, 4),
+ct AS (SELECT max(bar_date) - {HOLD + 5} AS cutoff FROM ob), p AS (SELECT kind, dte, strike, min_by(close, bar_date) AS c0, max_by(close, bar_date) AS c1, count(*) AS n FROM ob, ct WHERE bar_date <= cutoff AND bar_date >= cutoff - {HOLD + 30} GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+SELECT kind, dte, strike, n AS days_observed, c0 AS entry_close, c1 AS exit_close, round(CASE WHEN c0 > 0 THEN (c1 / c0 - 1) * 100 END, 6) AS pnl FROM top LEFT JOIN p USING (kind, dte, strike)""")
+def contract_window_pnl(spark, sf):
+    """The twenty most traded contracts over a holding window that ends at a cutoff; those without bars there have no result."""
+    top = topk_volume(spark, sf).select("kind", "dte", "strike")
+    bars = views.option_bars(spark, sf)
+    last = bars.agg(F.date_sub(F.max("bar_date"), HOLD + 5).alias("cutoff"))  # one row
+    mine = bars.join(F.broadcast(top), ["kind", "dte", "strike"]).crossJoin(F.broadcast(last))  # twenty rows
+    out = surface.window_pnl(top, mine, F.col("cutoff"), HOLD)
+    return out.select("kind", "dte", "strike", "days_observed", "entry_close", "exit_close", r6("pnl"))
