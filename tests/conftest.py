@@ -1,4 +1,5 @@
 import os
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -10,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 def spark():
     s = (
         SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]").appName("tidemark-tests").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tidemark-tests-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     return s

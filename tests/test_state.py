@@ -241,3 +241,40 @@ def test_window_results_of_contracts(spark):
     bars = [at(("c", 3, 100.0), n, v) for n, v in ((50, 1.0), (40, 2.0), (10, 9.0), (0, 3.0), (-1, 50.0))] + [at(("p", 3, 90.0), 5, 1.0)] + [at(("c", 10, 80.0), n, v) for n, v in ((5, 0.0), (1, 4.0))]
     got = surface.window_pnl(contracts, spark.createDataFrame(bars, "kind string, dte int, strike double, bar_date date, close double"), F.lit(day), 10).collect()
     assert {(r["kind"], r["dte"]): (r["entry_close"], r["exit_close"], r["days_observed"], r["pnl"]) for r in got} == {("c", 3): (2.0, 3.0, 3, 50.0), ("p", 3): (None,) * 4, ("c", 10): (0.0, 4.0, 2, None), ("c", 17): (None,) * 4}
+
+
+def test_reports_of_a_sleeve(spark):
+    from tidemark.operators import allocation, sleeve
+
+    day = datetime.date(2024, 1, 1)
+    rng = np.random.default_rng(1)
+    close = 100 * np.cumprod(1 + 0.02 * rng.standard_normal(90))
+    pair = spark.createDataFrame([("a", day + datetime.timedelta(days=k), float(c), 100.0 + k) for k, c in enumerate(close)], "symbol string, bar_date date, close double, bench double")
+    runs = sleeve.call_sleeve(pair).cache()
+    p = runs.orderBy("bar_date").toPandas()
+    d = sleeve.diagnostics(runs).first()
+    assert d["mean_sleeve"] == pytest.approx(100 * (p["sleeve_value"] / p["equity"]).mean()) and d["rolls"] == p["rolled"].sum() and d["mean_sigma"] == pytest.approx(100 * p["sigma"].mean())
+    h = sleeve.history(runs, 0.2, last=30).orderBy("bar_date").toPandas()
+    assert len(h) == 30 and h["bar_date"].tolist() == p["bar_date"].tolist()[-30:]
+    np.testing.assert_allclose(h["actual_fill"], (500 * p["actual"].tail(30)).round(2), atol=0.011)
+    np.testing.assert_allclose(h["target_fill"], (100 * p["target"].tail(30)).round(2), atol=0.011)
+    np.testing.assert_allclose(h["total"], p["equity"].tail(30).round(4), atol=1.1e-4)
+    curves = runs.select("symbol", "bar_date", F.lit("sleeve").alias("series"), "equity").unionByName(runs.select("symbol", "bar_date", F.lit("asset").alias("series"), F.col("close").alias("equity")))
+    m = allocation.risk_metrics(curves, capital_at_risk=1.0)
+    ratio = {r["series"]: r["return_at_risk"] for r in m.collect()}
+    assert ratio["sleeve"] != ratio["asset"] and sleeve.efficiency(m).first()["efficiency"] == pytest.approx(ratio["sleeve"] / ratio["asset"])
+    assert sleeve.efficiency(m.where("series = 'sleeve'")).first()["efficiency"] is None
+
+
+def test_results_in_percent(spark):
+    from tidemark.operators import report
+
+    day = datetime.date(2024, 1, 1)
+    equity = [100.0, 110.0, 99.0, None, 105.0, 120.0]
+    rows = [("a", day + datetime.timedelta(days=k), e) for k, e in enumerate(equity)] + [("b", day, 1.0)]
+    got = report.equity_stats(spark.createDataFrame(rows, "symbol string, bar_date date, equity double")).collect()
+    s = pd.Series([e for e in equity if e is not None])
+    r = s.pct_change().dropna()
+    assert len(got) == 1 and got[0]["total_return"] == pytest.approx(20.0) and got[0]["cagr"] == pytest.approx(100 * (1.2 ** (252 / 5) - 1))
+    assert got[0]["max_drawdown"] == pytest.approx(100 * (s / s.cummax() - 1).min()) and got[0]["sharpe"] == pytest.approx(r.mean() / r.std() * 252**0.5)
+    assert (got[0]["hit_rate"], got[0]["trades"]) == (75.0, 4) and got[0]["avg_win"] == pytest.approx(100 * r[r > 0].mean()) and got[0]["avg_loss"] == pytest.approx(100 * r[r < 0].mean())

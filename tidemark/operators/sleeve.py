@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.options import bs_price
@@ -175,3 +175,27 @@ def sweep_verdict(overall: DataFrame) -> DataFrame:
     beat = F.col("beat_tr_rate")
     text = F.when(F.col("n") == 0, "inconclusive").when((beat >= 50) | (edge > 5), "meaningful edge").when((beat >= 35) & (edge > 0), "competitive on capital efficiency").when((beat < 25) & (edge <= 0), "underperforms holding").otherwise("mixed")
     return overall.where("dimension = 'overall'").withColumn("verdict", text)
+
+
+def history(runs: DataFrame, share: float = 0.2, last: int = 500) -> DataFrame:
+    """The last bars of each symbol's sleeve for a report: values in units of the start, shares and volatility in percent."""
+    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("bar_date").desc()))
+    percent = lambda c, digits=2: F.round(100 * F.col(c), digits)
+    out = runs.withColumn("newest", newest).where(F.col("newest") <= last)
+    return out.select(
+        "symbol", "bar_date", F.round("cash_value", 4).alias("cash"), F.round("sleeve_value", 4).alias("sleeve"), F.round("equity", 4).alias("total"), percent("target").alias("target_fill"),
+        F.round(100 * F.col("actual") / max(share, 1e-9), 2).alias("actual_fill"), percent("actual").alias("calls_of_notional"), percent("sigma", 1).alias("sigma"), F.round("contracts", 2).alias("contracts"),
+    )
+
+
+def diagnostics(runs: DataFrame) -> DataFrame:
+    """One row a symbol: mean share of the sleeve where there is equity, roll events and mean volatility used, in percent."""
+    held = F.try_divide(F.col("sleeve_value"), F.nullif(F.col("equity"), F.lit(0.0)))
+    return runs.groupBy("symbol").agg((100 * F.avg(held)).alias("mean_sleeve"), F.count_if(F.col("rolled")).alias("rolls"), (100 * F.avg("sigma")).alias("mean_sigma"))
+
+
+def efficiency(metrics: DataFrame, of: str = "sleeve", against: str = "asset", ratio: str = "return_at_risk") -> DataFrame:
+    """(symbol, efficiency): return for the capital at risk of one series over that of another; null where the other's is zero."""
+    side = lambda name: F.max(F.when(F.col("series") == name, F.col(ratio)))
+    return metrics.groupBy("symbol").agg(F.try_divide(side(of), F.nullif(side(against), F.lit(0.0))).alias("efficiency"))
+
