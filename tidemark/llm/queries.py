@@ -19,6 +19,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base spans by kind, added kinds and their scores."""
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
@@ -28,14 +29,17 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without repeated 200-byte strings."""
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of vectors at cosine 0.95 or more, and the smallest vector that links lead to."""
     return embedding.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score by the compression classifier, fit on rows that are not held out."""
     documents = _table(spark, sf_dir, "documents")
     model = quality.fit(documents, _table(spark, sf_dir, "labels"))
     rows = documents.select("doc_id", "text", quality.held_out("doc_id").alias("held_out"))
@@ -48,15 +52,18 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 4-word shingles and the smallest document that links of 4 bits lead to."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text's ids and of what they decode to."""
     return bpe.encode_digests(_table(spark, sf_dir, "documents"))
 
 

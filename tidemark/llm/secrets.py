@@ -53,7 +53,8 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo:
 
     n_owned counts spans whose secret has one owner in the corpus (live-looking), n_shared those with SHARED_OWNERS
     or more (copied examples), owners lists kind:start:end:owners. Repeated rows and ids give repeated results; every
-    span string covers the whole text.
+    span string covers the whole text. Null text has no spans, a null id stays null, a null repository or owner counts as one
+    of its own; other columns are left out, so their names cannot clash.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))
