@@ -77,3 +77,17 @@ def test_counts_and_ids(spark, reference):
     df = spark.createDataFrame([(1, "hello wörld"), (2, None)], "doc_id long, text string")
     assert {r["doc_id"]: r["n_tokens"] for r in bpe.token_counts(df).collect()} == {1: len(reference.encode("hello wörld").ids), 2: 0}
     assert {r["doc_id"]: list(r["ids"]) for r in bpe.token_ids(df).collect()}[1] == reference.encode("hello wörld").ids
+
+
+@pytest.mark.parametrize("run", [" ", "\t", "\n", "\r\n", "\u3000", "\xa0 "])
+def test_very_long_white_space(reference, run):
+    c = bpe.codec(bpe.default_vocabulary())
+    n = 5_000_000 // len(run) if run in " \t\n" else 100_000
+    for text in (f"word{run * n}word", run * n, f"a{run * 40_000}<|endoftext|>{run * 40_000}<|endoftext|> b\x1c{'\x1c' * 40_000}"):
+        assert c.encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids
+
+
+def test_white_space_up_the_tree(spark, reference):
+    texts = ["begin" + " " * 60_000 + "\n\n" + " " * 60_000 + "end", "\n" * 100_001, "x " * 30_000 + "\t" * 70_000]
+    got = {r["doc_id"]: r["n_tokens"] for r in bpe.encode_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: len(reference.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}

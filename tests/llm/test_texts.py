@@ -52,6 +52,28 @@ def test_merge_leaves_what_stands_in_several_shards():
     assert len(set(block)) == 10 and {bytes((whole[p : p + 9] - 1).astype(np.uint8)) for p in place} == {(b"abcdefghij" * 2)[i : i + 9] for i in range(10)}
 
 
+def test_anchors_of_a_text_longer_than_a_segment(monkeypatch):
+    """In overlapping parts, or whole: the same repeats, and an anchor for every window that needs one."""
+    rng = random.Random(11)
+    text = bytes(rng.choices(range(97, 105), k=300_000))
+    text += text[:5000] + bytes(rng.choices(range(97, 105), k=9_000_000)) + text[100:700]
+    monkeypatch.setattr(substrings, "SEGMENT", 1 << 20)
+    (places, hashes, lo, hi), (_, _, none, _) = substrings.anchors_of([text, b"short"])
+    # random text repeats nothing by itself: what repeats are the two copies, as far as their surroundings happen to agree
+    right = next(k for k in range(100) if text[5000 + k] != text[305_000 + k])
+    left = next(k for k in range(100) if text[99 - k] != text[len(text) - 601 - k])
+    covered = np.zeros(len(text), bool)
+    for at, end in ((0, 5000 + right), (300_000, 305_000 + right), (len(text) - 600 - left, len(text))):
+        covered[at:end] = True
+    got = np.zeros(len(text), bool)
+    for a, b in zip(lo, hi, strict=True):
+        got[a:b] = True
+    assert (got == covered).all() and not len(none)
+    begins = np.arange(0, len(text) - 199, 997)
+    gap = np.searchsorted(places, begins)
+    assert (places[gap] <= begins + 200 - substrings.GRAM).all() and len(hashes) == len(places) == len(np.unique(places))
+
+
 @pytest.mark.parametrize(("chunk", "hot"), [(4, 2), (2048, 1000)])
 def test_repeats_against_brute_force(spark, monkeypatch, chunk, hot):
     monkeypatch.setattr(common, "HOT_COPIES", hot)
@@ -124,6 +146,20 @@ def test_contamination_against_every_window(spark, leaks):
     assert decontamination.contaminated(d, b.limit(0)).columns == decontamination.contaminated(d, b).columns
 
 
+def test_contamination_by_items_that_repeat_words(spark):
+    """Similarity counts shingles as often as they occur; so must what goes before it."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    items, docs = [], []
+    for i, (same, other) in enumerate(((40, 3), (30, 2), (58, 6), (20, 1), (45, 0), (36, 3))):
+        own = [word()] * same
+        items.append((i, " ".join([*own, *(word() for _ in range(other))])))
+        docs.append((i, " ".join([*(word() for _ in range(7)), *own, *(word() for _ in range(other + 5))])))
+        docs.append((100 + i, " ".join([*(word() for _ in range(60)), *own[: same // 3], *(word() for _ in range(40))])))
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == pytest.approx(similar_windows(docs, items)) and len(got) == 6
+
+
 def test_fingerprints_decide_the_candidates(spark, leaks, monkeypatch):
     docs, items = leaks
     d, b = spark.createDataFrame(docs, "doc_id long, text string, key int"), spark.createDataFrame(items, "item_id long, text string")
@@ -236,6 +272,27 @@ def test_pages_of_other_shapes(spark):
     assert len(got) == 8 and [r["text"] for r in got if r["page_id"] == 1] == [want, want] and all(r["text"] == "" for r in got if r["page_id"] in (2, 3, 4))
 
 
+def test_pages_of_tag_soup(spark):
+    tags = "div p span hr br article nav aside td tr table ul li h1 header footer img a b section main form".split()
+    rng = random.Random(1)
+    piece = lambda: rng.choice([f"<{rng.choice(tags)}{rng.choice(['', ' class=banner', ' id=comments', ' hidden', ' class="x'])}>", f"</{rng.choice(tags)}>", "some words here. ", "x", "<", "&amp;", "<!-- c", "-->"])
+    for _ in range(5000):
+        html_extract.main_text("".join(piece() for _ in range(rng.randint(1, 60))))
+    for page in ("<div>foo<hr>bar</div>", "a</div>b", "<div>a</p>b</div>", "<td>a</td>b</td>c"):
+        assert html_extract.smoothness(html_extract.blocks(page))
+    rule = "<article><h1>On the matter at hand</h1><p>" + "The first part of the text. " * 12 + "</p><hr>" + "What goes on after a rule, in no element of its own. " * 6 + "</article>"
+    assert html_extract.main_text(rule)[0].endswith("in no element of its own.")
+
+
+def test_depth_of_named_elements_does_not_matter():
+    def page(n):
+        inner = "<article><h1>Title of it</h1><p>" + "The main text goes on here. " * 20 + "</p></article><div class=sidebar><p>Side links here and there that are not of interest. More of it, quite long so that it counts as a sentence or two.</p></div>"
+        return "<body>" + "<div class='banner'>" * n + inner + "</div>" * n + "</body>"
+
+    assert {html_extract.main_text(page(n))[0] for n in (1, 15, 16, 17, 30, 400)} == {html_extract.main_text(page(2))[0]}
+    assert "Side" not in html_extract.main_text(page(30))[0]
+
+
 def test_the_cut_decides_blocks_of_doubt():
     long = "A sentence of the article that goes on for a while, so that nobody can take it for a menu or a notice of any kind."
     page = f"<body><div><a href=/>home</a><p>Log in</p></div><section><h2>On cuts</h2><p>{long}</p><p>Quite so.</p><p>{long}</p><ul><li>first</ul><p>{long}</p></section><div><p>See all</p><p>Up</p></div></body>"
@@ -318,6 +375,16 @@ def test_pipeline_stages_against_brute_force(spark, sf):
         assert r["n_chars"] == len(r["text"])
 
 
+def test_pipeline_of_nothing(spark, sf, tmp_path):
+    """Empty tables, and documents with a column more: no rows, and only the columns of documents."""
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    more = spark.read.parquet(f"{sf}/documents.parquet").limit(20).withColumn("score", F.lit("clash")).withColumn("rep", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, more, sf).columns == corpus_pipeline.COLUMNS, name
+
+
 def test_near_copies_without_ids(spark, sf):
     text = "one two three four five six seven eight nine ten"
     rows = [(1, text), (None, text), (None, "quite another text without an id"), (None, "quite another text without an id"), (2, "b of one id"), (2, "a of one id"), (3, None), (None, None)]
