@@ -118,7 +118,8 @@ def candidates(rows: DataFrame, pieces: DataFrame, seeds: DataFrame, n_pieces: i
     first, last = F.floor(F.greatest(F.col("at") - most + 1, F.lit(0)) / SEGMENT), F.floor(F.col("at") / SEGMENT)
     parts = hits.select("row", "hs", F.explode(F.sequence(first, last)).alias("part"))
     parts = parts.select("row", (F.col("part") * SEGMENT).cast("int").alias("base"), F.slice("hs", (F.col("part") * SEGMENT + 1).cast("int"), SEGMENT + most).alias("g")).groupBy("row", "base").agg(F.first("g").alias("g"))
-    parts = parts.select("row", "base", "g", F.size("g").alias("n"), *[running(F.col("g"), j).alias(f"p{j}") for j in range(LANE_BITS)])
+    segments = table(parts)
+    parts = segments.select("row", "base", F.size("g").alias("n"), *[running(F.col("g"), j).alias(f"p{j}") for j in range(LANE_BITS)])
 
     # in one lambda rather than in exploded rows: as one generated method it grows beyond what the JVM compiles
     def looked_at(w: Column) -> Column:
@@ -133,7 +134,8 @@ def candidates(rows: DataFrame, pieces: DataFrame, seeds: DataFrame, n_pieces: i
 
     every = F.array(*[F.struct(F.lit(s).alias("size"), F.lit(i).alias("i")) for s, i in windows]).cast("array<struct<size:int,i:int>>")
     whole = F.filter(every, lambda w: (F.least(w["i"] + w["size"], F.col("n")) - w["i"]) * 4 >= w["size"] * 3)
-    each = parts.select("row", "base", "g", F.explode(F.transform(whole, looked_at)).alias("w")).select("row", "base", "g", "w.*")
+    # windows and what they are looked up by are narrow; a segment's shingles join what was found
+    each = parts.select("row", "base", F.explode(F.transform(whole, looked_at)).alias("w")).select("row", "base", "w.*")
     each = each.select("*", F.explode(block_keys(F.col("fp"), F.col("size"))).alias("block"))
 
     width = BITS // BLOCKS
@@ -143,7 +145,7 @@ def candidates(rows: DataFrame, pieces: DataFrame, seeds: DataFrame, n_pieces: i
     n_index = n_pieces * BLOCKS * sum(v.bit_count() <= BLOCK_RADIUS for v in range(1 << width))
     met = each.join(_small(index, n_index), "block").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     # fingerprints of unrelated texts come that close once in ten thousand: what shares few shingles goes before the shuffle
-    met = met.join(_small(pieces.select("piece", "key", "begin", "own"), n_pieces), "piece")
+    met = met.select("row", "base", "i", "end", "piece").join(_small(pieces.select("piece", "key", "begin", "own"), n_pieces), "piece").join(segments, ["row", "base"])
     met = met.withColumn("win", F.slice("g", F.col("i") + 1, F.col("end") - F.col("i")))
     # counted as often as they occur; where the piece repeats none, that is the number of common ones
     common = F.when(F.size(F.array_distinct("own")) < F.size("own"), overlap("win", "own")).otherwise(F.size(F.array_intersect("win", "own")))
