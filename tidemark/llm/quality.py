@@ -45,6 +45,19 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
+_at_hand: dict[int, tuple[bytes, zstandard.ZstdCompressor]] = {}
+
+
+def _ready(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """The compressor of a dictionary by its identity; a task's own copy of one is compared with what is known only once."""
+    found = _at_hand.get(id(dictionary))
+    if found is None or found[0] is not dictionary:
+        if len(_at_hand) >= 8:
+            _at_hand.clear()
+        found = _at_hand[id(dictionary)] = dictionary, _compressor(dictionary)
+    return found[1]
+
+
 def size_difference(text: str, good: bytes, bad: bytes) -> float:
     """How much smaller the dictionary of good text makes a whole text than the one of bad text, normalised.
 
@@ -52,7 +65,7 @@ def size_difference(text: str, good: bytes, bad: bytes) -> float:
     The difference of a byte is multiplied by the root of the size, up to a chunk: that of its noise falls as this grows.
     """
     raw = text.encode("utf-8", "replace")
-    g, b = _compressor(good), _compressor(bad)
+    g, b = _ready(good), _ready(bad)
     difference = sum(len(b.compress(raw[i : i + CHUNK])) - len(g.compress(raw[i : i + CHUNK])) for i in range(0, len(raw), CHUNK))
     return difference / len(raw) * min(len(raw), CHUNK) ** 0.5
 
