@@ -122,7 +122,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, link with
     nothing: no links, themselves as component, kept. Vectors of different length do not link. Equal vectors are
     gathered before the search and count for one another; rows that repeat an id are rows of their own with one
-    component. Extra columns are left out.
+    component. Ids must be numbers that fit in a long. An empty table gives no rows. Extra columns are left out.
     """
     element = df.schema[vector_col].dataType.elementType.simpleString()
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))

@@ -332,7 +332,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Null or empty text has fingerprint 0 and links like any other. Rows that repeat an id share its component. A null
     id keeps its fingerprint, links with nothing and has a null component. Equal fingerprints are gathered first, so
-    copies, however many, cost one row in the search.
+    copies, however many, cost one row in the search. Ids must be numbers that fit in a long; other columns are left out, an
+    empty table gives no rows.
     """
     fps = table(fingerprints(df, id_col, text_col, shingle))
     reps = cut(fps.where("id is not null").groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
@@ -430,6 +431,7 @@ def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     candidates; the second confirms what lies between groups that the first left apart. Clusters that have many
     candidates of all their pairs, as texts just below the similarity have, are not listed as pairs but compared
     in blocks; of the others every candidate is confirmed by itself. What has no candidate in the first pass has none in the second.
+    Ids must be numbers that fit in a long; rows without one are left out, as are other columns.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text")).where("id is not null")
     keyed = table(rows.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("key")))
