@@ -204,6 +204,8 @@ def test_plans_of_texts(spark):
     assert p["tranches"] == [{"trigger": "-10%", "action": "", "deploy_pct": "", "deploy_amount": "", "status": "WATCH", "notes": ""}, {"trigger": "", "action": "", "deploy_pct": "", "deploy_amount": "", "status": "DONE", "notes": "n"}]
     assert p["rules"] == [{"name": "r", "detail": ""}] and p["reserve"] == {"amount": "5", "pct": "", "label": "NEVER DEPLOY", "status": "PERMANENT FLOOR", "notes": ""}
     assert files.plans(spark.createDataFrame([], "text string")).count() == 0
+    bare = say({"tranches": [{}], "rules": [{}]})
+    assert files.plans(spark.createDataFrame([(bare,)], "text string"), title="X PLAN").first()["plan"]["title"] == "X PLAN"
 
 
 def test_unknown_indicators_never_hold(spark):

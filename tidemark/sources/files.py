@@ -78,20 +78,21 @@ PLAN = (
 )
 # The markers around a plan, and what stands for a field that is missing; "" and 0 where none is named
 PLAN_MARKS = ("===STRATEGY_START===", "===STRATEGY_END===")
-PLAN_DEFAULTS = {"title": "SOXL ENTRY STRATEGY", "disclaimer": "Not financial advice. Leveraged ETFs can go to zero.", "tranches.status": "WATCH", "reserve.label": "NEVER DEPLOY", "reserve.status": "PERMANENT FLOOR"}
+PLAN_DEFAULTS = {"disclaimer": "Not financial advice. Leveraged ETFs can go to zero.", "tranches.status": "WATCH", "reserve.label": "NEVER DEPLOY", "reserve.status": "PERMANENT FLOOR"}
 
 
-def plans(df: DataFrame, text_col: str = "text") -> DataFrame:
+def plans(df: DataFrame, text_col: str = "text", title: str = "ENTRY STRATEGY") -> DataFrame:
     """`df` with plan, the document between the markers of each text, all its fields filled in; null if there is no such document,
-    or one without tranches or rules. Parsing is by a declared schema, field by field; no Python runs."""
+    or one without tranches or rules. `title` stands for a missing one; usually it names the asset. Parsing is by a declared schema, field by field; no Python runs."""
     begin, end = map(F.lit, PLAN_MARKS)
+    defaults = PLAN_DEFAULTS | {"title": title}
     text = F.col(text_col)
     body = F.when(F.contains(text, begin) & F.contains(text, end), F.split_part(F.split_part(text, begin, F.lit(2)), end, F.lit(1)))
     parsed = F.from_json(body, PLAN)
     kinds = df.sparkSession.createDataFrame([], PLAN).schema
 
     def filled(value: Column, fields, of: str) -> Column:
-        return F.struct(*[F.coalesce(value[f.name], F.lit(PLAN_DEFAULTS.get(f"{of}{f.name}", "" if f.dataType.simpleString() == "string" else 0.0))).alias(f.name) for f in fields])
+        return F.struct(*[F.coalesce(value[f.name], F.lit(defaults.get(f"{of}{f.name}", "" if f.dataType.simpleString() == "string" else 0.0))).alias(f.name) for f in fields])
 
     def each(value: Column, kind, of: str) -> Column:
         return F.transform(F.coalesce(value, F.array().cast(kind)), lambda x: filled(x, kind.elementType.fields, of))
@@ -104,7 +105,7 @@ def plans(df: DataFrame, text_col: str = "text") -> DataFrame:
         elif kind.typeName() == "struct":
             columns.append(filled(value, kind.fields, f"{f.name}.").alias(f.name))
         else:
-            columns.append(F.coalesce(value, F.lit(PLAN_DEFAULTS.get(f.name, "" if kind.simpleString() == "string" else 0.0))).alias(f.name))
+            columns.append(F.coalesce(value, F.lit(defaults.get(f.name, "" if kind.simpleString() == "string" else 0.0))).alias(f.name))
     whole = (F.size("_plan.tranches") > 0) & (F.size("_plan.rules") > 0)
     return df.withColumn("_plan", parsed).withColumn("plan", F.when(whole, F.struct(*columns))).drop("_plan")
 
