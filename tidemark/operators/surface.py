@@ -66,6 +66,7 @@ def local_outliers(df: DataFrame, k: int = 5, low: float = 0.5, high: float = 2.
     """Adds near_iv, the median iv of the `k` nearest contracts of the same kind by (moneyness / 0.05, dte / 30), and
     outlier. Kinds of up to `k` contracts have no outliers. Neighbours come from cells of a size that holds a few contracts,
     so pairs grow with contracts times `k`; they are kept as a bounded array per contract."""
+    df = cut(df)  # it is read for the index, the search and the result
     key = F.struct("dte", "strike")
     points = df.select(F.col("kind").alias("g"), key.alias("p"), (F.col("mny") / 0.05).alias("x"), (F.col("dte") / 30.0).alias("y"), F.col("iv").alias("v"))
     found = nearest(points, points.withColumnRenamed("p", "q"), k, other=True, digits=9)
@@ -225,7 +226,7 @@ def grid(df: DataFrame, step: float = 0.02, days: int = 30) -> DataFrame:
 
     A kind needs ten contracts with moneyness in [0.4, 1.6]. Contracts of one strike and expiry count as their mean.
     """
-    df = df.where(F.col("mny").between(0.4, 1.6)).select("kind", "dte", "mny", "iv")
+    df = cut(df.where(F.col("mny").between(0.4, 1.6)).select("kind", "dte", "mny", "iv"))
     points = df.select(F.col("kind").alias("g"), F.round("mny", 9).alias("x"), F.col("dte").cast("double").alias("y"), F.col("iv").alias("v"))
     places = axes(df, step, days).select(F.col("kind").alias("g"), F.struct("dte", "mny").alias("q"), F.col("mny").alias("x"), F.col("dte").cast("double").alias("y"))
     found = interpolated(points, places)
